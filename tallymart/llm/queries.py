@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, secret_scan, simhash
+from . import bpe, mixing, secret_scan, simhash, sketches
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -46,5 +46,15 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op6_mixing": op6_mixing, "op7_secrets": op7_secrets, "op9_bpe": op9_bpe}
+def op10_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = sketches.compare_edited(table(spark, sf_dir, "documents"))
+    near = lambda other: sketches.resemblance(F.col("own"), F.col(other))
+    return each.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketches.as_text(F.col("own")).alias("fingerprint"),
+        sketches.as_text(F.col("changed")).alias("edited_fingerprint"), near("changed").alias("near_edited"), near("other").alias("near_next"),
+        sketches.containment(F.col("own"), F.col("changed")).alias("kept_in_edited"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op6_mixing": op6_mixing, "op7_secrets": op7_secrets, "op9_bpe": op9_bpe, "op10_sketches": op10_sketches}
 ORACLES: dict[str, str] = {}
