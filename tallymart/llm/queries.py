@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, secret_scan, simhash, sketches
+from . import bpe, licenses, mixing, secret_scan, simhash, sketches, topk, warc
+from .scratch import shared_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -22,6 +23,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "archive")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    at = F.flatten(F.transform("places", lambda p: p.at))
+    return found.select(
+        "doc_id", "n_words", F.size(at).cast("long").alias("n_base"), F.array_min(at).cast("long").alias("first_word"), F.array_max(at).cast("long").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     each = mixing.copies(docs)
@@ -40,6 +56,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", *map(count, base), F.sha2(_joined(F.col("spans"), base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.search(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER).drop("text")
     back = bpe.decode_documents(encoded, TOKENIZER)
@@ -56,5 +77,8 @@ def op10_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op6_mixing": op6_mixing, "op7_secrets": op7_secrets, "op9_bpe": op9_bpe, "op10_sketches": op10_sketches}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash, "op2_warc": op2_warc, "op3_licenses": op3_licenses, "op6_mixing": op6_mixing, "op7_secrets": op7_secrets,
+    "op8_topk": op8_topk, "op9_bpe": op9_bpe, "op10_sketches": op10_sketches,
+}
 ORACLES: dict[str, str] = {}
