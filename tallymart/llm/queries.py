@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, licenses, mixing, secret_scan, simhash, sketches, topk, warc
+from .oracles import ORACLES  # noqa: F401  registered beside the queries
 from .scratch import shared_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -81,4 +82,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash, "op2_warc": op2_warc, "op3_licenses": op3_licenses, "op6_mixing": op6_mixing, "op7_secrets": op7_secrets,
     "op8_topk": op8_topk, "op9_bpe": op9_bpe, "op10_sketches": op10_sketches,
 }
-ORACLES: dict[str, str] = {}
