@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, quality, secret_scan, simhash, sketches, topk, warc
+from . import bpe, licenses, mixing, quality, secret_scan, simhash, sketches, token_counts, topk, warc
 from .oracles import ORACLES  # noqa: F401  registered beside the queries
 from .scratch import shared_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: Its end-of-document id.
+EOD = 50256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +46,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "lang", "perplexity", "threshold", "keep")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_documents(table(spark, sf_dir, "documents"), TOKENIZER, EOD)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     each = mixing.copies(docs)
@@ -84,6 +90,6 @@ def op10_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_simhash": op1_simhash, "op2_warc": op2_warc, "op3_licenses": op3_licenses, "op4_quality": op4_quality, "op6_mixing": op6_mixing, "op7_secrets": op7_secrets,
+    "op1_simhash": op1_simhash, "op2_warc": op2_warc, "op3_licenses": op3_licenses, "op4_quality": op4_quality, "op5_token_counts": op5_token_counts, "op6_mixing": op6_mixing, "op7_secrets": op7_secrets,
     "op8_topk": op8_topk, "op9_bpe": op9_bpe, "op10_sketches": op10_sketches,
 }
