@@ -62,7 +62,7 @@ def _joined(spans, kinds: tuple[str, ...] | None = None):
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secret_scan.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
     base = tuple(r.kind for r in secret_scan.BASE)
     return found.select("doc.doc_id", *map(count, base), F.sha2(_joined(F.col("spans"), base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))

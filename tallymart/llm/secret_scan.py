@@ -107,15 +107,16 @@ def update(versions: DataFrame, ledger: str, text: str = "text", rules: tuple[Ru
     return _kept(spark, f"{ledger}/findings", FINDINGS).where(F.col("rules") == version).distinct()
 
 
-def find(docs: DataFrame, ledger: str | None = None, text: str = "text", rules: tuple[Rule, ...] = RULES, version: int = RULES_VERSION) -> DataFrame:
-    """``docs`` as doc (struct of all columns) with spans: array of (start, kind_no, kind, end) in that order, empty if none.
+def find(docs: DataFrame, ledger: str | None = None, text: str = "text", keep: list[str] | None = None, rules: tuple[Rule, ...] = RULES, version: int = RULES_VERSION) -> DataFrame:
+    """``docs`` as doc (struct of the columns ``keep``, all by default) with spans: array of (start, kind_no, kind, end) in that
+    order, empty if none. What ``keep`` names is shuffled to the findings; leave the text out where it is not needed.
 
     ``ledger``: folder of the ledger, kept between calls; without one, a fresh one in the shared folder.
     """
     findings = update(docs, ledger or shared_path(docs.sparkSession, "ledger"), text, rules, version)
     spans = findings.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "kind_no", "kind", "end"))).alias("spans"))
     none = F.array().cast("array<struct<start:long,kind_no:int,kind:string,end:long>>")
-    paths = docs.select(F.struct("*").alias("doc"), blob_of(F.col(text)).alias("blob"))
+    paths = docs.select(F.struct(*(keep or docs.columns)).alias("doc"), blob_of(F.col(text)).alias("blob"))
     return paths.join(spans, "blob", "left").select("doc", "blob", F.coalesce("spans", none).alias("spans"))
 
 
