@@ -89,14 +89,14 @@ def _described(rows: DataFrame, key: str, entity: DataFrame, record: DataFrame,
     return rows.join(about, F.col(key) == F.col("_id"), "left").drop("_id")
 
 
-def entities_page(detail: DataFrame, entity: DataFrame, record: DataFrame, report_key: str, p: Page | None = None) -> DataFrame:
+def entities_page(detail: DataFrame, entity: DataFrame, record: DataFrame, report_key: str | Column, p: Page | None = None) -> DataFrame:
     """Entities behind ``report_key``: entity_id, name, counts, records, and the page's counts on each row, ascending."""
     p = p or page()
     keys = detail.where((F.col("report_key") == report_key) & (F.col("related_id") == 0)).select("entity_id")
     return _described(_chosen(keys, ["entity_id"], p), "entity_id", entity, record).orderBy("entity_id")
 
 
-def relations_page(detail: DataFrame, entity: DataFrame, record: DataFrame, relation: DataFrame, report_key: str, p: Page | None = None) -> DataFrame:
+def relations_page(detail: DataFrame, entity: DataFrame, record: DataFrame, relation: DataFrame, report_key: str | Column, p: Page | None = None) -> DataFrame:
     """Pairs behind ``report_key``: both entities with their records, match type, rule, and the key as the first entity sees it."""
     p = p or page(pairs=True)
     keys = detail.where((F.col("report_key") == report_key) & (F.col("related_id") != 0)).select("entity_id", "related_id")
