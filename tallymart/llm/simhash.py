@@ -223,9 +223,16 @@ def near_groups(docs: DataFrame, radius: int = 3, shingle: int = 3, text: str =
     return rows.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
+def radius_of(similarity: float, bits: int) -> int:
+    """Differing bits within which nearly all pairs of that similarity (shared over united shingles) lie: what is expected of
+    such a pair, whose cosine is 2s / (1 + s), and two standard deviations more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
+
+
 def size_ring_links(fps: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Links (a, b) that span the groups of ``fps`` (key string, fp binary of 128 bits, n_shingles): at least ``similarity`` of
-    the bits agree and the sizes are within that ratio."""
+    """Links (a, b) that span the groups of ``fps`` (key string, fp binary of 128 bits, n_shingles): within
+    :func:`radius_of` the similarity, and sizes within that ratio."""
     width = -math.log(similarity)
     ring = F.floor(F.log(F.col("n_shingles") + F.lit(1.0)) / F.lit(width)).cast("int")
     rows = settle(fps.select("key", "fp", "n_shingles", ring.alias("ring")), "rings")
@@ -246,7 +253,7 @@ def size_ring_links(fps: DataFrame, similarity: float = 0.8) -> DataFrame:
     )
     dealt = rows.join(plan, "ring").withColumn("block", block).select("key", "fp", "n_shingles", F.explode(tasks).alias("t"))
     packed = dealt.groupBy("t.r1", "t.b1", "t.r2", "t.b2").agg(F.sort_array(F.collect_list(F.struct("t.side", "key", "fp", "n_shingles"))).alias("rows"))
-    allowed = int((1 - similarity) * 128)
+    allowed = radius_of(similarity, 128)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,16 +284,20 @@ def size_ring_links(fps: DataFrame, similarity: float = 0.8) -> DataFrame:
 def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` without near copies: of each group, the rows with the smallest doc_id stay, repeated rows once.
 
-    128-bit fingerprints over ``shingle`` words are linked where at least ``similarity`` of their bits agree and the numbers of
-    shingles (plus one) are within that ratio. Null and wordless texts form one group. A row whose doc_id is null stays only if
-    no row of its group has one. All columns are kept as they are. An empty table stays empty.
+    128-bit fingerprints over ``shingle`` words are linked within :func:`radius_of` the similarity if the numbers of shingles
+    (plus one) are within that ratio. Null and wordless texts form one group. A row whose doc_id is null stays only if
+    no row of its group has one. Rows are told apart by doc_id and text. All columns are kept as they are. An empty table stays empty.
     """
     made = docs.select("*", fingerprint(F.col(text), shingle, 128).alias("_made"))
     keyed = made.withColumn("_key", F.concat(F.hex("_made.fp"), F.lit("-"), F.col("_made.n_shingles").cast("string")))
-    rows = settle(keyed.select(F.col(doc_id).alias("id"), F.col("_key").alias("key"), "_made.fp", "_made.n_shingles"), "copies-docs")
+    content = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rows = settle(keyed.select(F.col(doc_id).alias("id"), content.alias("content"), F.col("_key").alias("key"), "_made.fp", "_made.n_shingles"), "copies-docs")
     groups = settle(rows.groupBy("key").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("n_shingles").alias("n_shingles")), "copies-groups")
     roots = components(size_ring_links(groups, similarity))
     named = settle(groups.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root")), "copies-named")
-    kept = named.groupBy("root").agg(F.min("rep").alias("id"))
-    kept = settle(kept, "copies-kept").select("id")
-    return docs.join(kept, F.col(doc_id).eqNullSafe(F.col("id")), "left_semi").dropDuplicates()
+    least = settle(named.groupBy("root").agg(F.min("rep").alias("rep")), "copies-least")
+    owners = settle(named.select("key", "root").join(least, "root").select("key", "rep"), "copies-owners")
+    kept = rows.select("id", "content", "key").join(owners, "key").where(F.col("id").eqNullSafe(F.col("rep")))
+    kept = settle(kept.select(F.col("id").alias("_kept_id"), F.col("content").alias("_kept_content")).distinct(), "copies-kept")
+    same = F.col(doc_id).eqNullSafe(F.col("_kept_id")) & (content == F.col("_kept_content"))
+    return docs.join(kept, same, "left_semi").dropDuplicates()
