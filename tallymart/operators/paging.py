@@ -37,12 +37,12 @@ class Page:
 def page(bound: str | int | None = None, bound_type: str | None = None, page_size: int | None = None, sample_size: int | None = None, seed: int = 0, pairs: bool = False) -> Page:
     """Arguments of a page. ``bound``: an id or ``max``; for pairs also ``a:b``, ``a:`` and ``max:max``.
 
-    Without a type, ``max`` means pages before it and anything else pages after it. Missing bounds are 0 or the largest id by
+    Without a type, ``max`` (for pairs ``max:max``) means pages before it and anything else pages after it. Missing bounds are 0 or the largest id by
     direction. The page size is 100, or 20 times the sample size.
     """
     text = None if bound is None else str(bound).strip().lower()
     if bound_type is None:
-        bound_type = "EXCLUSIVE_UPPER" if text in (("max", "max:max") if pairs else ("max",)) else "EXCLUSIVE_LOWER"
+        bound_type = "EXCLUSIVE_UPPER" if text == ("max:max" if pairs else "max") else "EXCLUSIVE_LOWER"
     if bound_type not in BOUND_TYPES:
         raise ValueError(f"unknown bound type: {bound_type}")
     for name, value in (("page size", page_size), ("sample size", sample_size)):
