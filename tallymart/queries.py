@@ -569,11 +569,12 @@ def stream_ingest(fx: Fixture) -> DataFrame:
 
 @over
 def stream_collapse(fx: Fixture) -> DataFrame:
-    """Requests collapsed in the stream; with no time to wait, each batch gives its groups at once."""
+    """Requests collapsed in the stream; with no time to wait, the batch gives its groups at once. One batch: timers would keep
+    a run over all available input going."""
     out = shared_path(fx.spark, "collapsed")
     affected = msg.affected_entities(msg.read_messages(_feed(view(fx.spark, fx.sf_dir, "fx_messages").select("body"))).select("message"))
     collapsed = collapse_stream(affected, quiet=0, longest=0)
-    collapsed.writeStream.foreachBatch(_append(out)).option("checkpointLocation", shared_path(fx.spark, "collapse-state")).trigger(availableNow=True).start().awaitTermination()
+    collapsed.writeStream.foreachBatch(_append(out)).option("checkpointLocation", shared_path(fx.spark, "collapse-state")).trigger(once=True).start().awaitTermination()
     found = fx.spark.read.schema("entity_id long, multiplicity long, batch int").parquet(out)
     return found.groupBy("entity_id").agg(F.sum("multiplicity").alias("multiplicity"))
 

@@ -31,11 +31,6 @@ def empty_mart(spark: SparkSession) -> Mart:
     return rebuild(records, relations)
 
 
-def _replace(stored: DataFrame, fresh: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``stored`` of other entities, with the fresh rows of ``ids``."""
-    return stored.join(ids, "entity_id", "left_anti").unionByName(fresh.join(ids, "entity_id", "left_semi"))
-
-
 def next_state(mart: Mart, records: DataFrame, relations: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records, directed relations) after the entities ``ids`` took their newest snapshots.
 
@@ -50,7 +45,7 @@ def next_state(mart: Mart, records: DataFrame, relations: DataFrame, ids: DataFr
     kept = old_relations.join(ids, "entity_id", "left_anti").join(other, "related_id", "left_anti").select(*relations.columns)
     mine = relations.join(ids, "entity_id", "left_semi")
     theirs = relations.join(other, "related_id", "left_semi")
-    return fresh.select(*old_records.columns).unionByName(others.select(*old_records.columns)), kept.unionByName(mine.union(theirs).distinct())
+    return fresh.select(*old_records.columns).unionByName(others.select(*old_records.columns)), kept.unionByName(mine.unionByName(theirs).distinct())
 
 
 def refresh(mart: Mart, records: DataFrame, relations: DataFrame, changed: DataFrame, operation: str = "refresh", passes: int = PASSES) -> tuple[Mart, DataFrame]:
