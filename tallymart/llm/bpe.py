@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import functools
 import json
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 #: The pre-token pattern of byte-level BPE vocabularies.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Cached words a worker holds before it starts afresh, and the longest word (in characters) that is cached.
-CACHE_WORDS, CACHE_LENGTH = 400_000, 40
-CACHE_PAIRS = 2_000_000
+CACHE_WORDS, CACHE_LENGTH = 200_000, 40
+CACHE_PAIRS = 500_000
+#: Documents that a task turns over at once.
+ROWS = 256
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -196,3 +200,22 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", special: bo
 def decode_documents(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``docs`` with ``decoded``, the text of its ids."""
     return docs.withColumn("decoded", decode(F.col(ids), path))
+
+
+def transcode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, special: bool = True) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) with ids, n_tokens and decoded: encoding and decoding in one pass, which
+    holds one tokenizer and a few documents for each task. Columns of these names are replaced."""
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "n_tokens", "decoded")]
+    rows = docs.select(*kept, F.col(text).alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = load(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ids = [tokenizer.encode(t, special) for t in part.column(len(kept)).to_pylist()]
+                made = [pa.array(ids, pa.binary()), pa.array([tokenizer.decode(i) for i in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *made], [*kept, "ids", "decoded"])
+
+    schema = rows.drop("_text").schema.add("ids", "binary").add("decoded", "string")
+    return rows.mapInArrow(run, schema).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))

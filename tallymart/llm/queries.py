@@ -74,8 +74,7 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER).drop("text")
-    back = bpe.decode_documents(encoded, TOKENIZER)
+    back = bpe.transcode(table(spark, sf_dir, "documents"), TOKENIZER, keep=["doc_id"])
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
