@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import json
+import math
 from collections.abc import Iterator
 
 import ahocorasick
@@ -63,6 +64,12 @@ class Tokenizer:
         for rank, (a, b) in enumerate(pairs):
             left, right = to_bytes(a), to_bytes(b)
             self.merges.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
+        first: dict[int, int] = {}
+        for rank, token in self.merges.values():
+            first[token] = min(rank, first.get(token, rank))
+        #: Whether every rule comes after the rules that make its sides: rank order is then the order of time.
+        self.ordered = all(first.get(side, -1) < rank for pair, (rank, _) in self.merges.items() for side in pair)
+        self.last_merges: dict[int, tuple | None] = {}
         self.byte_ids = [vocab.get(bytes([b]), -1) for b in range(256)]
         self.automaton = ahocorasick.Automaton()
         for token, i in vocab.items():
@@ -77,10 +84,11 @@ class Tokenizer:
         self.words: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
-    def merged(self, data: bytes) -> list[int]:
-        """The merge rules applied one by one, lowest rank first; used only on the bytes of one or two tokens."""
+    def merged(self, data: bytes, until: int = 1) -> list[int]:
+        """The merge rules applied one by one, lowest rank first, while more than ``until`` tokens are left; used only on the bytes
+        of one or two tokens."""
         ids = [self.byte_ids[b] for b in data]
-        while len(ids) > 1:
+        while len(ids) > until:
             ranked = [(self.merges[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in self.merges]
             if not ranked:
                 break
@@ -88,44 +96,77 @@ class Tokenizer:
             ids[i : i + 2] = [self.merges[ids[i], ids[i + 1]][1]]
         return ids
 
+    def last_merge(self, token: int) -> tuple[int, int, int] | None:
+        """(left, right, rank) of the merge that completes the bytes of ``token``; () for a byte, None if they give other tokens."""
+        known = self.last_merges.get(token, 0)
+        if known == 0:
+            ids = self.merged(self.token_bytes[token], 2)
+            made = self.merges.get(tuple(ids)) if len(ids) == 2 else None
+            known = () if ids == [token] else (*ids, made[0]) if made and made[1] == token else None
+            self.last_merges[token] = known
+        return known
+
+    def edge(self, token: int, side: int) -> list[tuple[int, float]]:
+        """The tokens that stand at the left (0) or right (1) end of ``token`` while it is merged, each with the rank of the merge
+        that uses it up."""
+        found, limit = [], math.inf
+        while True:
+            found.append((token, limit))
+            made = self.last_merge(token)
+            if not made:
+                return found
+            token, limit = made[side], made[2]
+
     def compatible(self, left: int, right: int) -> bool:
-        """Whether two adjacent tokens survive the merge rules; ``left`` -1: whether ``right`` alone does."""
+        """Whether two adjacent tokens survive the merge rules; ``left`` -1: whether ``right`` alone does.
+
+        They do not if a merge across their border comes before one of its two sides is used up within its own token. Of two
+        merges by the same rule the left one is first.
+        """
         key = (left + 1) << 32 | right
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
-            alone = left < 0
-            data = self.token_bytes[right] if alone else self.token_bytes[left] + self.token_bytes[right]
-            known = self.pairs[key] = self.merged(data) == ([right] if alone else [left, right])
+            known = self.last_merge(right) is not None
+            if known and left >= 0 and not self.ordered:
+                known = self.merged(self.token_bytes[left] + self.token_bytes[right]) == [left, right]
+            elif known and left >= 0:
+                ends, starts, rule = self.edge(left, 1), self.edge(right, 0), self.merges.get
+                known = not any((made := rule((a, b))) and made[0] < used_a and made[0] <= used_b for a, used_a in ends for b, used_b in starts)
+            self.pairs[key] = known
         return known
 
     def encode_word(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
-        n = len(data)
+        n, known, check = len(data), self.pairs.get, self.compatible
         starting: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (length, token) in self.automaton.iter(data.decode("latin-1")):
-            if self.compatible(-1, token):
-                starting[end - length + 1].append((length, token))
+        for end, match in self.automaton.iter(data.decode("latin-1")):
+            starting[end - match[0] + 1].append(match)
         dead = bytearray(n + 1)  # positions from which the rest cannot be finished after the tokens chosen so far
         chosen: list[int] = []
         at: list[tuple[int, int]] = []  # where each chosen token starts, and which candidate of that place it is
-        position, candidate = 0, len(starting[0]) - 1 if n else -1
+        # A token that is compatible with the one before it survives alone too, so only a first token is checked alone.
+        last, position, candidate = -1, 0, len(starting[0]) - 1 if n else -1
         while position < n:
-            last = chosen[-1] if chosen else -1
+            here = starting[position]
             while candidate >= 0:
-                length, token = starting[position][candidate]
-                if not dead[position + length] and (last < 0 or self.compatible(last, token)):
-                    break
+                length, token = here[candidate]
+                if not dead[position + length]:
+                    fits = known((last + 1) << 32 | token)
+                    if check(last, token) if fits is None else fits:
+                        break
                 candidate -= 1
             if candidate >= 0:
                 chosen.append(token)
                 at.append((position, candidate))
+                last = token
                 position += length
                 candidate = len(starting[position]) - 1 if position < n else -1
             elif chosen:
                 dead[position] = 1
                 chosen.pop()
+                last = chosen[-1] if chosen else -1
                 position, candidate = at.pop()
                 candidate -= 1
             else:
