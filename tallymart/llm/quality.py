@@ -8,7 +8,12 @@ every document.
 
 Trusted documents are those labelled good and not toxic. A document's cross-entropy is drawn towards its language's trusted mean
 as if it had ``PRIOR`` more characters, since short texts scatter. A document is rejected if it lies above the ``QUANTILE`` of
-its language's trusted documents by more than ``MARGIN``; languages without trusted documents use all of them.
+its language's trusted documents by more than ``MARGIN``; languages without trusted documents use all of them. The margin stands
+for the model having seen the trusted documents: clean documents that it has not seen lie higher.
+
+A text that repeats itself has a low perplexity. So a document's evenness, the entropy of its own n-gram counts over the
+logarithm of its length, is drawn towards the trusted mean in the same way, and a document below the 1 - ``QUANTILE`` of its
+language's trusted documents repeats. Evenness needs no model, so this bound has no margin.
 
 Null texts count as empty: they take their language's mean and are kept. Null languages are a language of their own. Repeated
 rows are scored alike; labels without documents, null labels and repeated labels change nothing. Without any trusted document
@@ -129,9 +134,13 @@ def model(texts: DataFrame) -> DataFrame:
 
 
 def _gram_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, lang, key, text) with grams, array of (code, n), in the place of text; a few documents to a batch."""
+    """``docs`` (doc_id, lang, key, text) with grams, array of (code, n), and evenness in the place of text; a few documents to a batch."""
     item = pa.struct([("code", pa.int32()), ("n", pa.int32())])
 
+    def evenness(n: np.ndarray) -> float:
+        total = n.sum()
+        return float((np.log(total) - (n * np.log(n)).sum() / total) / np.log(total + 1)) if total else 0.0
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
@@ -140,39 +149,51 @@ def _gram_counts(docs: DataFrame) -> DataFrame:
                 ends = np.cumsum([0, *(len(c) for c, _ in found)]).astype(np.int32)
                 columns = [pa.array(np.concatenate([f[i] for f in found]).astype(np.int32)) for i in (0, 1)]
                 grams = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, fields=list(item)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], grams], ["doc_id", "lang", "key", "grams"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], grams, pa.array([evenness(n) for _, n in found])], ["doc_id", "lang", "key", "grams", "even"])
 
     types = dict(docs.dtypes)
-    schema = f"doc_id {types['doc_id']}, lang {types['lang']}, key long, grams array<struct<code: int, n: int>>"
+    schema = f"doc_id {types['doc_id']}, lang {types['lang']}, key long, grams array<struct<code: int, n: int>>, even double"
     return docs.select("doc_id", "lang", "key", "text").mapInArrow(count, schema)
 
 
 def scores(docs: DataFrame, table: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(doc_id, lang, key, bits, n): summed negative log-probability and characters of each document; key: hash of the text."""
+    """(doc_id, lang, key, bits, n, even): summed negative log-probability, characters and evenness of each document; key: hash of
+    the text."""
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = _gram_counts(docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), key.alias("key"), F.col(text).alias("text")))
-    each = rows.select("doc_id", "lang", "key", F.inline_outer("grams"))
+    each = rows.select("doc_id", "lang", "key", "even", F.inline_outer("grams"))
     each = each.join(F.broadcast(table.withColumn("code", F.col("code").cast("int"))), "code", "left")
-    sums = each.groupBy("doc_id", "lang", "key").agg(F.sum(-F.col("n") * F.col("logp")).alias("bits"), F.sum("n").alias("n"))
-    return sums.select("doc_id", "lang", "key", F.coalesce("bits", F.lit(0.0)).alias("bits"), F.coalesce("n", F.lit(0)).alias("n"))
+    sums = each.groupBy("doc_id", "lang", "key").agg(F.sum(-F.col("n") * F.col("logp")).alias("bits"), F.sum("n").alias("n"), F.first("even").alias("even"))
+    return sums.select("doc_id", "lang", "key", F.coalesce("bits", F.lit(0.0)).alias("bits"), F.coalesce("n", F.lit(0)).alias("n"), "even")
 
 
 def judge(scored: DataFrame, labels: DataFrame) -> DataFrame:
-    """``scored`` (settled scores) with perplexity, threshold (a perplexity too) and keep."""
+    """``scored`` (settled scores) with perplexity, threshold (a perplexity too), keep (not above it) and repeats."""
     good = trusted(scored, labels)
-    means = good.groupBy("lang").agg(F.try_divide(F.sum("bits"), F.sum("n")).alias("mean"))
-    any_mean = good.agg(F.try_divide(F.sum("bits"), F.sum("n"))).first()[0] or float(np.log(CLASSES))
+    means = good.groupBy("lang").agg(F.try_divide(F.sum("bits"), F.sum("n")).alias("mean"), F.try_divide(F.sum(F.col("even") * F.col("n")), F.sum("n")).alias("mean_even"))
+    every = good.agg(F.try_divide(F.sum("bits"), F.sum("n")), F.try_divide(F.sum(F.col("even") * F.col("n")), F.sum("n"))).first()
+    any_mean, any_even = every[0] or float(np.log(CLASSES)), every[1] or 0.0
     langs = scored.select("lang").distinct()
     means = langs.join(means.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left")
-    means = settle(means.select("lang", F.coalesce("mean", F.lit(any_mean)).alias("mean")), "quality-means")
+    means = settle(means.select("lang", F.coalesce("mean", F.lit(any_mean)).alias("mean"), F.coalesce("mean_even", F.lit(any_even)).alias("mean_even")), "quality-means")
 
     def entropy(df: DataFrame) -> DataFrame:
         m = means.withColumnRenamed("lang", "l")
         joined = df.join(m, F.col("lang").eqNullSafe(F.col("l"))).drop("l")
+        joined = joined.withColumn("even_step", F.floor((F.col("even") * F.col("n") + PRIOR * F.col("mean_even")) / (F.col("n") + PRIOR) / STEP))
         return joined.withColumn("entropy", (F.col("bits") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR))
 
-    steps = entropy(good).groupBy("lang", F.floor(F.col("entropy") / STEP).alias("step")).agg(F.count("*").alias("n"))
-    steps = settle(steps, "quality-steps")
+    ranked = settle(entropy(good).select("lang", F.floor(F.col("entropy") / STEP).alias("step"), "even_step"), "quality-ranked")
+    count = lambda step: ranked.groupBy("lang", F.col(step).alias("step")).agg(F.count("*").alias("n"))
+    steps, evens = settle(count("step"), "quality-steps"), settle(count("even_step"), "quality-evens")
+
+    def lowest(per: list[str]) -> DataFrame:
+        """Step of evenness that holds the 1 - QUANTILE."""
+        w = W.partitionBy(*per) if per else W.partitionBy(F.lit(0))
+        each = evens.groupBy(*per, "step").agg(F.sum("n").alias("n"))
+        upto, total = F.sum("n").over(w.orderBy("step")), F.sum("n").over(w)
+        reached = each.withColumn("upto", upto).withColumn("total", total).where(F.col("upto") > (1 - QUANTILE) * F.col("total"))
+        return reached.groupBy(*per).agg(F.min("step").alias("least"))
 
     def quantile(per: list[str]) -> DataFrame:
         """Upper end of the step that holds the quantile; a window runs over the steps of a language."""
@@ -183,23 +204,26 @@ def judge(scored: DataFrame, labels: DataFrame) -> DataFrame:
         reached = each.withColumn("upto", upto).withColumn("total", total).where(F.col("upto") >= QUANTILE * F.col("total"))
         return reached.groupBy(*per).agg(((F.min("step") + 1) * F.lit(STEP) + MARGIN).alias("limit"))
 
-    limits = langs.join(quantile(["lang"]).withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left")
-    any_limit = (quantile([]).first() or [None])[0]
-    limits = settle(limits.select(F.col("lang").alias("l"), F.coalesce("limit", F.lit(any_limit).cast("double")).alias("limit")), "quality-limits")
+    limits = langs.join(quantile(["lang"]).withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
+    limits = limits.join(lowest(["lang"]).withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left")
+    any_limit, any_least = ((q([]).first() or [None])[0] for q in (quantile, lowest))
+    limits = limits.select(F.col("lang").alias("l"), F.coalesce("limit", F.lit(any_limit).cast("double")).alias("limit"), F.coalesce("least", F.lit(any_least).cast("long")).alias("least"))
+    limits = settle(limits, "quality-limits")
     judged = entropy(scored).join(limits, F.col("lang").eqNullSafe(F.col("l"))).drop("l")
     keep = F.coalesce(F.col("entropy") <= F.col("limit"), F.lit(True))
-    return judged.select("doc_id", "lang", "key", F.exp("entropy").alias("perplexity"), F.exp("limit").alias("threshold"), keep.alias("keep"))
+    repeats = F.coalesce(F.col("even_step") < F.col("least"), F.lit(False))
+    return judged.select("doc_id", "lang", "key", F.exp("entropy").alias("perplexity"), F.exp("limit").alias("threshold"), keep.alias("keep"), repeats.alias("repeats"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(doc_id, lang, key, perplexity, threshold, keep), one row for each distinct (doc_id, lang, text)."""
+    """(doc_id, lang, key, perplexity, threshold, keep, repeats), one row for each distinct (doc_id, lang, text)."""
     texts = trusted(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), labels)
     scored = settle(scores(docs, model(texts), doc_id, text, lang), "quality-scores")
     return judge(scored, labels)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with all their columns."""
-    kept = settle(classify(docs, labels, doc_id, text, lang).where("keep").select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l"), F.col("key").alias("_k")), "quality-kept")
+    """The rows of ``docs`` that the classifier keeps and that do not repeat themselves, with all their columns."""
+    kept = settle(classify(docs, labels, doc_id, text, lang).where("keep AND NOT repeats").select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l"), F.col("key").alias("_k")), "quality-kept")
     same = F.col(doc_id).eqNullSafe(F.col("_d")) & F.col(lang).eqNullSafe(F.col("_l")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_k"))
     return docs.join(kept, same, "left_semi")

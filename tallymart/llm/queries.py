@@ -43,7 +43,7 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "lang", "perplexity", "threshold", "keep")
+    return judged.select("doc_id", "lang", "perplexity", "threshold", "keep", "repeats")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,6 +148,16 @@ def test_quality_edges(spark):
     assert quality.keep_good(rows.limit(0), labels).count() == 0
 
 
+def test_texts_that_repeat_themselves_go(spark):
+    rng, words = np.random.default_rng(4), ["the", "cat", "sat", "on", "a", "mat", "while", "dogs", "ran", "home"]
+    rows = [(i, " ".join(rng.choice(words, 200)), "en") for i in range(40)] + [(100, "the " * 2000, "en"), (101, rows_text := " ".join(rng.choice(words, 200)), "en"), (102, rows_text, "en"), (102, rows_text, "en")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in quality.classify(docs(spark, rows), labels).collect()}
+    assert out[100].keep and out[100].repeats and out[101].repeats == out[102].repeats and sum(out[i].repeats for i in range(40)) == 0
+    kept = {r.doc_id for r in quality.keep_good(docs(spark, rows), labels).collect()}
+    assert 100 not in kept and kept >= set(range(40))
+
+
 # Token counts
 
 
