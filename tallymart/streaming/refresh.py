@@ -2,11 +2,13 @@
 
 A micro-batch names changed entities. Their newest snapshots are compared with the stored state; the same contribution operators
 that rebuild the mart give signed changes, which are added to the stored reports. Entities whose change touches others cause
-those to be refreshed too, until nothing new is named or the passes run out; what is left is returned for the next batch.
+those to be refreshed too, until nothing new is named or the passes run out; what is left is returned. The stream runs passes until nothing is left, since
+no later message need come.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,16 +50,17 @@ def next_state(mart: Mart, records: DataFrame, relations: DataFrame, ids: DataFr
     return fresh.select(*old_records.columns).unionByName(others.select(*old_records.columns)), kept.unionByName(mine.unionByName(theirs).distinct())
 
 
-def refresh(mart: Mart, records: DataFrame, relations: DataFrame, changed: DataFrame, operation: str = "refresh", passes: int = PASSES) -> tuple[Mart, DataFrame]:
+def refresh(mart: Mart, records: DataFrame, relations: DataFrame, changed: DataFrame, operation: str = "refresh", passes: int | None = PASSES) -> tuple[Mart, DataFrame]:
     """The next mart, and the ids still to be refreshed, after ``changed`` (entity_id) took their newest snapshots.
 
     ``records`` and directed ``relations`` are the newest snapshots of all entities; an entity without records is gone.
+    ``passes`` None: as many as it takes, each of which refreshes one entity more at least.
     """
     both = settle(directed(relations), "refresh-relations") if "rev_match_key" in relations.columns else relations
     ids = settle(changed.select("entity_id").distinct(), "refresh-ids")
     left = ids
     old = tuple(settle(s, "refresh-old") for s in mart.state())
-    for _ in range(passes):
+    for _ in itertools.count() if passes is None else range(passes):
         new = tuple(settle(s, "refresh-new") for s in next_state(mart, records, both, ids))
         left = settle(follow_ups(old, new).join(ids, "entity_id", "left_anti"), "refresh-left")
         if left.isEmpty():
@@ -110,7 +113,7 @@ def refresh_stream(
         changed = affected_entities(read_messages(batch).select("message")).select("entity_id").distinct()
         mart = read_mart(spark, mart_path) or empty_mart(spark)
         records, relations = snapshots()
-        after, _ = refresh(mart, records, relations, changed, operation=f"batch-{number}")
+        after, _ = refresh(mart, records, relations, changed, operation=f"batch-{number}", passes=None)
         write_mart(after, mart_path, number)
 
     return feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()

@@ -8,7 +8,7 @@ from tallymart.operators.rollup import reconcile
 from tallymart.plans.mart import rebuild
 from tallymart.scratch import settle, shared_path
 from tallymart.sources.store import LOADED, current, read_mart, write_mart
-from tallymart.streaming.refresh import empty_mart, refresh
+from tallymart.streaming.refresh import PASSES, empty_mart, refresh, refresh_stream
 
 RECORDS = "entity_id long, data_source string, record_id string, match_key string, errule_code string"
 RELATIONS = "entity_id long, related_id long, match_type string, match_key string, rev_match_key string, errule_code string"
@@ -87,3 +87,15 @@ def test_report_keeps_zero_rows(spark, seed):
     mart, _ = refresh(rebuild(*state(spark, seed)), spark.createDataFrame([], RECORDS), spark.createDataFrame([], RELATIONS), spark.range(1, 13).withColumnRenamed("id", "entity_id"))
     assert mart.report.count() > 0 and mart.report.where("entity_count <> 0 OR record_count <> 0 OR relation_count <> 0").count() == 0
     assert mart.report_detail.count() == 0 and mart.entity.count() == 0
+
+
+def test_stream_follows_a_long_chain(spark):
+    """Every entity gets a relation to the next one; the feed names only the first."""
+    n, path, feed = PASSES + 4, shared_path(spark, "test-mart"), shared_path(spark, "test-feed")
+    records = spark.createDataFrame([(i, "A", str(i), None, None) for i in range(1, n + 1)], RECORDS)
+    chain = spark.createDataFrame([(i, i + 1, "POSSIBLE_MATCH", "+NAME", "+NAME", "P") for i in range(1, n)], RELATIONS)
+    write_mart(rebuild(records, spark.createDataFrame([], RELATIONS)), path, LOADED)
+    spark.createDataFrame([('{"DATA_SOURCE":"A","RECORD_ID":"1","AFFECTED_ENTITIES":[{"ENTITY_ID":1}]}',)], "body string").write.parquet(feed)
+    stream = spark.readStream.schema("body string").parquet(feed)
+    refresh_stream(stream, lambda: (records, chain), path, shared_path(spark, "test-state"), trigger={"availableNow": True}).awaitTermination()
+    same(read_mart(spark, path), records, chain)
