@@ -99,3 +99,14 @@ def test_stream_follows_a_long_chain(spark):
     stream = spark.readStream.schema("body string").parquet(feed)
     refresh_stream(stream, lambda: (records, chain), path, shared_path(spark, "test-state"), trigger={"availableNow": True}).awaitTermination()
     same(read_mart(spark, path), records, chain)
+
+
+def test_fingerprints_hold_no_list_of_an_entity(spark):
+    from tallymart.operators.diff import entity_fingerprints
+
+    none = spark.createDataFrame([], RELATIONS)
+    hashed = lambda rows: entity_fingerprints(spark.createDataFrame(rows, RECORDS), none)
+    a, b, c = (1, "A", "1", None, "R"), (1, "A", "2", "k", None), (1, "A", "1", "", "R")
+    out = [hashed(rows).first().entity_hash for rows in ([a, b], [b, a], [a, a, b], [a, b, b], [a, a, a, b], [c, b], [a], [a, a, a])]
+    assert out[0] == out[1] and len(set(out)) == 7
+    assert "collect_list" not in hashed([a])._jdf.queryExecution().optimizedPlan().toString()
