@@ -32,9 +32,14 @@ def classify_match(is_ambiguous: Column, is_disclosed: Column, level_code: Colum
     )
 
 
+def trimmed(text: Column) -> Column:
+    """Text without leading and trailing characters up to U+0020."""
+    return F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+
+
 def normalise_blank(text: Column) -> Column:
-    """Text without leading and trailing characters up to U+0020; null where nothing is left."""
-    return F.nullif(F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), F.lit(""))
+    """:func:`trimmed` text; null where nothing is left."""
+    return F.nullif(trimmed(text), F.lit(""))
 
 
 #: A component of a match key (sign, then escaped or plain characters up to the next sign), and one that carries two roles.
@@ -45,9 +50,9 @@ ROLES = r"(?s)^((?:\\.|[^\\(])*(?:\\\S|[^\\(\s]))\(((?:\\.|[^\\:)])*):((?:\\.|[^
 def reverse_match_key(key: Column) -> Column:
     """The match key seen from the other side: both roles swapped in every component that has exactly two. Null stays null,
     a blank key stays as it is, others are trimmed."""
-    parts = F.regexp_extract_all(F.trim(key), F.lit(COMPONENT), F.lit(0))
+    parts = F.regexp_extract_all(trimmed(key), F.lit(COMPONENT), F.lit(0))
     swapped = F.array_join(F.transform(parts, lambda c: F.regexp_replace(c, ROLES, "$1($3:$2)$4")), "")
-    return F.when(F.trim(key) == "", key).otherwise(swapped)
+    return F.when(trimmed(key) == "", key).otherwise(swapped)
 
 
 def format_statistic(base: Column, match_key: Column, principle: Column) -> Column:
@@ -59,7 +64,7 @@ def format_statistic(base: Column, match_key: Column, principle: Column) -> Colu
 def parse_statistic(text: Column) -> Column:
     """Struct (statistic, principle, match_key); the key may hold colons, empty parts are null."""
     parts = F.split(text, ":", 3)
-    part = lambda i: F.nullif(F.trim(F.get(parts, F.lit(i))), F.lit(""))
+    part = lambda i: normalise_blank(F.get(parts, F.lit(i)))
     return F.struct(F.get(parts, F.lit(0)).alias("statistic"), part(1).alias("principle"), part(2).alias("match_key"))
 
 

@@ -4,20 +4,22 @@ States are records (entity_id, data_source, record_id, match_key, errule_code) a
 match_type, match_key, rev_match_key, errule_code). A contribution row is (report, statistic, source1, source2, entity_id,
 related_id, entities, records, relations); related_id is 0 at entity level.
 
-Fan-out stays with the entity: records are reduced to source counts and distinct variants before the joins. All joins are equi-
-joins on entity ids, so a hub entity is a skewed join that adaptive execution splits.
+Fan-out stays with the entity: records are read once, reduced to source counts and distinct variants (:func:`summary`), and all
+statistics start from these. All joins are equi-joins on entity ids, so a hub entity is a skewed join that adaptive execution
+splits.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import CSS, DSS, ERB, ESB, format_statistic, statistic_of
+from ..scratch import settle
 from ..sources.snapshots import source_summary
-from .diff import entity_counts
 
 COLUMNS = ("report", "statistic", "source1", "source2", "entity_id", "related_id", "entities", "records", "relations")
 
@@ -31,6 +33,18 @@ def _rows(df: DataFrame, report: Column | str, statistic: Column, source1: Colum
     )
 
 
+class Summary(NamedTuple):
+    """What the statistics need to know of records: (entity_id, data_source, records) and (entity_id, match_key, principle)."""
+
+    sources: DataFrame
+    variants: DataFrame
+
+
+def summary(records: DataFrame | Summary) -> Summary:
+    """Records reduced to source counts and variants; a summary stays as it is."""
+    return records if isinstance(records, Summary) else Summary(source_summary(records), match_pair_variants(records))
+
+
 def match_pair_variants(records: DataFrame) -> DataFrame:
     """(entity_id, match_key, principle): the pairs, with wildcards as nulls, under which an entity's matches are counted."""
     key, rule = F.col("match_key"), F.col("errule_code")
@@ -52,47 +66,55 @@ def relation_variants(relations: DataFrame) -> DataFrame:
     return relations.select("entity_id", "related_id", "match_type", F.explode(pairs).alias("v")).select("entity_id", "related_id", "match_type", "v.*")
 
 
-def related_sources(relations: DataFrame, records: DataFrame) -> DataFrame:
+def related_sources(relations: DataFrame, records: DataFrame | Summary) -> DataFrame:
     """(entity_id, related_id, source2): the data sources of each related entity."""
-    theirs = records.select(F.col("entity_id").alias("related_id"), F.col("data_source").alias("source2")).distinct()
+    theirs = summary(records).sources.select(F.col("entity_id").alias("related_id"), F.col("data_source").alias("source2"))
     return relations.select("entity_id", "related_id").distinct().join(theirs, "related_id").select("entity_id", "related_id", "source2")
 
 
-def source_pairs(relations: DataFrame, records: DataFrame) -> DataFrame:
+def _own(records: DataFrame | Summary) -> DataFrame:
+    return summary(records).sources.withColumnRenamed("data_source", "source1")
+
+
+def source_pairs(relations: DataFrame, records: DataFrame | Summary, around: DataFrame | Summary | None = None) -> DataFrame:
     """(entity_id, related_id, source1, source2, records): own sources against those of each related entity, directed."""
-    own = source_summary(records).withColumnRenamed("data_source", "source1")
-    return related_sources(relations, records).join(own, "entity_id").select("entity_id", "related_id", "source1", "source2", "records")
+    theirs = related_sources(relations, records if around is None else around)
+    return theirs.join(_own(records), "entity_id").select("entity_id", "related_id", "source1", "source2", "records")
 
 
-def entity_counts_by_source(records: DataFrame) -> DataFrame:
+def entity_counts_by_source(records: DataFrame | Summary) -> DataFrame:
     """DSS ENTITY_COUNT: entities and records of each source."""
     s = F.col("data_source")
-    return _rows(source_summary(records), DSS, F.lit("ENTITY_COUNT"), s, s, entities=1, records=F.col("records"))
+    return _rows(summary(records).sources, DSS, F.lit("ENTITY_COUNT"), s, s, entities=1, records=F.col("records"))
+
+
+def _totals(records: DataFrame | Summary) -> DataFrame:
+    """(entity_id, n, data_source): records of each entity, and its least source."""
+    return summary(records).sources.groupBy("entity_id").agg(F.sum("records").alias("n"), F.min("data_source").alias("data_source"))
 
 
-def unmatched(records: DataFrame) -> DataFrame:
+def unmatched(records: DataFrame | Summary) -> DataFrame:
     """DSS UNMATCHED_COUNT: entities of one record."""
-    single = records.groupBy("entity_id").agg(F.count("*").alias("n"), F.min("data_source").alias("data_source")).where("n = 1")
     s = F.col("data_source")
-    return _rows(single, DSS, F.lit("UNMATCHED_COUNT"), s, s, entities=1, records=1)
+    return _rows(_totals(records).where("n = 1"), DSS, F.lit("UNMATCHED_COUNT"), s, s, entities=1, records=1)
 
 
 def _matched() -> Column:
     return format_statistic(F.lit("MATCHED_COUNT"), F.col("match_key"), F.col("principle"))
 
 
-def matched(records: DataFrame) -> DataFrame:
+def matched(records: DataFrame | Summary) -> DataFrame:
     """DSS MATCHED_COUNT: sources with several records in one entity, all of them counted under each variant."""
-    several = source_summary(records).where("records > 1").join(match_pair_variants(records), "entity_id")
+    sources, variants = summary(records)
     s = F.col("data_source")
-    return _rows(several, DSS, _matched(), s, s, entities=1, records=F.col("records"))
+    return _rows(sources.where("records > 1").join(variants, "entity_id"), DSS, _matched(), s, s, entities=1, records=F.col("records"))
 
 
-def cross_matched(records: DataFrame) -> DataFrame:
+def cross_matched(records: DataFrame | Summary) -> DataFrame:
     """CSS MATCHED_COUNT: ordered pairs of different sources in one entity; records are those of the first."""
-    own = source_summary(records).withColumnRenamed("data_source", "source1")
+    own = _own(records)
     other = own.select("entity_id", F.col("source1").alias("source2"))
-    pairs = own.join(other, "entity_id").where("source1 <> source2").join(match_pair_variants(records), "entity_id")
+    pairs = own.join(other, "entity_id").where("source1 <> source2").join(summary(records).variants, "entity_id")
     return _rows(pairs, CSS, _matched(), F.col("source1"), F.col("source2"), entities=1, records=F.col("records"))
 
 
@@ -101,46 +123,54 @@ def _related(pairs: DataFrame) -> tuple[Column, Column]:
     return F.when(F.col("source1") == F.col("source2"), DSS).otherwise(CSS), statistic
 
 
-def relation_entities(relations: DataFrame, records: DataFrame) -> DataFrame:
+def relation_entities(relations: DataFrame, records: DataFrame | Summary, around: DataFrame | Summary | None = None) -> DataFrame:
     """DSS and CSS relation statistics at entity level: an entity counts once for each source pair and variant."""
-    variants = relation_variants(relations).join(related_sources(relations, records), ["entity_id", "related_id"])
+    variants = relation_variants(relations).join(related_sources(relations, records if around is None else around), ["entity_id", "related_id"])
     variants = variants.select("entity_id", "match_type", "match_key", "principle", "source2").distinct()
-    pairs = variants.join(source_summary(records).withColumnRenamed("data_source", "source1"), "entity_id")
+    pairs = variants.join(_own(records), "entity_id")
     report, statistic = _related(pairs)
     return _rows(pairs, report, statistic, F.col("source1"), F.col("source2"), entities=1, records=F.col("records"))
 
 
-def relation_pairs(relations: DataFrame, records: DataFrame) -> DataFrame:
+def relation_pairs(relations: DataFrame, records: DataFrame | Summary, around: DataFrame | Summary | None = None) -> DataFrame:
     """DSS and CSS relation statistics at pair level: each direction of a relation, for each source pair and variant."""
-    pairs = relation_variants(relations).join(source_pairs(relations, records), ["entity_id", "related_id"])
+    pairs = relation_variants(relations).join(source_pairs(relations, records, around), ["entity_id", "related_id"])
     report, statistic = _related(pairs)
     return _rows(pairs, report, statistic, F.col("source1"), F.col("source2"), related_id=F.col("related_id"), relations=1)
 
 
-def sizes(records: DataFrame) -> DataFrame:
+def sizes(records: DataFrame | Summary) -> DataFrame:
     """ESB: entities by number of records."""
     none = F.lit(None)
-    counted = records.groupBy("entity_id").agg(F.count("*").alias("n"))
-    return _rows(counted, ESB, F.col("n").cast("string"), none, none, entities=1)
+    return _rows(_totals(records), ESB, F.col("n").cast("string"), none, none, entities=1)
 
 
-def relation_counts(relations: DataFrame, records: DataFrame) -> DataFrame:
+def relation_counts(relations: DataFrame, records: DataFrame | Summary) -> DataFrame:
     """ERB: entities by number of relations, those without any included."""
     none = F.lit(None)
-    return _rows(entity_counts(records, relations), ERB, F.col("relation_count").cast("string"), none, none, entities=1)
+    links = relations.groupBy("entity_id").agg(F.count("*").alias("links"))
+    counted = summary(records).sources.select("entity_id").distinct().join(links, "entity_id", "left").na.fill(0, ["links"])
+    return _rows(counted, ERB, F.col("links").cast("string"), none, none, entities=1)
 
 
-def contributions(records: DataFrame, relations: DataFrame) -> DataFrame:
-    """All contributions of a state."""
+def contributions(records: DataFrame, relations: DataFrame, around: DataFrame | None = None) -> DataFrame:
+    """All contributions of the entities of ``records``; ``around``: records of the related entities, if others hold them too."""
+    own = Summary(*(settle(s, "summary") for s in summary(records)))
+    theirs = own if around is None else Summary(settle(source_summary(around), "summary-around"), own.variants)
     parts = [
-        entity_counts_by_source(records), unmatched(records), matched(records), cross_matched(records), relation_entities(relations, records), relation_pairs(relations, records), sizes(records),
-        relation_counts(relations, records),
+        entity_counts_by_source(own), unmatched(own), matched(own), cross_matched(own), relation_entities(relations, own, theirs), relation_pairs(relations, own, theirs), sizes(own),
+        relation_counts(relations, own),
     ]
     return reduce(DataFrame.unionAll, parts)
 
 
-def contribution_deltas(old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """New minus old contributions of the states (records, directed relations), zero sums left out."""
-    minus = contributions(*old).select(*COLUMNS[:6], *[(-F.col(c)).alias(c) for c in COLUMNS[6:]])
-    sums = contributions(*new).unionAll(minus).groupBy(*COLUMNS[:6]).agg(*[F.sum(c).alias(c) for c in COLUMNS[6:]])
+def difference(old: DataFrame, new: DataFrame) -> DataFrame:
+    """New minus old contributions, zero sums left out."""
+    minus = old.select(*COLUMNS[:6], *[(-F.col(c)).alias(c) for c in COLUMNS[6:]])
+    sums = new.unionAll(minus).groupBy(*COLUMNS[:6]).agg(*[F.sum(c).alias(c) for c in COLUMNS[6:]])
     return sums.where("entities <> 0 OR records <> 0 OR relations <> 0")
+
+
+def contribution_deltas(old: tuple[DataFrame, ...], new: tuple[DataFrame, ...]) -> DataFrame:
+    """New minus old contributions of the states (records, directed relations)."""
+    return difference(contributions(*old[:2]), contributions(*new[:2]))

@@ -66,33 +66,46 @@ def entity_counts(records: DataFrame, relations: DataFrame) -> DataFrame:
     return own.join(links, "entity_id", "left").na.fill(0, ["relation_count"])
 
 
-def entity_count_deltas(old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame]) -> DataFrame:
+def entity_count_deltas(old: tuple[DataFrame, ...], new: tuple[DataFrame, ...]) -> DataFrame:
     """(entity_id, record_delta, relation_delta) of entities whose counts differ; states are (records, directed relations)."""
-    both = _outer(entity_counts(*old), entity_counts(*new), ["entity_id"], ["record_count", "relation_count"])
+    both = _outer(entity_counts(*old[:2]), entity_counts(*new[:2]), ["entity_id"], ["record_count", "relation_count"])
     delta = lambda n: F.coalesce(f"new_{n}", F.lit(0)) - F.coalesce(f"old_{n}", F.lit(0))
     both = both.select("entity_id", delta("record_count").alias("record_delta"), delta("relation_count").alias("relation_delta"))
     return both.where("record_delta <> 0 OR relation_delta <> 0")
 
 
-def _digest(lines: Column) -> Column:
-    """Digest of a multiset of lines by sums that do not depend on order: a few numbers for each group, however large."""
-    one, two = F.xxhash64(F.lit(1), lines), F.xxhash64(F.lit(2), lines)
+def _digest(*values: str) -> Column:
+    """Digest of a multiset of rows by sums that do not depend on order: a few numbers for each group, however large. Nulls are
+    hashed as such, since the hash function passes over them."""
+    parts = [x for v in values for x in (F.col(v).isNull(), F.col(v))]
+    one, two = F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
     total = lambda h: F.sum(h.cast("decimal(20,0)"))
     parts = [F.count("*"), total(one), total(two), F.bit_xor(one), F.bit_xor(two)]
     return F.concat(*[x for p in parts for x in (p.cast("string"), F.lit(":"))])
 
 
-def entity_fingerprints(records: DataFrame, relations: DataFrame) -> DataFrame:
-    """(entity_id, entity_hash): equal hashes mean equal records and relations, related entities' source sets included."""
-    line = lambda *cols: F.concat_ws("\x1e", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols])
-    own = records.groupBy("entity_id").agg(_digest(line("data_source", "record_id", "match_key", "errule_code")).alias("rs"))
-    theirs = source_sets(records).select(F.col("entity_id").alias("related_id"), F.array_join("sources", "\x1c").alias("theirs"))
+def entity_fingerprints(records: DataFrame, relations: DataFrame, names: DataFrame | None = None, around: DataFrame | None = None) -> DataFrame:
+    """(entity_id, entity_hash): equal hashes mean equal name, records and relations, related entities' source sets included.
+
+    ``names``: (entity_id, entity_name); entities that are not in it have no name. ``around``: records of the related entities, if
+    ``records`` does not hold them.
+    """
+    own = records.groupBy("entity_id").agg(_digest("data_source", "record_id", "match_key", "errule_code").alias("rs"))
+    theirs = source_sets(records if around is None else around).select(F.col("entity_id").alias("related_id"), F.col("sources").alias("theirs"))
     links = relations.join(theirs, "related_id", "left").groupBy("entity_id")
-    links = links.agg(_digest(line("related_id", "match_type", "match_key", "errule_code", "theirs")).alias("ls"))
-    return own.join(links, "entity_id", "left").select("entity_id", fingerprint(F.col("rs"), F.col("ls")).alias("entity_hash"))
+    links = links.agg(_digest("related_id", "match_type", "match_key", "errule_code", "theirs").alias("ls"))
+    both = named(own.join(links, "entity_id", "left"), names)
+    return both.select("entity_id", fingerprint(F.col("entity_name"), F.col("rs"), F.col("ls")).alias("entity_hash"))
+
+
+def named(rows: DataFrame, names: DataFrame | None) -> DataFrame:
+    """``rows`` (entity_id) with entity_name, null where ``names`` has none."""
+    if names is None:
+        return rows.withColumn("entity_name", F.lit(None).cast("string"))
+    return rows.join(names.select("entity_id", "entity_name"), "entity_id", "left")
 
 
-def unchanged_entities(old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """(entity_id) of entities whose fingerprint is the same in both states: no work."""
+def unchanged_entities(old: tuple[DataFrame, ...], new: tuple[DataFrame, ...]) -> DataFrame:
+    """(entity_id) of entities whose fingerprint is the same in both states (records, directed relations, names): no work."""
     a, b = entity_fingerprints(*old), entity_fingerprints(*new).withColumnRenamed("entity_hash", "new_hash")
     return a.join(b, "entity_id").where("entity_hash = new_hash").select("entity_id")

@@ -1,15 +1,20 @@
 """Keyset pages over report_detail: the entities, or the related pairs, behind one count.
 
-The page's keys are chosen first (TakeOrderedAndProject); all joins then start from at most ``page_size`` rows.
+A list is named by the plain columns of its report key, so that the filter reaches the scan of a stored report_detail (which is
+partitioned by report and sorted by the other columns). The page's keys are chosen once (TakeOrderedAndProject) and settled; all
+joins then start from at most ``page_size`` rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import settle
+
 #: Default page size, page size for each sampled row, and the four bound types.
 PAGE_SIZE, SAMPLE_FACTOR = 100, 20
 BOUND_TYPES = ("INCLUSIVE_LOWER", "EXCLUSIVE_LOWER", "INCLUSIVE_UPPER", "EXCLUSIVE_UPPER")
@@ -64,18 +69,36 @@ def page(bound: str | int | None = None, bound_type: str | None = None, page_siz
     return Page((first, second), bound_type, size, sample_size, seed)
 
 
+class ReportKey(NamedTuple):
+    """Report key of a list, in plain parts."""
+
+    report: str
+    statistic: str
+    source1: str | None = None
+    source2: str | None = None
+
+    def of(self, detail: DataFrame) -> DataFrame:
+        """Rows of ``detail`` under this key."""
+        for name, value in self._asdict().items():
+            detail = detail.where(F.col(name).isNull() if value is None else F.col(name) == value)
+        return detail
+
+
 def _chosen(keys: DataFrame, names: list[str], p: Page) -> DataFrame:
     """Keys of the page, each with the page's counts: total, before, after, page_min, page_max (of the whole page)."""
     key = F.struct(*names)
     bound = F.struct(*[F.lit(b).cast("long").alias(n) for n, b in zip(names, p.bound)])
     order = [F.col(n).asc() if p.lower else F.col(n).desc() for n in names]
-    rows = keys.where(p.holds(key, bound)).orderBy(*order).limit(p.size)
+    # A bound on the first id alone goes to the scan too.
+    first = F.col(names[0])
+    near = first >= F.lit(p.bound[0]) if p.lower else first <= F.lit(p.bound[0])
+    rows = settle(keys.where(near & p.holds(key, bound)).orderBy(*order).limit(p.size), "page")
     ends = rows.agg(F.min(key).alias("page_min"), F.max(key).alias("page_max"), F.count("*").alias("n"))
     # One row beside one row: the counts of all keys around the page.
     counts = keys.join(F.broadcast(ends), how="inner").groupBy("page_min", "page_max", "n")
     counts = counts.agg(F.count("*").alias("total"), F.count_if(key < F.col("page_min")).alias("before")).withColumn("after", F.col("total") - F.col("n") - F.col("before"))
     if p.sample:
-        rows = rows.orderBy(F.xxhash64(F.lit(p.seed), *names), *names).limit(p.sample)
+        rows = rows.orderBy(F.md5(F.concat_ws(":", F.lit(p.seed), *names)), *names).limit(p.sample)
     text = lambda c: F.concat_ws(":", *[F.col(f"{c}.{n}") for n in names])
     return rows.join(F.broadcast(counts.drop("n")), how="inner").select(*names, "total", "before", "after", text("page_min").alias("page_min"), text("page_max").alias("page_max"))
 
@@ -89,17 +112,17 @@ def _described(rows: DataFrame, key: str, entity: DataFrame, record: DataFrame,
     return rows.join(about, F.col(key) == F.col("_id"), "left").drop("_id")
 
 
-def entities_page(detail: DataFrame, entity: DataFrame, record: DataFrame, report_key: str | Column, p: Page | None = None) -> DataFrame:
+def entities_page(detail: DataFrame, entity: DataFrame, record: DataFrame, report_key: ReportKey, p: Page | None = None) -> DataFrame:
     """Entities behind ``report_key``: entity_id, name, counts, records, and the page's counts on each row, ascending."""
     p = p or page()
-    keys = detail.where((F.col("report_key") == report_key) & (F.col("related_id") == 0)).select("entity_id")
+    keys = report_key.of(detail).where("related_id = 0").select("entity_id")
     return _described(_chosen(keys, ["entity_id"], p), "entity_id", entity, record).orderBy("entity_id")
 
 
-def relations_page(detail: DataFrame, entity: DataFrame, record: DataFrame, relation: DataFrame, report_key: str | Column, p: Page | None = None) -> DataFrame:
+def relations_page(detail: DataFrame, entity: DataFrame, record: DataFrame, relation: DataFrame, report_key: ReportKey, p: Page | None = None) -> DataFrame:
     """Pairs behind ``report_key``: both entities with their records, match type, rule, and the key as the first entity sees it."""
     p = p or page(pairs=True)
-    keys = detail.where((F.col("report_key") == report_key) & (F.col("related_id") != 0)).select("entity_id", "related_id")
+    keys = report_key.of(detail).where("related_id <> 0").select("entity_id", "related_id")
     rows = _chosen(keys, ["entity_id", "related_id"], p)
     pair = relation.select(F.col("entity_id").alias("low"), F.col("related_id").alias("high"), "match_type", F.col("match_key").alias("forward"), "rev_match_key", "errule_code")
     rows = F.broadcast(rows).join(pair, (F.least("entity_id", "related_id") == F.col("low")) & (F.greatest("entity_id", "related_id") == F.col("high")), "left")

@@ -28,10 +28,11 @@ def merge_report(report: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def pending_detail(contributions: DataFrame) -> DataFrame:
-    """(report_key, entity_id, related_id, stat_count): entity counts at related_id 0, relation counts at the pair."""
+    """(report_key, report, statistic, source1, source2, entity_id, related_id, stat_count): entity counts at related_id 0, relation
+    counts at the pair."""
     count = F.when(F.col("related_id") == 0, F.col("entities")).otherwise(F.col("relations"))
     sums = contributions.groupBy(*KEY, "entity_id", "related_id").agg(F.sum(count).alias("stat_count")).where("stat_count <> 0")
-    return sums.select(encode_report_key(*map(F.col, KEY)).alias("report_key"), "entity_id", "related_id", "stat_count")
+    return sums.select(encode_report_key(*map(F.col, KEY)).alias("report_key"), *KEY, "entity_id", "related_id", "stat_count")
 
 
 rebuild_detail = pending_detail
@@ -39,7 +40,7 @@ rebuild_detail = pending_detail
 
 def merge_detail(detail: DataFrame, changes: DataFrame) -> DataFrame:
     """``detail`` with ``changes`` (of :func:`pending_detail`) added; rows that reach zero go."""
-    both = detail.unionByName(changes).groupBy("report_key", "entity_id", "related_id").agg(F.sum("stat_count").alias("stat_count"))
+    both = detail.unionByName(changes).groupBy("report_key", *KEY, "entity_id", "related_id").agg(F.sum("stat_count").alias("stat_count"))
     return both.where("stat_count <> 0")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import fingerprint
-from .diff import entity_counts, entity_fingerprints, records_diff, relations_diff, source_sets
+from .diff import entity_counts, entity_fingerprints, named, records_diff, relations_diff, source_sets
 
 AUDIT = ("creator_id", "modifier_id", "created_on", "modified_on")
 
@@ -31,10 +31,10 @@ def with_audit(df: DataFrame, operation: str = "load", now: Column | None = None
     return df.withColumns({"creator_id": F.lit(operation), "modifier_id": F.lit(operation), "created_on": now, "modified_on": now})
 
 
-def entity_rows(records: DataFrame, relations: DataFrame) -> DataFrame:
-    """(entity_id, entity_name, record_count, relation_count, entity_hash) of a state."""
-    name = F.concat(F.lit("ENTITY "), F.col("entity_id").cast("string"))
-    return entity_counts(records, relations).join(entity_fingerprints(records, relations), "entity_id").select("entity_id", name.alias("entity_name"), "record_count", "relation_count", "entity_hash")
+def entity_rows(records: DataFrame, relations: DataFrame, names: DataFrame | None = None, around: DataFrame | None = None) -> DataFrame:
+    """(entity_id, entity_name, record_count, relation_count, entity_hash) of a state; see :func:`entity_fingerprints`."""
+    rows = entity_counts(records, relations).join(entity_fingerprints(records, relations, names, around), "entity_id")
+    return named(rows, names).select("entity_id", "entity_name", "record_count", "relation_count", "entity_hash")
 
 
 def upsert_entities(stored: DataFrame, fresh: DataFrame, operation: str = "load", now: Column | None = None) -> DataFrame:
@@ -151,7 +151,7 @@ def stale_relations(stored: DataFrame, relations: DataFrame, entities: DataFrame
     return unknown.unionByName(known.join(there, pairs, "left_anti").withColumn("kind", F.lit("missing")))
 
 
-def follow_ups(old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame]) -> DataFrame:
+def follow_ups(old: tuple[DataFrame, ...], new: tuple[DataFrame, ...]) -> DataFrame:
     """(entity_id) of the entities to be refreshed again: the other side of every relation that was added, changed or removed,
     all related entities where an entity's own set of sources changed, and the entity itself if anything else is followed."""
     changed = relations_diff(old[1], new[1], old[0], new[0]).select("entity_id", "related_id")

@@ -18,7 +18,7 @@ def _enc(x: str) -> str:
 KEY = f"report || ':' || {_enc('statistic')} || CASE WHEN source1 IS NULL THEN '' ELSE ':' || {_enc('source1')} || coalesce(':' || {_enc('source2')}, '') END"
 
 
-def _state(rec: str, rel: str, s: str) -> str:
+def _state(rec: str, rel: str, s: str, names: str = "fx_names") -> str:
     """Everything that follows from one state; ``s`` ends the names."""
     row = "'{0}' AS report, {1} AS statistic, {2} AS source1, {3} AS source2, entity_id, {4} AS related_id, {5} AS entities, {6} AS records, {7} AS relations"
     code = "CASE WHEN source1 = source2 THEN 'DSS' ELSE 'CSS' END"
@@ -45,12 +45,12 @@ c7{s} AS (SELECT {row.format('ESB', 'CAST(record_count AS VARCHAR)', 'NULL', 'NU
 c8{s} AS (SELECT {row.format('ERB', 'CAST(relation_count AS VARCHAR)', 'NULL', 'NULL', 0, 1, 0, 0)} FROM cnt{s}),
 con{s} AS ({' UNION ALL '.join(f'SELECT * FROM c{i}{s}' for i in range(1, 9))}),
 rep{s} AS (SELECT {KEY} AS report_key, report, statistic, source1, source2, sum(entities) AS entity_count, sum(records) AS record_count, sum(relations) AS relation_count FROM con{s} GROUP BY ALL),
-det{s} AS (SELECT {KEY} AS report_key, entity_id, related_id, sum(CASE WHEN related_id = 0 THEN entities ELSE relations END) AS stat_count FROM con{s} GROUP BY ALL),
+det{s} AS (SELECT {KEY} AS report_key, report, statistic, source1, source2, entity_id, related_id, sum(CASE WHEN related_id = 0 THEN entities ELSE relations END) AS stat_count FROM con{s} GROUP BY ALL),
 sets{s} AS (SELECT entity_id, list_sort(list(DISTINCT data_source)) AS sources FROM {rec} GROUP BY ALL),
 flr{s} AS (SELECT d.*, o.sources AS own, t.sources AS theirs FROM dir{s} d LEFT JOIN sets{s} o ON o.entity_id = d.entity_id LEFT JOIN sets{s} t ON t.entity_id = d.related_id),
 rl{s} AS (SELECT entity_id, list_sort(list(concat_ws('|', data_source, record_id, coalesce(match_key, '-'), coalesce(errule_code, '-')))) AS rl FROM {rec} GROUP BY ALL),
 ll{s} AS (SELECT entity_id, list_sort(list(concat_ws('|', related_id, match_type, match_key, errule_code, CAST(theirs AS VARCHAR)))) AS ll FROM flr{s} GROUP BY ALL),
-ent{s} AS (SELECT entity_id, 'ENTITY ' || entity_id AS entity_name, record_count, relation_count, rl, ll FROM cnt{s} JOIN rl{s} USING (entity_id) LEFT JOIN ll{s} USING (entity_id))"""
+ent{s} AS (SELECT entity_id, entity_name, record_count, relation_count, rl, ll FROM cnt{s} JOIN rl{s} USING (entity_id) LEFT JOIN ll{s} USING (entity_id) LEFT JOIN {names} USING (entity_id))"""
 
 
 DIFFS = """
@@ -77,12 +77,12 @@ body AS (SELECT event_id, trim(body) AS b, try_cast(trim(body) AS JSON) AS j FRO
 whole AS (SELECT event_id, b, CASE WHEN json_type(j) = 'OBJECT' THEN [j] WHEN json_type(j) = 'ARRAY' THEN CAST(j AS JSON[]) END AS ms FROM body),
 ms AS (SELECT event_id, CAST(i - 1 AS INT) AS number, ms[i] AS m FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM whole)),
 parsed AS (SELECT event_id, number, m, coalesce(m->>'DATA_SOURCE', m->>'dataSource') AS data_source, coalesce(m->>'RECORD_ID', m->>'recordId') AS record_id,
-  coalesce(CAST(m->'$.AFFECTED_ENTITIES[*].ENTITY_ID' AS BIGINT[]), []) || coalesce(CAST(m->'$.affectedEntities[*].entityId' AS BIGINT[]), []) AS affected FROM ms),
-aff AS (SELECT event_id, number, unnest(list_distinct(affected)) AS entity_id FROM parsed),
+  list_transform(coalesce(CAST(m->'$.AFFECTED_ENTITIES[*].ENTITY_ID' AS VARCHAR[]), []) || coalesce(CAST(m->'$.affectedEntities[*].entityId' AS VARCHAR[]), []), lambda x: TRY_CAST(x AS BIGINT)) AS affected FROM ms),
+aff AS (SELECT event_id, number, unnest(list_filter(list_distinct(affected), lambda x: x IS NOT NULL)) AS entity_id FROM parsed),
 inter AS (SELECT event_id, number, unnest(CAST(m->'$.INTERESTING_ENTITIES.ENTITIES' AS JSON[])) AS e FROM parsed),
 notes AS (SELECT event_id, number, unnest(coalesce(CAST(m->'$.INTERESTING_ENTITIES.NOTICES' AS JSON[]), []) || coalesce(CAST(m->'$.NOTICES' AS JSON[]), [])) AS n FROM parsed)"""
 
-PRELUDE = f"WITH {common_tables()},{_state('fx_records', 'fx_relations', '')},{_state('fx_records_old', 'fx_relations_old', '_old')},{_state('fx_records_new', 'fx_relations_new', '_new')},{DIFFS},{MESSAGES}"
+PRELUDE = f"WITH {common_tables()},{_state('fx_records', 'fx_relations', '')},{_state('fx_records_old', 'fx_relations_old', '_old', 'fx_names_old')},{_state('fx_records_new', 'fx_relations_new', '_new')},{DIFFS},{MESSAGES}"
 
 ROWS = "report, statistic, source1, source2, entity_id, related_id, entities, records, relations"
 REPORT = "report_key, report, statistic, source1, source2, entity_count, record_count, relation_count"
@@ -167,7 +167,7 @@ STATS = ", ".join(f"'{t}_COUNT'" for t in MATCH_TYPES)
 
 SQL = {
     "parse_messages": "SELECT event_id, number, data_source, record_id, len(affected) AS n_affected FROM parsed",
-    "dead_letters": "SELECT event_id, b AS body FROM whole WHERE ms IS NULL AND b <> ''",
+    "dead_letters": "SELECT event_id, b AS body FROM whole WHERE ms IS NULL AND b <> '' UNION SELECT w.event_id, w.b FROM whole w JOIN parsed p USING (event_id) WHERE len(list_filter(affected, lambda x: x IS NULL)) > 0",
     "affected_entities": "SELECT * FROM aff",
     "touched_records": "SELECT event_id, number, trim(data_source) AS data_source, trim(record_id) AS record_id FROM parsed WHERE trim(data_source) <> '' AND trim(record_id) <> ''",
     "interesting_entities": """SELECT event_id, number, CAST(e->>'ENTITY_ID' AS BIGINT) AS entity_id, CAST(e->>'DEGREES' AS INT) AS degrees, e->'FLAGS'->>0 AS flags,
@@ -187,7 +187,11 @@ SQL = {
     "orient_relations": "SELECT entity_id, related_id, match_type, match_key, rev_match_key, errule_code FROM fx_relations",
     "report_keys": "SELECT report_key, report, statistic, source1, source2 FROM rep",
     "statistic_strings": f"SELECT DISTINCT {STAT.format(base='match_type || ' + chr(39) + '_COUNT' + chr(39))} AS text, match_type || '_COUNT' AS statistic, p AS principle, k AS match_key FROM rv",
-    "fingerprints": "SELECT entity_id, 64 AS hash_length FROM ent",
+    "snapshot_names": "SELECT entity_id, entity_name FROM ent",
+    "related_records": "SELECT d.entity_id, d.related_id, entity_name AS related_name, data_source, record_id FROM dir d LEFT JOIN fx_records r ON r.entity_id = d.related_id LEFT JOIN ent e ON e.entity_id = r.entity_id",
+    "self_relations": "SELECT DISTINCT entity_id FROM fx_records WHERE entity_id % 7 = 0",
+    "fingerprints": """SELECT entity_id, count(*) AS states, count(DISTINCT row(entity_name, rl, ll)) AS hashes
+        FROM (SELECT * FROM ent_old UNION ALL SELECT * FROM ent_new) GROUP BY ALL""",
     "match_pair_variants": "SELECT entity_id, k AS match_key, p AS principle FROM mv",
     "relation_variants": "SELECT entity_id, related_id, match_type, k AS match_key, p AS principle FROM rv",
     "source_pairs": "SELECT entity_id, related_id, source1, source2, records FROM sp",
@@ -196,11 +200,11 @@ SQL = {
     "source_deltas": "SELECT entity_id, data_source, sum(n) AS delta FROM (SELECT entity_id, data_source, records AS n FROM src_new UNION ALL SELECT entity_id, data_source, -records FROM src_old) GROUP BY ALL HAVING sum(n) <> 0",
     "entity_count_deltas": """SELECT entity_id, sum(r) AS record_delta, sum(l) AS relation_delta FROM (SELECT entity_id, record_count AS r, relation_count AS l FROM cnt_new
         UNION ALL SELECT entity_id, -record_count, -relation_count FROM cnt_old) GROUP BY ALL HAVING sum(r) <> 0 OR sum(l) <> 0""",
-    "unchanged_entities": "SELECT o.entity_id FROM ent_old o JOIN ent_new n ON o.entity_id = n.entity_id AND o.rl = n.rl AND o.ll IS NOT DISTINCT FROM n.ll",
-    "upsert_entities": """SELECT coalesce(n.entity_id, o.entity_id) AS entity_id, coalesce(n.entity_name, o.entity_name) AS entity_name, coalesce(n.record_count, o.record_count) AS record_count,
+    "unchanged_entities": "SELECT o.entity_id FROM ent_old o JOIN ent_new n ON o.entity_id = n.entity_id AND o.rl = n.rl AND o.ll IS NOT DISTINCT FROM n.ll AND o.entity_name IS NOT DISTINCT FROM n.entity_name",
+    "upsert_entities": """SELECT coalesce(n.entity_id, o.entity_id) AS entity_id, CASE WHEN n.entity_id IS NULL THEN o.entity_name ELSE n.entity_name END AS entity_name, coalesce(n.record_count, o.record_count) AS record_count,
         coalesce(n.relation_count, o.relation_count) AS relation_count, x.changed, CASE WHEN o.entity_id IS NULL THEN 'second' ELSE 'load' END AS creator_id,
         CASE WHEN o.entity_id IS NULL OR x.changed THEN 'second' ELSE 'load' END AS modifier_id
-        FROM ent_old o FULL JOIN ent_new n ON o.entity_id = n.entity_id, LATERAL (SELECT o.entity_id IS NOT NULL AND n.entity_id IS NOT NULL AND (o.rl <> n.rl OR o.ll IS DISTINCT FROM n.ll) AS changed) x""",
+        FROM ent_old o FULL JOIN ent_new n ON o.entity_id = n.entity_id, LATERAL (SELECT o.entity_id IS NOT NULL AND n.entity_id IS NOT NULL AND (o.rl <> n.rl OR o.ll IS DISTINCT FROM n.ll OR o.entity_name IS DISTINCT FROM n.entity_name) AS changed) x""",
     "delete_entities": "SELECT entity_id, record_count, relation_count FROM ent_old WHERE entity_id IN (SELECT entity_id FROM fx_records_new)",
     "upsert_records": """SELECT coalesce(n.data_source, o.data_source) AS data_source, coalesce(n.record_id, o.record_id) AS record_id, coalesce(n.entity_id, o.entity_id) AS entity_id,
         CASE WHEN n.entity_id IS NULL THEN o.match_key ELSE n.match_key END AS match_key, CASE WHEN n.entity_id IS NULL THEN o.errule_code ELSE n.errule_code END AS errule_code,
@@ -247,8 +251,10 @@ SQL = {
     "source_summary_report": _summaries(f"SELECT '{ONE}'", LOADED, "*", ""),
     "cross_summary": CROSS + _filled(f"SELECT '{ONE}' AS source1, '{TWO}' AS source2", "*", "*"),
     "source_entities": _entities(_key("ENTITY_COUNT", TWO, TWO), ">=", 10, 40),
-    "size_entities": _entities("'ESB:2'", "<=", 60, 10),
-    "relations_entities": _entities("'ERB:0'", "<", 100, 10),
+    "size_entities": _entities("'ESB:2'", "<=", 60000, 10),
+    "relations_entities": _entities("'ERB:2'", "<", 1000, 10),
+    "sampled_entities_page": f"""{_page(_key('ENTITY_COUNT', BASE, BASE), ['entity_id'], '>', '0', 50)}, few AS (SELECT entity_id FROM pg ORDER BY md5('11:' || entity_id), entity_id LIMIT 5)
+        SELECT few.entity_id, entity_name, record_count, relation_count, {_listed('few.entity_id')} AS records, {AROUND} FROM few LEFT JOIN ent USING (entity_id), around""",
     "relations_page_max": _relations(_key("DISCLOSED_RELATION_COUNT", BASE, BASE), "<", (MAX, MAX), 15),
     "report_json": """SELECT '{"entity_size":' || statistic || ',"entity_count":' || entity_count || '}' AS json FROM rep WHERE report = 'ESB'""",
     "write_mart_versions": f"SELECT {REPORT} FROM rep_new",
@@ -256,6 +262,9 @@ SQL = {
     "stream_collapse": "SELECT entity_id, count(*) AS multiplicity FROM aff GROUP BY ALL",
     "stream_refresh": f"SELECT {REPORT} FROM rep_new",
 }
+FOLLOWED = f"""WITH {common_tables()}, tie AS (SELECT unnest(range(2, 42, 4)) AS a), rec AS (SELECT * REPLACE (CASE WHEN entity_id % 100 <> 0 THEN match_key END AS match_key) FROM fx_records),
+rel AS (SELECT * FROM fx_relations WHERE NOT EXISTS (SELECT 1 FROM tie WHERE entity_id = a AND related_id = a + 4) UNION ALL SELECT a, a + 4, 'POSSIBLE_MATCH', '+TIE', '+TIE', 'T' FROM tie),
+{_state('rec', 'rel', '')} SELECT {REPORT} FROM rep"""
 for number, name in enumerate(("entity_count", "unmatched", "matched", "cross_matched", "relation_entities", "relation_pairs", "sizes", "relation_counts"), 1):
     SQL[f"contrib_{name}"] = f"SELECT {ROWS} FROM c{number}"
 for name, kind in zip(("match", "ambiguous", "possible_match", "possible_relation", "disclosed"), KINDS):
@@ -266,4 +275,4 @@ for name, kind in zip(("match", "ambiguous", "possible_match", "possible_relatio
     if name != "match":
         SQL[f"cross_relations_{name}"] = _relations(_key(kind, BASE, ONE), ">=", (30, 40), 20)
 
-ORACLES = {name: f"{PRELUDE}{'' if sql.lstrip().startswith(',') else ' '}{sql}" for name, sql in SQL.items()}
+ORACLES = {"stream_refresh_follow": FOLLOWED} | {name: f"{PRELUDE}{'' if sql.lstrip().startswith(',') else ' '}{sql}" for name, sql in SQL.items()}

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import CSS, DSS, ERB, ESB, parse_statistic
-from ..operators.paging import Page, entities_page, page, relations_page
+from ..operators.paging import Page, ReportKey, entities_page, page, relations_page
 from .mart import Mart
 
 #: The counts of a cross-source summary, in their order, and the names of lists by kind.
@@ -129,8 +129,9 @@ def cross_summary(report: DataFrame, source1: str, source2: str, match_key: str
 
 def _summaries(report: DataFrame, own: DataFrame, others: DataFrame, match_key: str | None, principle: str | None) -> DataFrame:
     """Cross summaries of each source of ``own`` against ``others``; both hold configured or loaded sources only."""
-    # The pairs are the result's own grid: one row for each pair of sources, so their number is not a matter of the data's size.
-    pairs = own.select(F.col("data_source").alias("source1"), F.lit(1).alias("one")).join(others.select(F.col("data_source").alias("source2"), F.lit(1).alias("one")), "one").drop("one")
+    # The pairs are the result's own grid: one row for each pair of sources. The second sources are one array, a few names.
+    names = others.agg(F.array_sort(F.collect_set("data_source")).alias("names"))
+    pairs = own.join(F.broadcast(names), how="inner").select(F.col("data_source").alias("source1"), F.explode("names").alias("source2"))
     filled = _zero_filled(cross_rows(report, match_key, principle), pairs, KINDS, match_key, principle)
     counts = source_counts(report).select(F.col("data_source").alias("source1"), F.col("entity_count").alias("source_entities"), F.col("record_count").alias("source_records"), F.col("unmatched_count").alias("source_unmatched"))
     return filled.join(counts, "source1", "left").na.fill(0, ["source_entities", "source_records", "source_unmatched"])
@@ -148,20 +149,11 @@ def summary_stats(report: DataFrame, match_key: str | None = None, principle: st
     return _summaries(report, every, every, match_key, principle)
 
 
-def list_key(source1: str, source2: str, kind: str, match_key: str | None = None, principle: str | None = None) -> Column:
-    """Report key of a list; in lists ``*`` means no key or principle."""
-    from ..functions.keys import encode_report_key, format_statistic
-
-    none = lambda t: F.lit(None if t == "*" else t).cast("string")
-    statistic = format_statistic(F.lit(kind), none(match_key), none(principle))
-    return encode_report_key(F.lit(DSS if source1 == source2 else CSS), statistic, F.lit(source1), F.lit(source2))
-
-
-def _key(code: str, statistic: str) -> Column:
-    from ..functions.keys import encode_report_key
-
-    none = F.lit(None).cast("string")
-    return encode_report_key(F.lit(code), F.lit(statistic), none, none)
+def list_key(source1: str, source2: str, kind: str, match_key: str | None = None, principle: str | None = None) -> ReportKey:
+    """Report key of a list; in lists ``*``, like blank, means no key or principle."""
+    key, rule = (None if _blank(t) == "*" else _blank(t) for t in (match_key, principle))
+    statistic = f"{kind}:{rule or ''}:{key}" if key else f"{kind}:{rule}" if rule else kind
+    return ReportKey(DSS if source1 == source2 else CSS, statistic, source1, source2)
 
 
 def source_entities(mart: Mart, data_source: str, p: Page | None = None) -> DataFrame:
@@ -172,13 +164,13 @@ def source_entities(mart: Mart, data_source: str, p: Page | None = None) -> Data
 def size_entities(mart: Mart, size: int, p: Page | None = None) -> DataFrame:
     if size < 1:
         raise ValueError(f"an entity has one record at least: {size}")
-    return entities_page(mart.report_detail, mart.entity, mart.record, _key(ESB, str(size)), p)
+    return entities_page(mart.report_detail, mart.entity, mart.record, ReportKey(ESB, str(size)), p)
 
 
 def relations_entities(mart: Mart, relations: int, p: Page | None = None) -> DataFrame:
     if relations < 0:
         raise ValueError(f"a number of relations is not negative: {relations}")
-    return entities_page(mart.report_detail, mart.entity, mart.record, _key(ERB, str(relations)), p)
+    return entities_page(mart.report_detail, mart.entity, mart.record, ReportKey(ERB, str(relations)), p)
 
 
 def cross_entities(mart: Mart, source1: str, source2: str, kind: str, match_key: str | None = None, principle: str | None = None, p: Page | None = None) -> DataFrame:

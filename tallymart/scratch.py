@@ -6,12 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder (single-machine tests).
+#: Used only by sessions of a single machine that name no shared folder.
 DEFAULT_DIR = "file:///tmp/checkpoints"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or DEFAULT_DIR
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -12,7 +12,7 @@ UNION ALL
 SELECT o_custkey + 1, CASE WHEN o_orderkey % 3 = 0 THEN 'ORDERS WEB' ELSE 'ORDERS_STORE' END, 'O' || o_orderkey,
        CASE o_orderstatus WHEN 'F' THEN '+NAME+ADDRESS' WHEN 'O' THEN '+NAME+PHONE' ELSE '+NAME+DOB-GENDER' END,
        CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE 'SF1_' || substr(o_orderpriority, 1, 1) END
-FROM {orders} WHERE o_orderkey % 5 = 0 AND o_custkey % 10 < 7
+FROM {orders}
 UNION ALL
 SELECT s_suppkey * 10 + 1, 'SUPPLIERS', 'S' || s_suppkey, '+NAME+TAX_ID', 'SF2' FROM {supplier}
 """
@@ -38,6 +38,9 @@ SELECT entity_id, related_id,
   CASE (entity_id + related_id) % 4 WHEN 3 THEN 'DISCLOSED' ELSE 'CNAME' || (entity_id % 2) END AS errule_code
 FROM p
 """
+#: Names of entities, now and before some were renamed; entities of suppliers alone have none.
+NAMES = "SELECT c_custkey + 1 AS entity_id, CASE WHEN c_custkey % 17 <> 3 THEN c_name END AS entity_name FROM {customer}"
+NAMES_OLD = "SELECT entity_id, CASE WHEN entity_id % 13 = 0 THEN 'Formerly ' || entity_name ELSE entity_name END AS entity_name FROM {fx_names}"
 RECORDS_NEW = "SELECT * FROM {fx_records} WHERE entity_id % 25 <> 0"
 RECORDS_OLD = """
 SELECT CASE WHEN substr(record_id, 1, 1) = 'O' AND record_id LIKE '%00' THEN 1 ELSE entity_id END AS entity_id,
@@ -51,10 +54,11 @@ SELECT entity_id, related_id, CASE WHEN entity_id % 11 = 0 THEN 'POSSIBLE_MATCH'
        match_key, rev_match_key, errule_code
 FROM {fx_relations} WHERE entity_id % 20 <> 0 AND related_id % 20 <> 0 AND (entity_id + related_id) % 9 <> 0
 """
-#: Message bodies: objects, arrays and junk, with interesting entities and notices in both places and both spellings.
+#: Message bodies: objects, arrays, junk and a wrong type in a right shape, with interesting entities and notices in both places and both spellings.
 MESSAGES = """
 SELECT event_id, ts,
   CASE WHEN event_id % 97 = 0 THEN 'not json'
+       WHEN event_id % 89 = 0 THEN '{{"DATA_SOURCE":"CUSTOMERS","RECORD_ID":"C1","AFFECTED_ENTITIES":[{{"ENTITY_ID":"oops"}}]}}'
        WHEN event_id % 10 = 0 THEN '[' || m || ',' || m || ']' ELSE m END AS body
 FROM (SELECT event_id, ts, CASE WHEN event_id % 4 = 3
     THEN '{{"dataSource":"CUSTOMERS","recordId":"C' || user_id || '","affectedEntities":[{{"entityId":' || (user_id + 1) || '}}]}}'
@@ -69,6 +73,8 @@ FROM (SELECT event_id, ts, CASE WHEN event_id % 4 = 3
 VIEWS = {
     "fx_records": (RECORDS, ("customer", "orders", "supplier")),
     "fx_relations": (RELATIONS, ("customer",)),
+    "fx_names": (NAMES, ("customer",)),
+    "fx_names_old": (NAMES_OLD, ("fx_names",)),
     "fx_records_new": (RECORDS_NEW, ("fx_records",)),
     "fx_records_old": (RECORDS_OLD, ("fx_records",)),
     "fx_relations_new": (RELATIONS_NEW, ("fx_relations",)),

@@ -68,6 +68,19 @@ def snapshot_records(snapshots: DataFrame) -> DataFrame:
     return each.withColumn("n", first).where("n = 1").drop("n", "at")
 
 
+def snapshot_names(snapshots: DataFrame) -> DataFrame:
+    """(entity_id, entity_name) of every snapshot."""
+    return snapshots.where("entity_id IS NOT NULL").select("entity_id", "entity_name")
+
+
+def related_records(snapshots: DataFrame) -> DataFrame:
+    """(entity_id, related_id, related_name, data_source, record_id): what snapshots say of related entities; null record parts where
+    one lists none."""
+    each = snapshots.select("entity_id", F.explode("related").alias("r"))
+    each = each.select("entity_id", "r.related_id", F.col("r.entity_name").alias("related_name"), F.explode_outer("r.records").alias("k"))
+    return each.select("entity_id", "related_id", "related_name", "k.data_source", "k.record_id")
+
+
 def snapshot_relations(snapshots: DataFrame) -> DataFrame:
     """(entity_id, related_id, match_type, match_key, errule_code), directed: of a repeated related id the last counts.
     Relations of an entity with itself are left to :func:`self_relations`."""
@@ -91,12 +104,12 @@ def source_summary(records: DataFrame) -> DataFrame:
     return records.groupBy("entity_id", "data_source").agg(F.count("*").alias("records"))
 
 
-def to_json(records: DataFrame, relations: DataFrame, engine: bool = True) -> DataFrame:
-    """(entity_id, body): snapshots in either dialect from flat records and directed relations."""
+def to_json(records: DataFrame, relations: DataFrame, names: DataFrame, engine: bool = True) -> DataFrame:
+    """(entity_id, body): snapshots in either dialect from flat records, directed relations and names (entity_id, entity_name)."""
     grouped = records.groupBy("entity_id").agg(F.sort_array(F.collect_list(F.struct("data_source", "record_id", "match_key", "errule_code"))).alias("rs"))
-    name = lambda i: F.concat(F.lit("ENTITY "), i.cast("string"))
-    theirs = grouped.select(F.col("entity_id").alias("related_id"), F.col("rs").alias("theirs"))
-    links = relations.join(theirs, "related_id", "left").groupBy("entity_id").agg(F.sort_array(F.collect_list(F.struct("related_id", "match_type", "match_key", "errule_code", "theirs"))).alias("ls"))
+    grouped = grouped.join(names, "entity_id", "left")
+    theirs = grouped.select(F.col("entity_id").alias("related_id"), F.col("rs").alias("theirs"), F.col("entity_name").alias("name"))
+    links = relations.join(theirs, "related_id", "left").groupBy("entity_id").agg(F.sort_array(F.collect_list(F.struct("related_id", "match_type", "match_key", "errule_code", "theirs", "name"))).alias("ls"))
     rows = grouped.join(links, "entity_id", "left")
     if engine:
         flag = lambda l, t: (l["match_type"] == t).cast("int")
@@ -104,14 +117,14 @@ def to_json(records: DataFrame, relations: DataFrame, engine: bool = True) -> Da
         record = lambda r: F.struct(r["data_source"].alias("DATA_SOURCE"), r["record_id"].alias("RECORD_ID"), r["match_key"].alias("MATCH_KEY"), r["errule_code"].alias("ERRULE_CODE"))
         key = lambda r: F.struct(r["data_source"].alias("DATA_SOURCE"), r["record_id"].alias("RECORD_ID"))
         link = lambda l: F.struct(
-            l["related_id"].alias("ENTITY_ID"), name(l["related_id"]).alias("ENTITY_NAME"), F.transform(l["theirs"], key).alias("RECORDS"), flag(l, "AMBIGUOUS_MATCH").alias("IS_AMBIGUOUS"),
+            l["related_id"].alias("ENTITY_ID"), l["name"].alias("ENTITY_NAME"), F.transform(l["theirs"], key).alias("RECORDS"), flag(l, "AMBIGUOUS_MATCH").alias("IS_AMBIGUOUS"),
             flag(l, "DISCLOSED_RELATION").alias("IS_DISCLOSED"), level(l).alias("MATCH_LEVEL_CODE"), l["match_key"].alias("MATCH_KEY"), l["errule_code"].alias("ERRULE_CODE"),
         )
-        entity = F.struct(F.col("entity_id").alias("ENTITY_ID"), name(F.col("entity_id")).alias("ENTITY_NAME"), F.transform("rs", record).alias("RECORDS"))
+        entity = F.struct(F.col("entity_id").alias("ENTITY_ID"), F.col("entity_name").alias("ENTITY_NAME"), F.transform("rs", record).alias("RECORDS"))
         return rows.select("entity_id", F.to_json(F.struct(entity.alias("RESOLVED_ENTITY"), F.transform("ls", link).alias("RELATED_ENTITIES"))).alias("body"))
     record = lambda r: F.struct(r["data_source"].alias("src"), r["record_id"].alias("id"), r["match_key"].alias("mkey"), r["errule_code"].alias("rule"))
     key = lambda r: F.struct(r["data_source"].alias("src"), r["record_id"].alias("id"))
     link = lambda l: F.struct(
-        l["related_id"].alias("id"), name(l["related_id"]).alias("name"), F.transform(l["theirs"], key).alias("records"), l["match_type"].alias("matchType"), l["match_key"].alias("matchKey"), l["errule_code"].alias("principle")
+        l["related_id"].alias("id"), l["name"].alias("name"), F.transform(l["theirs"], key).alias("records"), l["match_type"].alias("matchType"), l["match_key"].alias("matchKey"), l["errule_code"].alias("principle")
     )
-    return rows.select("entity_id", F.to_json(F.struct(F.col("entity_id").alias("id"), name(F.col("entity_id")).alias("name"), F.transform("rs", record).alias("records"), F.transform("ls", link).alias("related"))).alias("body"))
+    return rows.select("entity_id", F.to_json(F.struct(F.col("entity_id").alias("id"), F.col("entity_name").alias("name"), F.transform("rs", record).alias("records"), F.transform("ls", link).alias("related"))).alias("body"))

@@ -6,7 +6,6 @@ one. State is kept for each entity, with processing-time timers.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,7 +19,7 @@ def collapse_stream(requests: DataFrame, quiet: float = QUIET, longest: float =
     """(entity_id, multiplicity) of streaming ``requests`` (entity_id), each group of requests once when it is due."""
 
     def collect(key: tuple[int], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = time.time()
+        now = state.getCurrentProcessingTimeMs() / 1000
         if state.hasTimedOut:
             _, n = state.get
             state.remove()

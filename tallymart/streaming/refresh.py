@@ -2,29 +2,34 @@
 
 A micro-batch names changed entities. Their newest snapshots are compared with the stored state; the same contribution operators
 that rebuild the mart give signed changes, which are added to the stored reports. Entities whose change touches others cause
-those to be refreshed too, until nothing new is named or the passes run out; what is left is returned. The stream runs passes until nothing is left, since
-no later message need come.
+those to be refreshed too, until nothing new is named, since no later message need come.
+
+All work stays with the named entities and their neighbourhood: who takes a record from whom, the relations of both, the far
+ends' sources. Ids are semi-joined with the stored tables and the snapshots, and only rows that change are written. A pass looks
+at the entities that the pass before named, so a chain of follow-ups costs its length.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.keys import directed, orient_relations
-from ..operators.contributions import contribution_deltas
-from ..operators.rollup import merge_detail, merge_report, pending_detail, rollup_pending
-from ..operators.tables import entity_rows, follow_ups, record_table, relation_rows, upsert_entities, upsert_records, upsert_relations, with_audit
-from ..plans.mart import Mart, rebuild
+from ..operators.contributions import contributions, difference
+from ..operators.rollup import pending_detail, rollup_pending
+from ..operators.tables import entity_rows, follow_ups, relation_rows, resolve_orphans, upsert_entities, upsert_records, upsert_relations
+from ..plans.mart import REPLACED, Mart, changed, rebuild
 from ..scratch import settle
 from ..sources.messages import affected_entities, dead_letters, read_messages
-from ..sources.store import current, read_mart, write_mart
+from ..sources.store import LOADED, current, read_mart, write_change, write_mart
 
-PASSES = 5
+#: How often a snapshot with a relation that lacks its match key is read again.
+RETRIES = 5
+KEYS, PAIR = ["data_source", "record_id"], ["entity_id", "related_id"]
 
 
 def empty_mart(spark: SparkSession) -> Mart:
@@ -33,60 +38,131 @@ def empty_mart(spark: SparkSession) -> Mart:
     return rebuild(records, relations)
 
 
-def next_state(mart: Mart, records: DataFrame, relations: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records, directed relations) after the entities ``ids`` took their newest snapshots.
+def _of(rows: DataFrame, ids: DataFrame, column: str = "entity_id", how: str = "left_semi") -> DataFrame:
+    return rows.join(ids.select(F.col("entity_id").alias(column)), column, how)
+
+
+def _touching(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Undirected ``pairs`` with either end among ``ids``."""
+    near = _of(pairs, ids)
+    return near.unionByName(_of(_of(pairs, ids, "related_id"), ids, how="left_anti").select(near.columns))
+
+
+def _ids(*columns: DataFrame) -> DataFrame:
+    """Distinct ids of tables of one column."""
+    return reduce(DataFrame.union, columns).toDF("entity_id").distinct()
+
+
+class _Local:
+    """Old and new state around some entities, ``ids`` of which take their newest snapshots.
 
     A record belongs to one entity: where a refreshed entity lists a record that another, not refreshed, still holds, the
     refreshed one owns it. A relation is stored once, so a refreshed side decides for both directions.
     """
-    old_records, old_relations = mart.state()
-    fresh = records.join(ids, "entity_id", "left_semi")
-    taken = fresh.select("data_source", "record_id")
-    others = old_records.join(ids, "entity_id", "left_anti").join(taken, ["data_source", "record_id"], "left_anti")
-    other = ids.withColumnRenamed("entity_id", "related_id")
-    kept = old_relations.join(ids, "entity_id", "left_anti").join(other, "related_id", "left_anti").select(*relations.columns)
-    mine = relations.join(ids, "entity_id", "left_semi")
-    theirs = relations.join(other, "related_id", "left_semi")
-    return fresh.select(*old_records.columns).unionByName(others.select(*old_records.columns)), kept.unionByName(mine.unionByName(theirs).distinct())
-
-
-def refresh(mart: Mart, records: DataFrame, relations: DataFrame, changed: DataFrame, operation: str = "refresh", passes: int | None = PASSES) -> tuple[Mart, DataFrame]:
-    """The next mart, and the ids still to be refreshed, after ``changed`` (entity_id) took their newest snapshots.
-
-    ``records`` and directed ``relations`` are the newest snapshots of all entities; an entity without records is gone.
-    ``passes`` None: as many as it takes, each of which refreshes one entity more at least.
+
+    def __init__(self, mart: Mart, records: DataFrame, relations: DataFrame, ids: DataFrame):
+        self.held, self.pairs = mart.record.where("entity_id <> 0"), mart.relation.select(*PAIR, "match_type", "match_key", "rev_match_key", "errule_code")
+        self.records, self.relations, self.ids = records, relations.select(*self.pairs.columns), ids
+
+    def owners(self, ids: DataFrame) -> DataFrame:
+        """The entities ``ids`` and those that lose a record to them."""
+        return _ids(ids, self.held.join(_of(self.records, ids).select(*KEYS), KEYS, "left_semi").select("entity_id"))
+
+    def old_pairs(self, core: DataFrame) -> DataFrame:
+        return _touching(self.pairs, core)
+
+    def new_pairs(self, core: DataFrame) -> DataFrame:
+        kept = _of(_of(self.old_pairs(core), self.ids, how="left_anti"), self.ids, "related_id", "left_anti").select(*self.pairs.columns)
+        return kept.unionByName(_touching(_touching(self.relations, core), self.ids))
+
+    def old_records(self, region: DataFrame) -> DataFrame:
+        return _of(self.held, region).select(*self.records.columns)
+
+    def new_records(self, region: DataFrame) -> DataFrame:
+        fresh = _of(self.records, self.ids)
+        kept = _of(self.old_records(region), self.ids, how="left_anti").join(fresh.select(*KEYS), KEYS, "left_anti")
+        return _of(fresh, region).unionByName(kept.select(*fresh.columns))
+
+
+def _named_next(mart: Mart, records: DataFrame, relations: DataFrame, ids: DataFrame, front: DataFrame) -> DataFrame:
+    """(entity_id) that the refresh of ``front``, a part of ``ids``, causes to be refreshed: the other sides of changed relations,
+    and the owners of records that ``front`` no longer has."""
+    local = _Local(mart, records, relations, ids)
+    core = settle(local.owners(front), "refresh-core")
+    old, new = (settle(directed(pairs(core)), "refresh-pairs") for pairs in (local.old_pairs, local.new_pairs))
+    region = settle(_ids(core, old.select("related_id"), new.select("related_id")), "refresh-region")
+    before, after = (settle(records_of(region), "refresh-records") for records_of in (local.old_records, local.new_records))
+    follow = follow_ups((before, old), (after, new))
+    # Orphans: lost records that other entities' newest snapshots hold, and which no refreshed entity has taken.
+    lost = _of(local.held, front).join(_of(records, ids).select(*KEYS), KEYS, "left_anti").withColumn("entity_id", F.lit(0).cast("long"))
+    owner = records.join(lost.select(*KEYS), KEYS, "left_semi")
+    found = resolve_orphans(lost, owner, ids.limit(0)).where("outcome = 'follow_up'").select("entity_id")
+    return _of(_ids(follow, found), ids, how="left_anti")
+
+
+def changes(mart: Mart, records: DataFrame, relations: DataFrame, named: DataFrame, names: DataFrame | None = None, operation: str = "refresh", passes: int | None = None) -> tuple[Mart, DataFrame, DataFrame]:
+    """(change, refreshed, left): the change of ``mart`` after the entities ``named`` (entity_id), and those that follow, took their
+    newest snapshots; the ids refreshed; those still to be.
+
+    ``records``, undirected ``relations`` (or directed ones without reverse key) and ``names`` are the newest snapshots of all
+    entities; an entity without records is gone. ``passes``: None goes on until nothing is left.
     """
-    both = settle(directed(relations), "refresh-relations") if "rev_match_key" in relations.columns else relations
-    ids = settle(changed.select("entity_id").distinct(), "refresh-ids")
-    left = ids
-    old = tuple(settle(s, "refresh-old") for s in mart.state())
-    for _ in itertools.count() if passes is None else range(passes):
-        new = tuple(settle(s, "refresh-new") for s in next_state(mart, records, both, ids))
-        left = settle(follow_ups(old, new).join(ids, "entity_id", "left_anti"), "refresh-left")
-        if left.isEmpty():
-            break
-        ids = settle(ids.union(left), "refresh-ids")
-    else:
-        new = tuple(settle(s, "refresh-new") for s in next_state(mart, records, both, ids))
-        left = settle(follow_ups(old, new).join(ids, "entity_id", "left_anti"), "refresh-left")
-    deltas = settle(contribution_deltas(old, new), "refresh-deltas")
-    # Tables follow the new state: rows of entities, records and pairs that are gone go.
-    entities = entity_rows(*new)
-    entity = upsert_entities(mart.entity.join(entities.select("entity_id"), "entity_id", "left_semi"), entities, operation)
-    key = ["data_source", "record_id"]
-    record = upsert_records(mart.record.join(new[0].select(*key), key, "left_semi"), new[0], operation).drop("change")
-    pairs = orient_stored(new[1])
-    relation = upsert_relations(mart.relation.join(pairs.select("entity_id", "related_id"), ["entity_id", "related_id"], "left_semi"), relation_rows(pairs), operation)
-    report = merge_report(mart.report, rollup_pending(deltas))
-    detail = merge_detail(mart.report_detail, pending_detail(deltas))
-    return Mart(entity, record, relation, report, detail), left
-
-
-def orient_stored(relations: DataFrame) -> DataFrame:
-    """Undirected pairs of directed relations that carry both keys."""
     if "rev_match_key" not in relations.columns:
-        return orient_relations(relations)
-    return relations.where("entity_id < related_id").dropDuplicates(["entity_id", "related_id"])
+        relations = settle(orient_relations(relations), "refresh-relations")
+    ids = front = settle(named.select("entity_id").where("entity_id <> 0").distinct(), "refresh-ids")
+    done = 0
+    while True:
+        left = settle(_named_next(mart, records, relations, ids, front), "refresh-left")
+        done += 1
+        if left.isEmpty() or done == passes:
+            break
+        ids, front = ids.union(left), left
+        if done % 8 == 0:
+            ids = settle(ids, "refresh-ids")
+    local = _Local(mart, records, relations, ids)
+    core = settle(local.owners(ids), "refresh-core")
+    old, new = local.old_pairs(core), local.new_pairs(core)
+    # The entities whose contributions may differ: the core and all its neighbours; these need all their own relations.
+    around = settle(_ids(core, *[p.select(c) for p in (old, new) for c in PAIR]), "refresh-around")
+    old, new = (settle(directed(pairs(around)), "refresh-pairs") for pairs in (local.old_pairs, local.new_pairs))
+    region = settle(_ids(around, old.select("related_id"), new.select("related_id")), "refresh-region")
+    before, after = settle(local.old_records(region), "refresh-old"), settle(local.new_records(region), "refresh-new")
+    own = lambda rows: _of(rows, around)
+    deltas = settle(difference(contributions(own(before), own(old), before), contributions(own(after), own(new), after)), "refresh-deltas")
+
+    stored = _of(mart.entity, around)
+    given = _of(names, ids) if names is not None else ids.withColumn("entity_name", F.lit(None).cast("string"))
+    known = given.select("entity_id", "entity_name").unionByName(_of(stored, ids, how="left_anti").select("entity_id", "entity_name"))
+    rows = entity_rows(own(after), own(new), known, after)
+    entity = _changed("entity", stored, upsert_entities(_of(stored, rows), rows, operation))
+    fresh = _of(records, ids)
+    stored = mart.record.join(_ids_of_keys(_of(local.held, ids), fresh), KEYS, "left_semi")
+    record = _changed("record", stored, upsert_records(stored.join(fresh.select(*KEYS), KEYS, "left_semi"), fresh, operation).drop("change"))
+    stored, fresh = _touching(mart.relation, ids), relation_rows(_touching(local.relations, ids))
+    relation = _changed("relation", stored, upsert_relations(stored.join(fresh.select(*PAIR), PAIR, "left_semi"), fresh, operation))
+    change = Mart(*(settle(t, "refresh-change") for t in (entity, record, relation, rollup_pending(deltas), pending_detail(deltas))))
+    return change, ids, left
+
+
+def _ids_of_keys(held: DataFrame, fresh: DataFrame) -> DataFrame:
+    return held.select(*KEYS).union(fresh.select(*KEYS)).distinct()
+
+
+def _changed(name: str, stored: DataFrame, next_rows: DataFrame) -> DataFrame:
+    """Rows of ``next_rows`` that ``stored`` has not like that, and those of ``stored`` whose keys are gone."""
+    keys = list(REPLACED[name])
+    values = [c for c in stored.columns if c not in keys]
+    before = stored.select(*keys, F.struct(*values).alias("before"))
+    kept = next_rows.select(*keys, F.struct(*values).alias("after"))
+    both = before.join(kept, keys, "full_outer").where("NOT (before <=> after)")
+    gone = F.col("after").isNull()
+    return both.select(*keys, F.coalesce("after", "before").alias("row"), gone.alias("gone")).select(*keys, "row.*", "gone")
+
+
+def refresh(mart: Mart, records: DataFrame, relations: DataFrame, named: DataFrame, names: DataFrame | None = None, operation: str = "refresh", passes: int | None = None) -> tuple[Mart, DataFrame]:
+    """The next mart, and the ids still to be refreshed; see :func:`changes`."""
+    change, _, left = changes(mart, records, relations, named, names, operation, passes)
+    return changed(mart, change), left
 
 
 def ingest_stream(spark: SparkSession, path: str, schema: str = "body string", files_per_trigger: int = 100) -> DataFrame:
@@ -94,26 +170,42 @@ def ingest_stream(spark: SparkSession, path: str, schema: str = "body string", f
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def without_keys(relations: DataFrame, ids: DataFrame) -> DataFrame:
+    """(entity_id) of ``ids`` whose newest snapshot has a relation without match key: to be read again."""
+    return _ids(directed(_touching(relations.where("match_key IS NULL"), ids)).join(ids, "entity_id", "left_semi").select("entity_id"))
+
+
 def refresh_stream(
-    feed: DataFrame, snapshots: Callable[[], tuple[DataFrame, DataFrame]], mart_path: str, checkpoint: str, letters: str | None = None, trigger: dict | None = None
+    feed: DataFrame, snapshots: Callable[[], tuple[DataFrame, ...]], mart_path: str, checkpoint: str, letters: str | None = None, trigger: dict | None = None
 ) -> StreamingQuery:
     """Start the refresh of the mart at ``mart_path`` by the message ``feed`` (body).
 
-    ``snapshots`` gives the newest (records, undirected relations) when a batch runs, so the order of messages does not matter.
-    A batch that is replayed after a failure is applied once. Bodies that do not parse are appended to ``letters``. ``trigger``:
-    arguments of the writer's trigger, every 60 seconds by default.
+    ``snapshots`` gives the newest (records, undirected relations, names) when a batch runs, so the order of messages does not
+    matter. A batch that is replayed after a failure is applied once. Bodies that do not parse are appended to ``letters``.
+    Entities with a relation that lacks its match key are refreshed again with the next batches, ``RETRIES`` times at most.
+    ``trigger``: arguments of the writer's trigger, every 60 seconds by default.
     """
+    waiting = f"{mart_path}/_retries"
+    schema = "entity_id long, attempt int, batch long"
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if number <= current(spark, mart_path)[1]:
+        version, applied = current(spark, mart_path)
+        if number <= applied:
             return
+        if version < 0:
+            write_mart(empty_mart(spark), mart_path, LOADED)
         if letters:
             dead_letters(batch).withColumn("batch", F.lit(number)).write.mode("append").parquet(letters)
-        changed = affected_entities(read_messages(batch).select("message")).select("entity_id").distinct()
-        mart = read_mart(spark, mart_path) or empty_mart(spark)
-        records, relations = snapshots()
-        after, _ = refresh(mart, records, relations, changed, operation=f"batch-{number}", passes=None)
-        write_mart(after, mart_path, number)
+        named = affected_entities(read_messages(batch).select("message")).select("entity_id").distinct()
+        again = spark.read.schema(schema).parquet(waiting).where((F.col("batch") == number - 1) & (F.col("attempt") <= RETRIES)) if version >= 0 and applied >= 0 else spark.createDataFrame([], schema)
+        again = settle(again.groupBy("entity_id").agg(F.max("attempt").alias("attempt")), "retries")
+        records, relations, *names = snapshots()
+        change, ids, _ = changes(read_mart(spark, mart_path), records, relations, named.union(again.select("entity_id")), names[0] if names else None, f"batch-{number}")
+        if "rev_match_key" not in relations.columns:
+            relations = orient_relations(relations)
+        missing = without_keys(relations, ids).join(again, "entity_id", "left").select("entity_id", (F.coalesce("attempt", F.lit(0)) + 1).cast("int").alias("attempt"), F.lit(number).cast("long").alias("batch"))
+        missing.write.mode("append").parquet(waiting)
+        write_change(change, mart_path, number)
 
     return feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()

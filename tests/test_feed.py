@@ -9,13 +9,13 @@ from tallymart.streaming.collapse import collapse_stream
 def test_bodies(spark):
     one = '{"DATA_SOURCE":"A","RECORD_ID":"1","AFFECTED_ENTITIES":[{"ENTITY_ID":5},{"ENTITY_ID":5},{"ENTITY_ID":6}]}'
     camel = '{"dataSource":"B","recordId":"2","affectedEntities":[{"entityId":7}]}'
-    bodies = [one, f"[{one},{camel}]", "", "  \n", None, "junk", "[1", f" {camel} ", "{}", "[]"]
+    bodies = [one, f"[{one},{camel}]", "", "  \n", None, "junk", "[1", f" {camel} ", "{}", "[]", one.replace(":6", ':"oops"'), '{"DATA_SOURCE":"A","AFFECTED_ENTITIES":"7"}', '{"NOTICES":3}']
     feed = spark.createDataFrame(list(enumerate(bodies)), "id int, body string")
     messages = msg.read_messages(feed)
-    assert [(r.id, r.number, r.message.data_source) for r in messages.orderBy("id", "number").collect()] == [(0, 0, "A"), (1, 0, "A"), (1, 1, "B"), (7, 0, "B"), (8, 0, None)]
-    assert sorted(r.entity_id for r in msg.affected_entities(messages).collect()) == [5, 5, 6, 6, 7, 7]
-    assert sorted(r.record_id for r in msg.touched_records(messages).collect()) == ["1", "1", "2", "2"]
-    assert [r.id for r in msg.dead_letters(feed).orderBy("id").collect()] == [5, 6]
+    assert [(r.id, r.number, r.message.data_source) for r in messages.orderBy("id", "number").collect()] == [(0, 0, "A"), (1, 0, "A"), (1, 1, "B"), (7, 0, "B"), (8, 0, None), (10, 0, "A"), (11, 0, "A"), (12, 0, None)]
+    assert sorted(r.entity_id for r in msg.affected_entities(messages).collect()) == [5, 5, 5, 6, 6, 7, 7]
+    assert sorted(r.record_id for r in msg.touched_records(messages).collect()) == ["1", "1", "1", "2", "2"]
+    assert [r.id for r in msg.dead_letters(feed).orderBy("id").collect()] == [5, 6, 10, 11, 12]
 
 
 def test_duplicates_and_self_relations(spark):

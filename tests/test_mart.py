@@ -8,7 +8,7 @@ from tallymart.operators.rollup import reconcile
 from tallymart.plans.mart import rebuild
 from tallymart.scratch import settle, shared_path
 from tallymart.sources.store import LOADED, current, read_mart, write_mart
-from tallymart.streaming.refresh import PASSES, empty_mart, refresh, refresh_stream
+from tallymart.streaming.refresh import empty_mart, refresh, refresh_stream
 
 RECORDS = "entity_id long, data_source string, record_id string, match_key string, errule_code string"
 RELATIONS = "entity_id long, related_id long, match_type string, match_key string, rev_match_key string, errule_code string"
@@ -27,12 +27,12 @@ def state(spark, seed, entities=12):
     return spark.createDataFrame(records, RECORDS), links.select("entity_id", "related_id", "match_type", "match_key", "rev_match_key", "errule_code")
 
 
-def same(mart, records, relations):
-    true = rebuild(records, relations)
+def same(mart, records, relations, names=None):
+    true = rebuild(records, relations, names)
     counts = ["entity_count", "record_count", "relation_count"]
     assert reconcile(mart.report, true.report, ["report_key"], counts).count() == 0
     assert reconcile(mart.report_detail, true.report_detail, ["report_key", "entity_id", "related_id"], ["stat_count"]).count() == 0
-    for table, columns in (("entity", ["entity_id", "record_count", "relation_count", "entity_hash"]), ("record", ["data_source", "record_id", "entity_id", "match_key", "errule_code"]), ("relation", ["entity_id", "related_id", "match_type", "match_key", "rev_match_key"])):
+    for table, columns in (("entity", ["entity_id", "entity_name", "record_count", "relation_count", "entity_hash"]), ("record", ["data_source", "record_id", "entity_id", "match_key", "errule_code"]), ("relation", ["entity_id", "related_id", "match_type", "match_key", "rev_match_key"])):
         a, b = (sorted(map(repr, getattr(m, table).select(*columns).collect())) for m in (mart, true))
         assert a == b, table
 
@@ -91,7 +91,7 @@ def test_report_keeps_zero_rows(spark, seed):
 
 def test_stream_follows_a_long_chain(spark):
     """Every entity gets a relation to the next one; the feed names only the first."""
-    n, path, feed = PASSES + 4, shared_path(spark, "test-mart"), shared_path(spark, "test-feed")
+    n, path, feed = 13, shared_path(spark, "test-mart"), shared_path(spark, "test-feed")
     records = spark.createDataFrame([(i, "A", str(i), None, None) for i in range(1, n + 1)], RECORDS)
     chain = spark.createDataFrame([(i, i + 1, "POSSIBLE_MATCH", "+NAME", "+NAME", "P") for i in range(1, n)], RELATIONS)
     write_mart(rebuild(records, spark.createDataFrame([], RELATIONS)), path, LOADED)
@@ -101,6 +101,33 @@ def test_stream_follows_a_long_chain(spark):
     same(read_mart(spark, path), records, chain)
 
 
+def test_changes_are_appended_and_compacted(spark, monkeypatch):
+    from tallymart.sources import store
+    from tallymart.streaming.refresh import changes
+
+    monkeypatch.setattr(store, "COMPACT", 2)
+    path, (records, relations) = shared_path(spark, "test-mart"), state(spark, 1)
+    names = spark.createDataFrame([(i, f"n{i}") for i in range(1, 13)], "entity_id long, entity_name string")
+    write_mart(rebuild(records, relations, names), path, LOADED)
+    first = records.select("entity_id").orderBy("entity_id").first()[0]
+    for batch in range(3):
+        now = names.withColumn("entity_name", F.when(F.col("entity_id") == first, f"b{batch}").otherwise(F.col("entity_name")))
+        change, ids, left = changes(read_mart(spark, path), records, relations, spark.createDataFrame([(first,)], "entity_id long"), now, f"batch-{batch}")
+        assert (change.entity.count(), change.record.count(), change.relation.count(), change.report.count()) == (1, 0, 0, 0)
+        assert store.write_change(change, path, batch) and not store.write_change(change, path, batch)
+        kept = {r.entity_id: (r.entity_name, r.prev_entity_hash) for r in read_mart(spark, path).entity.collect()}
+        assert kept[first][0] == f"b{batch}" and kept[first][1] and all(kept[i] == (f"n{i}", None) for i in kept if i != first)
+    assert [r.whole for r in store.versions(spark, path).orderBy("version").collect()] == [True, False, False, True, False]
+    same(read_mart(spark, path), records, relations, now)
+
+
+def test_relations_without_keys_are_read_again(spark):
+    from tallymart.streaming.refresh import without_keys
+
+    pairs = spark.createDataFrame([(1, 2, "POSSIBLE_MATCH", None, None, None), (2, 3, "POSSIBLE_MATCH", "+N", "+N", None)], RELATIONS)
+    assert sorted(r[0] for r in without_keys(pairs, spark.createDataFrame([(1,), (3,)], "entity_id long")).collect()) == [1]
+
+
 def test_fingerprints_hold_no_list_of_an_entity(spark):
     from tallymart.operators.diff import entity_fingerprints
 

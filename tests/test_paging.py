@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tallymart.operators import paging as G
 
 MAX = 2**63 - 1
+KEY = G.ReportKey("ESB", "1")
 
 
 @pytest.mark.parametrize(
@@ -27,7 +28,7 @@ def test_wrong_arguments(args):
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    detail = spark.createDataFrame([("k", i, 0, 1) for i in range(1, 31)], "report_key string, entity_id long, related_id long, stat_count long")
+    detail = spark.createDataFrame([("ESB", "1", None, None, i, 0, 1) for i in range(1, 31)], "report string, statistic string, source1 string, source2 string, entity_id long, related_id long, stat_count long")
     entity = spark.range(1, 29).select(F.col("id").alias("entity_id"), F.lit("n").alias("entity_name"), F.lit(1).alias("record_count"), F.lit(0).alias("relation_count"))
     record = spark.range(1, 29).select(F.lit("S").alias("data_source"), F.col("id").cast("string").alias("record_id"), F.col("id").alias("entity_id"), F.lit("k").alias("match_key"), F.lit("r").alias("errule_code"))
     return detail, entity, record
@@ -35,7 +36,7 @@ def tables(spark):
 
 @pytest.mark.parametrize("kind, bound", [(t, b) for t in G.BOUND_TYPES for b in (0, 10, 30, 99)])
 def test_pages(tables, kind, bound):
-    rows = G.entities_page(*tables, "k", G.page(bound=bound, bound_type=kind, page_size=7)).collect()
+    rows = G.entities_page(*tables, KEY, G.page(bound=bound, bound_type=kind, page_size=7)).collect()
     keep = {"INCLUSIVE_LOWER": lambda i: i >= bound, "EXCLUSIVE_LOWER": lambda i: i > bound, "INCLUSIVE_UPPER": lambda i: i <= bound, "EXCLUSIVE_UPPER": lambda i: i < bound}[kind]
     ids = [i for i in range(1, 31) if keep(i)]
     ids = ids[:7] if "LOWER" in kind else ids[-7:]
@@ -46,6 +47,6 @@ def test_pages(tables, kind, bound):
 
 
 def test_samples(tables):
-    shown = G.entities_page(*tables, "k", G.page(bound=5, page_size=20, sample_size=4, seed=1)).collect()
-    again = G.entities_page(*tables, "k", G.page(bound=5, page_size=20, sample_size=4, seed=1)).collect()
+    shown = G.entities_page(*tables, KEY, G.page(bound=5, page_size=20, sample_size=4, seed=1)).collect()
+    again = G.entities_page(*tables, KEY, G.page(bound=5, page_size=20, sample_size=4, seed=1)).collect()
     assert shown == again and len(shown) == 4 and all(5 < r.entity_id <= 25 and (r.page_min, r.page_max) == ("6", "25") for r in shown)
