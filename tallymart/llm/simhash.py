@@ -2,27 +2,28 @@
 
 Fingerprints: each word shingle is hashed and a fingerprint bit is 1 where over half of the hashes have it.
 
-Small radii (:func:`tree_links`). The 64 bits are cut into ``LEVELS`` blocks; Hamming distance is the sum of the distances on
-the blocks. Level i of the tree has a vantage point for block i and one branch (ring) for each distance to it, so a leaf shard
-is the list of a fingerprint's ring numbers. By the triangle inequality two fingerprints within ``radius`` differ by at most
-``radius`` in the sum of their ring differences; every other branch is pruned. A fingerprint is stored in each shard whose
-rings differ from its own by at most half the radius in sum, and queried in each shard within the other half: the shards that
-its ball overlaps. Each close pair meets in at least one shard, where the exact distance decides.
-
-Large radii (:func:`size_ring_links`). At a fifth of the bits the Hamming bound of any vantage point prunes nothing that
-matters. There the vantage point is the empty document: its distance to a document is the number of shingles, and documents
-whose similarity is at least ``similarity`` have sizes within that ratio. Shards are rings of sizes, a shard is queried from its
-own and the next ring, and large shards are compared in blocks of bounded size.
-
-Only one row for each distinct fingerprint enters the search. A shard returns links that span its groups rather than all pairs,
-so a group of many near copies costs links in proportion to its rows.
+The tree (:func:`grow`) is grown from a sample of at most about ``SAMPLE`` fingerprints; every fingerprint is indexed. The 64 bits
+are dealt to levels, as many as the number of fingerprints asks for; the distance on one level's bits is a metric of its own, and
+the distances on all levels add up to the Hamming distance. A node takes as vantage point the sampled fingerprint, of a few, whose
+distances on the level's bits spread most, and cuts these distances into branches at their quantiles. A node is split until the
+rows that its share of the sample stands for are ``LEAF_ROWS`` or fewer, or the levels end.
+
+A fingerprint goes down the branch of its own distance and those next to it that cost no more than its budget, where the cost of a
+branch is how far the distance lies outside its radii. By the triangle inequality two fingerprints within ``radius`` bits
+differ by at most that in the sum of their distances over a path. So one of them is stored in each leaf that costs at most half
+the radius, the other queried in each leaf within the other half, and all other branches are pruned: each close pair meets in
+at least one leaf, where the exact distance decides.
+
+Leaves travel as sorted rows and a task holds one at a time. A leaf that would hold more than ``SHARD_ROWS`` is dealt to several
+shards: stored rows to one each, queried ones to all. Only one row for each distinct fingerprint enters the search, and a shard
+returns links that span its groups rather than all pairs, so a group of many near copies costs links in proportion to its rows.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -35,44 +36,42 @@ from .components import components
 from .scratch import settle
 
 SEED = 42
-LEVELS, BLOCK_BITS = 8, 8
-#: Vantage point of the tree: any value serves; this one is the fractional part of the golden ratio.
-VANTAGE = np.uint64(0x9E3779B97F4A7C15)
+#: Fingerprints that a tree is grown from (about, at most), rows of a leaf to aim at, rows of a shard, candidates for a vantage point.
+SAMPLE, LEAF_ROWS, SHARD_ROWS, CANDIDATES = 1 << 17, 64, 1 << 14, 4
+#: Branches of a node at most, and levels of a tree at most.
+ARITY, MOST_LEVELS = 9, 16
 #: Pairs compared at once, and hashes expanded to bits at once.
 CHUNK_PAIRS, CHUNK_HASHES = 1 << 21, 1 << 16
-#: Rows of a block in a size ring.
-BLOCK_ROWS = 8192
 
 
-def fingerprint_bytes(text: str | None, shingle: int, bits: int) -> tuple[bytes, int]:
-    """Fingerprint and number of shingles of one text; words are split at ASCII white space after lower-casing A-Z."""
+def fingerprint_bytes(text: str | None, shingle: int) -> bytes:
+    """64-bit fingerprint of one text; words are split at ASCII white space after lower-casing A-Z."""
     words = (text or "").encode().lower().split()
     if not words:
-        return bytes(bits // 8), 0
+        return bytes(8)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     n = max(1, len(words) - shingle + 1)
     stops = ends[-n:].tolist()
-    if bits == 64:
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), dtype=np.uint64, count=n).astype(">u8")
-    else:
-        digest = xxhash.xxh3_128_digest
-        hashes = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, stops)]), dtype=np.uint8)
-    table = hashes.view(np.uint8).reshape(n, bits // 8)
-    counts = sum(np.unpackbits(table[i : i + CHUNK_HASHES], axis=1).sum(axis=0, dtype=np.int64) for i in range(0, n, CHUNK_HASHES))
-    return np.packbits(counts * 2 > n).tobytes(), n
-
-
-def fingerprint(text: Column, shingle: int = 3, bits: int = 64) -> Column:
-    """Struct column (fp binary of 64 or 128 bits, n_shingles long). Null or wordless texts: all bits zero, no shingle."""
-    if bits not in (64, 128):
-        raise ValueError("bits must be 64 or 128")
-
-    @F.pandas_udf("fp binary, n_shingles long")
-    def made(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([fingerprint_bytes(t, shingle, bits) for t in texts], columns=["fp", "n_shingles"])
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), dtype=np.uint64, count=n).astype(">u8")
+    return majority(hashes.view(np.uint8).reshape(n, 8))
+
+
+def majority(hashes: np.ndarray) -> bytes:
+    """Bits that over half of the rows of bytes have."""
+    n = len(hashes)
+    counts = sum(np.unpackbits(hashes[i : i + CHUNK_HASHES], axis=1).sum(axis=0, dtype=np.int64) for i in range(0, n, CHUNK_HASHES))
+    return np.packbits(counts * 2 > n).tobytes()
+
+
+def fingerprint(text: Column, shingle: int = 3) -> Column:
+    """Fingerprint column (long, the 64 bits as signed). Null or wordless texts: zero."""
+
+    @F.pandas_udf("long")
+    def made(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.frombuffer(b"".join(fingerprint_bytes(t, shingle) for t in texts), dtype=">i8").astype(np.int64))
 
     return made(F.coalesce(text, F.lit("")))
 
@@ -118,46 +117,104 @@ class Links:
         return None
 
 
-def _offsets(budget: int) -> np.ndarray:
-    """All ring differences on LEVELS blocks whose sizes sum to ``budget`` at most."""
-    found = [()]
-    for _ in range(LEVELS):
-        found = [(*f, d) for f in found for d in range(-budget, budget + 1) if sum(map(abs, f)) + abs(d) <= budget]
-    return np.array(found, dtype=np.int64)
-
-
-def shards_of(fps: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shard, ring distance) of every shard within ``budget`` of each fingerprint's own shard."""
-    offsets = _offsets(budget)
-    shifts = np.arange(LEVELS, dtype=np.uint64) * np.uint64(BLOCK_BITS)
-    blocks = ((fps ^ VANTAGE)[:, None] >> shifts) & np.uint64(2**BLOCK_BITS - 1)
-    rings = np.bitwise_count(blocks).astype(np.int64)
-    code = np.int64(1) << (4 * np.arange(LEVELS, dtype=np.int64))
-    reach = rings[:, None, :] + offsets[None, :, :]
-    there = ((reach >= 0) & (reach <= BLOCK_BITS)).all(axis=2)
-    row, which = np.nonzero(there)
-    shard = (rings @ code)[row] + (offsets @ code)[which]
-    return row, shard.astype(np.uint32), np.abs(offsets).sum(axis=1)[which].astype(np.uint8)
-
-
-_ROW = np.dtype([("shard", "<u4"), ("fp", "<u8"), ("far", "u1")])
-
-
-def shard_links(rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Spanning links among the rows (shard, fp, far) that share a shard: a stored row against the rows queried there."""
-    rows = rows[np.lexsort((rows["fp"], rows["shard"]))]
-    shard, fp = rows["shard"], rows["fp"].astype(np.uint64)
+class Tree(NamedTuple):
+    """Nodes by number, root 0. ``branch`` has a row for each node: the child for each distance, -1 throughout for a leaf."""
+
+    vantage: np.ndarray
+    level: np.ndarray
+    branch: np.ndarray
+    shards: np.ndarray
+    masks: np.ndarray
+
+
+def grow(sample: np.ndarray, total: int, leaf_rows: int = LEAF_ROWS, seed: int = SEED) -> Tree:
+    """Tree for ``total`` fingerprints (unsigned) from a sample of them, one level after the other."""
+    sample = np.random.default_rng(seed).permutation(sample)
+    scale = total / max(1, len(sample))
+    # A level of some eight bits tells about 2.3 bits.
+    levels = int(min(MOST_LEVELS, max(1, math.ceil(math.log2(max(2.0, total / leaf_rows)) / 2.3))))
+    bits = -(-64 // levels)
+    masks = np.array([sum(1 << b for b in range(at, 64, levels)) for at in range(levels)], dtype=np.uint64)
+    node_of = np.zeros(len(sample), dtype=np.int64)
+    vantage, level, branch = [np.zeros(1, dtype=np.uint64)], [np.zeros(1, dtype=np.int8)], [np.full((1, bits + 1), -1, dtype=np.int32)]
+    first, size = 0, 1  # the nodes of the level
+    for at in range(levels):
+        count = np.bincount(node_of[node_of >= first] - first, minlength=size)
+        split = np.flatnonzero((count * scale > leaf_rows) & (count > 1))
+        if not len(split):
+            break
+        inside = np.flatnonzero(node_of >= first)
+        here = node_of[inside] - first
+        order = inside[np.argsort(here, kind="stable")]
+        starts = np.cumsum(count) - count
+        best, spread = np.zeros(size, dtype=np.uint64), np.full(size, -1.0)
+        for c in range(CANDIDATES):
+            tried = np.zeros(size, dtype=np.uint64)
+            tried[split] = sample[order[starts[split] + c % count[split]]]
+            far = np.bitwise_count((sample[inside] ^ tried[here]) & masks[at]).astype(np.float64)
+            mean = np.bincount(here, far, size) / np.maximum(1, count)
+            variance = np.bincount(here, far * far, size) / np.maximum(1, count) - mean * mean
+            better = variance > spread
+            best[better], spread[better] = tried[better], variance[better]
+        far = np.bitwise_count((sample[inside] ^ best[here]) & masks[at])
+        held = np.zeros((size, bits + 1), dtype=np.int64)
+        np.add.at(held, (here, far), 1)
+        upto = np.cumsum(held, axis=1) - held / 2
+        part = np.minimum(ARITY - 1, upto * ARITY / np.maximum(1, count)[:, None]).astype(np.int64)
+        new = np.concatenate([np.ones((size, 1), dtype=bool), np.diff(part, axis=1) > 0], axis=1)
+        new[count * scale <= leaf_rows] = False
+        new[count <= 1] = False
+        child = np.cumsum(new.ravel()).reshape(new.shape) - 1 + first + size
+        branch[-1][split] = child[split]
+        vantage[-1][split] = best[split]
+        is_split = np.zeros(size, dtype=bool)
+        is_split[split] = True
+        moved = is_split[here]
+        node_of[inside[moved]] = child[here[moved], far[moved]]
+        first, size = first + size, int(new.sum())
+        vantage.append(np.zeros(size, dtype=np.uint64))
+        level.append(np.full(size, at + 1, dtype=np.int8))
+        branch.append(np.full((size, bits + 1), -1, dtype=np.int32))
+    branches = np.concatenate(branch)
+    shards = np.maximum(1, np.ceil(np.bincount(node_of, minlength=len(branches)) * scale / SHARD_ROWS)).astype(np.int32)
+    return Tree(np.concatenate(vantage), np.concatenate(level), branches, shards, masks)
+
+
+def route(tree: Tree, fps: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf, cost) of every leaf that a fingerprint reaches within ``budget``."""
+    row, node, cost = np.arange(len(fps)), np.zeros(len(fps), dtype=np.int32), np.zeros(len(fps), dtype=np.int8)
+    found = []
+    while len(row):
+        leaf = tree.branch[node, 0] < 0
+        found.append((row[leaf], node[leaf], cost[leaf]))
+        row, node, cost = row[~leaf], node[~leaf], cost[~leaf]
+        far = np.bitwise_count((fps[row] ^ tree.vantage[node]) & tree.masks[tree.level[node] % len(tree.masks)]).astype(np.int64)
+        steps = []
+        for step in range(-budget, budget + 1):
+            there = far + step
+            open_ = np.flatnonzero((cost + abs(step) <= budget) & (there >= 0) & (there < tree.branch.shape[1]))
+            child = tree.branch[node[open_], there[open_]]
+            if step:  # the branch was reached at less cost already
+                fresh = child != tree.branch[node[open_], there[open_] - (1 if step > 0 else -1)]
+                open_, child = open_[fresh], child[fresh]
+            steps.append((row[open_], child, (cost[open_] + abs(step)).astype(np.int8)))
+        row, node, cost = (np.concatenate([s[i] for s in steps]) for i in range(3))
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+
+
+def shard_links(shard: np.ndarray, fp: np.ndarray, stored: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Spanning links among rows that share a shard; rows are sorted by (shard, fp)."""
     last = np.searchsorted(shard, shard, side="right")
-    # A pair meets stored-to-queried one way round or the other; either end may be the stored one, the other lies later.
-    stored = np.flatnonzero(rows["far"] <= radius // 2)
-    reps = last[stored] - stored - 1
-    stored, reps = stored[reps > 0], reps[reps > 0]
+    # Of a close pair either end is stored where the other is queried, so the stored one may be taken to be the earlier.
+    own = np.flatnonzero(stored)
+    reps = last[own] - own - 1
+    own, reps = own[reps > 0], reps[reps > 0]
     total, links, i = np.cumsum(reps), Links(), 0
-    while i < len(stored):
+    while i < len(own):
         done = total[i - 1] if i else 0
         j = max(i + 1, int(np.searchsorted(total, done + CHUNK_PAIRS, side="right")))
         n = reps[i:j]
-        a = np.repeat(stored[i:j], n)
+        a = np.repeat(own[i:j], n)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
         x, y = fp[a], fp[b]
         near = (np.bitwise_count(x ^ y) <= radius) & (x != y)
@@ -166,42 +223,53 @@ def shard_links(rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
     return links.shrink()
 
 
-def tree_links(fps: DataFrame, radius: int = 3, partitions: int | None = None) -> DataFrame:
-    """Links (a, b) that span the groups of the distinct 64-bit fingerprints ``fps`` (fp long) at ``radius`` bits or fewer.
-
-    Rows travel packed: each task sends a few blobs of rows to each of ``partitions`` shard groups (4 times the session's
-    shuffle partitions unless given). ``radius`` up to 4 is sensible: the number of shards a row visits grows steeply.
-    """
+def tree_links(fps: DataFrame, radius: int = 3, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """Links (a, b) that span the groups of the distinct 64-bit fingerprints ``fps`` (fp long) at ``radius`` bits or fewer."""
     spark = fps.sparkSession
-    groups = partitions or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    query = radius - radius // 2
+    total = fps.count()
+    some = fps.select("fp").sample(min(1.0, SAMPLE / max(1, total)), SEED).toArrow()  # about SAMPLE rows at most
+    tree = grow(some.column("fp").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), total, leaf_rows)
+    shared = spark.sparkContext.broadcast(tree)  # its nodes are bounded by the sample
+    nodes = len(tree.level)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = shared.value
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for i in range(0, len(values), 4096):
-                part = values[i : i + 4096]
-                row, shard, far = shards_of(part, query)
-                group = (shard * np.uint32(2654435761) >> np.uint32(7)) % np.uint32(groups)
-                order = np.argsort(group, kind="stable")
-                out = np.empty(len(order), dtype=_ROW)
-                out["shard"], out["fp"], out["far"] = shard[order], part[row[order]], far[order]
-                ids, first = np.unique(group[order], return_index=True)
-                blobs = [x.tobytes() for x in np.split(out, first[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(blobs, pa.binary())], ["grp", "rows"])
+            for i in range(0, len(values), 2048):
+                part = values[i : i + 2048]
+                row, leaf, cost = route(tree, part, radius - radius // 2)
+                fp, stored, many = part[row], cost <= radius // 2, tree.shards[leaf]
+                at = np.repeat(np.arange(len(row)), many)
+                turn = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+                mine = (fp[at] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % many[at].astype(np.uint64) == turn.astype(np.uint64)
+                columns = [pa.array(leaf[at].astype(np.int64) + nodes * turn), pa.array(fp[at].view(np.int64)), pa.array(stored[at] & mine)]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "fp", "stored"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for group, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(group, []).append(blob)
-        for group in sorted(held):
-            found = shard_links(np.frombuffer(b"".join(held.pop(group)), dtype=_ROW), radius)
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            shard, fp, stored = (np.concatenate([h[i] for h in held]) for i in range(3))
+            found = shard_links(shard, fp.view(np.uint64), stored, radius)
             if found is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], ["a", "b"])
 
-    sent = fps.select("fp").mapInArrow(spread, "grp int, rows binary")
-    return sent.repartition(groups, "grp").mapInArrow(search, "a long, b long")
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cut = int(np.searchsorted(columns[0], columns[0][-1])) if batch.num_rows else 0
+            if cut or (held and batch.num_rows and held[-1][0][-1] != columns[0][0]):  # all shards but the last are complete
+                held.append(tuple(c[:cut] for c in columns))
+                yield from links()
+                held.clear()
+            if batch.num_rows:
+                held.append(tuple(c[cut:] for c in columns))
+        if held:
+            yield from links()
+
+    sent = fps.select("fp").mapInArrow(spread, "shard long, fp long, stored boolean")
+    dealt = sent.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard", "fp")
+    return dealt.mapInArrow(search, "a long, b long")
 
 
 def near_groups(docs: DataFrame, radius: int = 3, shingle: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -211,9 +279,7 @@ def near_groups(docs: DataFrame, radius: int = 3, shingle: int = 3, text: str =
     fingerprint zero and are linked like any other. Repeated rows give repeated results. Rows whose doc_id is null are linked
     too and take the component's id; a component of such rows alone has a null id. Other columns are not read.
     """
-    as_long = F.conv(F.hex("made.fp"), 16, -10).cast("long")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle).alias("made"))
-    rows = settle(rows.select("doc_id", as_long.alias("fp")), "simhash-docs")
+    rows = settle(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle).alias("fp")), "simhash-docs")
     groups = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-groups")
     roots = components(tree_links(groups, radius))
     named = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
@@ -221,83 +287,3 @@ def near_groups(docs: DataFrame, radius: int = 3, shingle: int = 3, text: str =
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     known = settle(named.join(least, "root").select("fp", "component_id"), "simhash-components")
     return rows.join(known, "fp").select("doc_id", "fp", "component_id")
-
-
-def radius_of(similarity: float, bits: int) -> int:
-    """Differing bits within which nearly all pairs of that similarity (shared over united shingles) lie: what is expected of
-    such a pair, whose cosine is 2s / (1 + s), and two standard deviations more."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
-
-
-def size_ring_links(fps: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Links (a, b) that span the groups of ``fps`` (key string, fp binary of 128 bits, n_shingles): within
-    :func:`radius_of` the similarity, and sizes within that ratio."""
-    width = -math.log(similarity)
-    ring = F.floor(F.log(F.col("n_shingles") + F.lit(1.0)) / F.lit(width)).cast("int")
-    rows = settle(fps.select("key", "fp", "n_shingles", ring.alias("ring")), "rings")
-    sizes = rows.groupBy("ring").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
-    after = sizes.select((F.col("ring") - 1).alias("ring"), F.col("blocks").alias("after"))
-    before = sizes.select((F.col("ring") + 1).alias("ring"), F.col("blocks").alias("before"))
-    # One row for each ring: their number is the logarithm of the largest size.
-    plan = F.broadcast(sizes.join(after, "ring", "left").join(before, "ring", "left").na.fill(0))
-    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    span = lambda lo, hi: F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<int>"))
-    task = lambda side, own, r, other: F.struct(F.lit(side).alias("side"), own.alias("r1"), r.alias("b1"), other[0].alias("r2"), other[1].alias("b2"))
-    me, mine, zero = F.col("ring"), F.col("block"), F.lit(0)
-    tasks = F.concat(
-        F.transform(span(mine, F.col("blocks")), lambda x: task(0, me, mine, (me, x))),
-        F.transform(span(zero, F.col("after")), lambda x: task(0, me, mine, (me + 1, x))),
-        F.transform(span(zero, mine), lambda x: task(1, me, x, (me, mine))),
-        F.transform(span(zero, F.col("before")), lambda x: task(1, me - 1, x, (me, mine))),
-    )
-    dealt = rows.join(plan, "ring").withColumn("block", block).select("key", "fp", "n_shingles", F.explode(tasks).alias("t"))
-    packed = dealt.groupBy("t.r1", "t.b1", "t.r2", "t.b2").agg(F.sort_array(F.collect_list(F.struct("t.side", "key", "fp", "n_shingles"))).alias("rows"))
-    allowed = radius_of(similarity, 128)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alone = [(r1, b1) == (r2, b2) for r1, b1, r2, b2 in zip(*(batch.column(i).to_pylist() for i in range(4)))]
-            for own, rows in zip(alone, batch.column(4)):
-                flat = rows.values
-                side = flat.field("side").to_numpy()
-                keys, n = flat.field("key"), flat.field("n_shingles").to_numpy() + 1.0
-                halves = np.frombuffer(b"".join(flat.field("fp").to_pylist()), dtype="<u8").reshape(-1, 2)
-                left = np.flatnonzero(side == 0)
-                right = left if own else np.flatnonzero(side == 1)
-                links, step = Links(), max(1, CHUNK_PAIRS // max(1, len(right)))
-                for i in range(0, len(left), step):
-                    x = left[i : i + step]
-                    far = np.bitwise_count(halves[x, None, 0] ^ halves[None, right, 0])
-                    far += np.bitwise_count(halves[x, None, 1] ^ halves[None, right, 1])
-                    a, b = np.nonzero(far <= allowed)
-                    a, b = x[a], right[b]
-                    near = (a != b) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]))
-                    links.add(a[near], b[near])
-                found = links.shrink()
-                if found is not None:
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(e)) for e in found], ["a", "b"])
-
-    return packed.mapInArrow(compare, "a string, b string")
-
-
-def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without near copies: of each group, the rows with the smallest doc_id stay, repeated rows once.
-
-    128-bit fingerprints over ``shingle`` words are linked within :func:`radius_of` the similarity if the numbers of shingles
-    (plus one) are within that ratio. Null and wordless texts form one group. A row whose doc_id is null stays only if
-    no row of its group has one. Rows are told apart by doc_id and text. All columns are kept as they are. An empty table stays empty.
-    """
-    made = docs.select("*", fingerprint(F.col(text), shingle, 128).alias("_made"))
-    keyed = made.withColumn("_key", F.concat(F.hex("_made.fp"), F.lit("-"), F.col("_made.n_shingles").cast("string")))
-    content = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    rows = settle(keyed.select(F.col(doc_id).alias("id"), content.alias("content"), F.col("_key").alias("key"), "_made.fp", "_made.n_shingles"), "copies-docs")
-    groups = settle(rows.groupBy("key").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("n_shingles").alias("n_shingles")), "copies-groups")
-    roots = components(size_ring_links(groups, similarity))
-    named = settle(groups.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root")), "copies-named")
-    least = settle(named.groupBy("root").agg(F.min("rep").alias("rep")), "copies-least")
-    owners = settle(named.select("key", "root").join(least, "root").select("key", "rep"), "copies-owners")
-    kept = rows.select("id", "content", "key").join(owners, "key").where(F.col("id").eqNullSafe(F.col("rep")))
-    kept = settle(kept.select(F.col("id").alias("_kept_id"), F.col("content").alias("_kept_content")).distinct(), "copies-kept")
-    same = F.col(doc_id).eqNullSafe(F.col("_kept_id")) & (content == F.col("_kept_content"))
-    return docs.join(kept, same, "left_semi").dropDuplicates()
