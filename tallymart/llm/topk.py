@@ -1,15 +1,20 @@
 """Exact top-k search by distributed histogram selection.
 
-Every query is scored against every row. Rather than sorting scores, each pass counts them in a few bins for each query over
-the range that still holds the kth highest score, sums the counts of all tasks, and narrows the range to the bin of the kth
-score, until the range is one value. A last pass keeps what lies above it, and of ties the smallest ids, from each task.
+Every query is scored against every row. Rather than sorting scores, each pass counts them in ``BINS`` bins for each query over the
+range that still holds the kth highest score, sums the counts of all tasks, and narrows the range to the bin of the kth score,
+until the range is one value. A last pass keeps what lies above it, and of ties the smallest ids.
 
-Queries are taken in chunks of bounded size; only a chunk (``CHUNK`` vectors) and its ranges are broadcast at once. Scores are
-recomputed in every pass as one matrix product for each batch, which costs less than writing them.
+Rows and queries are packed into blocks (``ROWS`` and ``QUERIES`` vectors) by hash; a pass is one job over all pairs of a row block
+and a query block, in which a query block carries the ranges of its queries. So the number of jobs, and every plan, is the same for
+any number of queries, and nothing but the largest width of a range comes to the driver. Scores are recomputed in every pass as
+one matrix product for each pair of blocks, which costs less than writing them.
 
-Vectors that are null, empty, or hold null or non-finite components take no part. Vectors of another length than the query's
-are no candidates. A row is not its own candidate: ids name rows, so rows that repeat the query's id are left out with it;
-other repeated rows count each. Queries that repeat an id are one query (the least vector). A null id takes no part.
+Components are whole numbers below 2 ** 63 in size, floor(scale * x); scores are exact (floats where all sums are exact in them,
+whole numbers of any size elsewhere). A component or score that does not fit a long is an error.
+
+Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows without id. Vectors of another length
+than the query's are no candidates. A row is not its own candidate, but another row that repeats its id or its vector is; repeated
+queries each give their results. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,125 +29,161 @@ from pyspark.sql import functions as F
 
 from .scratch import settle
 
-SCALE, CHUNK, BINS = 1024, 1024, 256
-#: Bits that a float's sums of integer products may have without loss.
-EXACT = float(2**53)
+SCALE, ROWS, QUERIES, BINS = 1024, 4096, 512, 256
+#: Sums of integer products below these are exact in a float and in a long.
+IN_FLOAT, IN_LONG = 2.0**53, 2.0**63
+#: Slices of a query's last candidates that are ranked apart before they are ranked together.
+SLICES = 32
+_LOW, _HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
-    """Components as floor(scale * x) in longs; null for vectors that take no part."""
+    """Components as floor(scale * x) in longs; null for vectors that take no part, an error where one does not fit."""
     x = vector.cast("array<double>")
-    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(2.0**52 / scale)))
-    return F.when(finite & (F.size(x) > 0), F.transform(x, lambda c: F.floor(c * F.lit(float(scale))).cast("long")))
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-
-
-def _scores(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Integer inner products, vectors by queries; in floats where these are exact."""
-    most = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * vectors.shape[1]
-    if most < EXACT:
-        return (vectors.astype(np.float64) @ queries.T.astype(np.float64)).astype(np.int64)
-    return vectors @ queries.T
-
-
-def _parts(batch: pa.RecordBatch, queries: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(vec_ids, scores, allowed) of slices of a batch; the rows all have the queries' length."""
-    rows, vectors = batch.column(0).to_numpy(), _matrix(batch.column(1))
-    for i in range(0, len(rows), 2048):
-        own = rows[i : i + 2048]
-        yield own, _scores(vectors[i : i + 2048], queries), own[:, None] != ids[None, :]
-
-
-def _chunk_top(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
-    """(query_id, vec_id, score): for each query of the chunk at least its k best candidates, from each task k ties at most."""
-    spark, n = vectors.sparkSession, len(ids)
-
-    def extent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, high, count = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min), np.zeros(n, dtype=np.int64)
-        for batch in batches:
-            for _, scores, allowed in _parts(batch, queries, ids):
-                low = np.minimum(low, np.where(allowed, scores, np.iinfo(np.int64).max).min(axis=0))
-                high = np.maximum(high, np.where(allowed, scores, np.iinfo(np.int64).min).max(axis=0))
-                count += allowed.sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(low), pa.array(high), pa.array(count)], ["q", "low", "high", "n"])
-
-    sums = vectors.mapInArrow(extent, "q long, low long, high long, n long").groupBy("q").agg(F.min("low"), F.max("high"), F.sum("n"))
-    found = np.array([tuple(r) for r in sums.collect()], dtype=np.int64).reshape(-1, 4)  # one row for each query of the chunk
-    low, high, total = (np.zeros(n, dtype=np.int64) for _ in range(3))
-    low[found[:, 0]], high[found[:, 0]], total[found[:, 0]] = found[:, 1], found[:, 2], found[:, 3]
-    wanted = np.minimum(k, total)  # how many of the best still lie at or below ``high``
-    low, high = np.where(total > 0, low, 0), np.where(total > 0, high, 0)
-    few = total <= k
-    high = np.where(few, low, high)
-
-    while (high > low).any():
-        width = np.maximum(1, -(-(high - low + 1) // BINS))
-
-        def count(batches: Iterator[pa.RecordBatch], low=low, high=high, width=width) -> Iterator[pa.RecordBatch]:
-            table = np.zeros(n * BINS, dtype=np.int64)
-            for batch in batches:
-                for _, scores, allowed in _parts(batch, queries, ids):
-                    allowed &= (scores >= low) & (scores <= high) & (high > low)
-                    _, q = np.nonzero(allowed)
-                    table += np.bincount(q * BINS + ((scores - low) // width)[allowed], minlength=n * BINS)
-            there = np.flatnonzero(table)
-            yield pa.RecordBatch.from_arrays([pa.array(there // BINS), pa.array(there % BINS), pa.array(table[there])], ["q", "bin", "n"])
-
-        counts = vectors.mapInArrow(count, "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
-        order = W.partitionBy("q").orderBy(F.col("bin").desc())
-        goal = spark.createDataFrame(list(enumerate(wanted.tolist())), "q long, wanted long")
-        upto = counts.withColumn("upto", F.sum("n").over(order)).join(F.broadcast(goal), "q").where("upto >= wanted")
-        at = upto.groupBy("q").agg(F.max_by(F.struct("bin", "upto", "n"), "bin").alias("at")).select("q", "at.*")
-        for q, bin_, reached, own in at.collect():  # one row for each query of the chunk
-            wanted[q] -= reached - own
-            low[q] += bin_ * width[q]
-            high[q] = min(high[q], low[q] + width[q] - 1)
-
-    floor = np.where(few, np.iinfo(np.int64).min, low)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for rows, scores, allowed in _parts(batch, queries, ids):
-                allowed &= scores >= floor
-                v, q = np.nonzero(allowed)
-                order = np.argsort(q, kind="stable")
-                v, q = v[order], q[order]
-                for own, part in zip(*(lambda u, at: (u, np.split(v, at[1:])))(*np.unique(q, return_index=True))):
-                    ids_, best = rows[part], scores[part, own]
-                    if own in held:
-                        ids_, best = np.concatenate([held[own][0], ids_]), np.concatenate([held[own][1], best])
-                    top = np.lexsort((ids_, -best))[:k]
-                    held[own] = ids_[top], best[top]
-        if held:
-            which = np.concatenate([np.full(len(v), ids[q]) for q, (v, _) in held.items()])
-            yield pa.RecordBatch.from_arrays([pa.array(which), *(pa.array(np.concatenate([h[i] for h in held.values()])) for i in (0, 1))], ["query_id", "vec_id", "score"])
-
-    return vectors.mapInArrow(keep, "query_id long, vec_id long, score long")
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k highest integer inner products of each query, ties to the smaller id."""
-    made = lambda df: df.select(F.col(vec_id).cast("long").alias("vec_id"), quantised(F.col(vector)).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
-    rows = settle(made(vectors), "topk-rows")
-    asked = made(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("len", F.size("v"))
-    lengths = [(r["len"], r["n"]) for r in asked.groupBy("len").agg(F.count("*").alias("n")).collect()]  # one row for each vector length
-    spread = F.pmod(F.xxhash64("vec_id"), F.lit(max([1, *(-(-n // (CHUNK // 2)) for _, n in lengths)])))
-    asked = settle(asked.withColumn("chunk", spread), "topk-queries")
-    found = None
-    for length, n in sorted(lengths):
-        same = rows.where(F.size("v") == length)
-        for chunk in range(max([1, *(-(-m // (CHUNK // 2)) for _, m in lengths)])):
-            part = asked.where((F.col("len") == length) & (F.col("chunk") == chunk)).select("vec_id", "v").toArrow()  # about CHUNK / 2 rows
-            if part.num_rows:
-                part = part.combine_chunks().to_batches()[0]
-                top = settle(_chunk_top(same, part.column(0).to_numpy(), _matrix(part.column(1)), k), "topk-found")
-                found = top if found is None else found.unionAll(top)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    whole = lambda c: F.floor(c * F.lit(float(scale)))
+    fits = F.forall(x, lambda c: F.abs(c * F.lit(float(scale))) < F.lit(IN_LONG))
+    checked = F.when(fits, F.transform(x, lambda c: whole(c).cast("long"))).otherwise(F.raise_error(F.lit("a component does not fit a long")).cast("array<long>"))
+    return F.when(finite & (F.size(x) > 0), checked)
+
+
+def _product(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Exact integer inner products, rows by queries."""
+    size = lambda m: np.abs(m.astype(np.float64)).max(axis=1, initial=0)
+    out, own, theirs = np.empty((len(rows), len(queries)), dtype=np.int64), size(rows), size(queries)
+    # Most vectors are small; a large one does not make the others slow.
+    small = [s * np.median(o) * rows.shape[1] * 8 < IN_FLOAT for s, o in ((own, theirs), (theirs, own))] if out.size else [own < 0, theirs < 0]
+    for a in (small[0], ~small[0]):
+        for b in (small[1], ~small[1]):
+            if not a.any() or not b.any():
+                continue
+            x, y = rows[a], queries[b]
+            most = own[a].max() * theirs[b].max() * rows.shape[1]
+            if most < IN_FLOAT:
+                found = (x.astype(np.float64) @ y.T.astype(np.float64)).astype(np.int64)
+            elif most < IN_LONG / 2:
+                found = x @ y.T
+            else:
+                exact = x.astype(object) @ y.T.astype(object)
+                if max(abs(int(exact.max())), abs(int(exact.min()))) > _HIGH:
+                    raise OverflowError("a score does not fit a long")
+                found = exact.astype(np.int64)
+            out[np.ix_(a, b)] = found
+    return out
+
+
+def _blocks(rows: DataFrame, size: int, kind: str) -> DataFrame:
+    """``rows`` (uid, vec_id, v) of each length packed by hash into blocks of about ``size``: block, len, uids, ids, vectors."""
+    lengths = rows.groupBy(F.size("v").alias("len")).agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias("blocks"))
+    dealt = rows.withColumn("len", F.size("v")).join(F.broadcast(lengths), "len")  # one row for each vector length
+    block = F.pmod(F.xxhash64("uid", F.lit(kind)), F.col("blocks"))
+    # One shuffle by block; a block has a bounded number of rows.
+    packed = dealt.groupBy("len", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("uid", "vec_id", "v"))).alias("r"))
+    names = {"row": ("block", "uids", "ids", "vectors"), "query": ("q_block", "q_uids", "q_ids", "q_vectors")}[kind]
+    return packed.select(F.xxhash64("len", "block").alias(names[0]), F.col("len").alias("len" if kind == "row" else "q_len"), *[getattr(F.col("r"), "getField")(f).alias(n) for f, n in zip(("uid", "vec_id", "v"), names[1:])])
+
+
+class _Pair:
+    """A row block against a query block: scores, and which of them count."""
+
+    def __init__(self, at: int, batch: pa.RecordBatch):
+        value = lambda n: batch.column(batch.schema.get_field_index(n))[at].values
+        self.uids, self.ids, self.q_uids, self.q_ids = (value(n).to_numpy() for n in ("uids", "ids", "q_uids", "q_ids"))
+        rows, queries = (value(n).flatten().to_numpy().reshape(len(u), -1) for n, u in (("vectors", self.uids), ("q_vectors", self.q_uids)))
+        self.scores = _product(rows, queries)
+        self.allowed = self.uids[:, None] != self.q_uids[None, :]
+        self.low, self.high = (value(n).to_numpy() if n in batch.schema.names else None for n in ("low", "high"))
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[_Pair]:
+    for batch in batches:
+        same = batch.column(batch.schema.get_field_index("len")).to_numpy() == batch.column(batch.schema.get_field_index("q_len")).to_numpy()
+        for at in np.flatnonzero(same):
+            yield _Pair(int(at), batch)
+
+
+def _extent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for p in _pairs(batches):
+        low, high = (np.where(p.allowed, p.scores, fill) for fill in (_HIGH, _LOW))
+        columns = [p.q_uids, low.min(axis=0), high.max(axis=0), p.allowed.sum(axis=0)]
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["q", "low", "high", "n"])
+
+
+def _widths(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Width of each query's bins; ranges may span nearly all longs, so the difference is unsigned."""
+    span = high.view(np.uint64) - low.view(np.uint64)
+    return span // np.uint64(BINS) + np.uint64(1)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for p in _pairs(batches):
+        n, wide = len(p.q_uids), p.high > p.low
+        allowed = p.allowed & (p.scores >= p.low) & (p.scores <= p.high) & wide
+        row, q = np.nonzero(allowed)
+        bin_ = (p.scores[row, q].view(np.uint64) - p.low.view(np.uint64)[q]) // _widths(p.low, p.high)[q]
+        table = np.bincount(q * BINS + bin_.astype(np.int64), minlength=n * BINS)
+        there = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (p.q_uids[there // BINS], (there % BINS).astype(np.int64), table[there].astype(np.int64))], ["q", "bin", "n"])
+
+
+def _keep(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in _pairs(batches):
+            row, q = np.nonzero(p.allowed & (p.scores >= p.low))
+            order = np.lexsort((p.ids[row], -p.scores[row, q].astype(np.float64), q)) if len(row) else np.zeros(0, int)
+            row, q = row[order], q[order]
+            # Above the kth score there are fewer than k rows anywhere; ties with it are kept by id, k for each block at most.
+            tied = p.scores[row, q] == p.low[q]
+            rank = np.cumsum(tied) - np.concatenate([[0], np.cumsum(tied)])[np.searchsorted(q, q)]
+            some = ~tied | (rank <= k)
+            row, q = row[some], q[some]
+            columns = [p.q_uids[q], p.q_ids[q], p.ids[row], p.scores[row, q], p.uids[row]]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["q", "query_id", "vec_id", "score", "uid"])
+
+    return run
+
+
+def _ranges(blocks: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Query blocks with the range (low, high) of each of their queries, in their order."""
+    each = blocks.select("q_block", F.posexplode("q_uids").alias("at", "q")).join(ranges.select("q", "low", "high"), "q", "left")
+    # A query without candidates has an empty range.
+    each = each.withColumn("low", F.coalesce("low", F.lit(0).cast("long"))).withColumn("high", F.coalesce("high", F.lit(0).cast("long")))
+    packed = each.groupBy("q_block").agg(F.sort_array(F.collect_list(F.struct("at", "low", "high"))).alias("r"))
+    return blocks.join(packed.select("q_block", F.col("r.low").alias("low"), F.col("r.high").alias("high")), "q_block")
+
+
+def search(vectors: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row of ``vectors`` that is a query (condition ``queries``) the k highest integer
+    inner products with other rows, ties to the smaller id."""
+    made = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), quantised(F.col(vector)).alias("v"), F.coalesce(queries, F.lit(False)).alias("asked"))
+    # Row numbers are written once: they tell rows of one id apart.
+    rows = settle(made.where("vec_id IS NOT NULL AND v IS NOT NULL").withColumn("uid", F.monotonically_increasing_id()), "topk-rows")
+    own = settle(_blocks(rows, ROWS, "row"), "topk-blocks")
+    asked = settle(_blocks(rows.where("asked"), QUERIES, "query"), "topk-queries")
+    # The query set in blocks against all rows in blocks.
+    against = lambda q: own.crossJoin(q)
+    sums = against(asked).mapInArrow(_extent, "q long, low long, high long, n long").groupBy("q").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+    few = F.col("n") <= k
+    wanted = F.least(F.col("n"), F.lit(k)).alias("wanted")
+    ranges = settle(sums.where("n > 0").select("q", "low", F.when(few, F.col("low")).otherwise(F.col("high")).alias("high"), wanted), "topk-ranges")
+    while not ranges.where("high > low").isEmpty():
+        counts = against(_ranges(asked, ranges)).mapInArrow(_count, "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+        upto = F.sum("n").over(W.partitionBy("q").orderBy(F.col("bin").desc()))  # BINS rows for each query at most
+        reached = counts.withColumn("upto", upto).join(ranges.select("q", "wanted"), "q").where("upto >= wanted")
+        at = reached.groupBy("q").agg(F.max_by(F.struct("bin", "upto", "n"), "bin").alias("at")).select(F.col("q").alias("p"), "at.*")
+        both = ranges.join(at, F.col("q") == F.col("p"), "left")
+        exact = lambda c: c.cast("decimal(38,0)")
+        span = exact(F.col("high")) - exact(F.col("low"))
+        width = F.floor(span / F.lit(BINS)) + 1
+        start = exact(F.col("low")) + exact(F.col("bin")) * exact(width)
+        end = F.least(exact(F.col("high")), start + exact(width) - 1)
+        moved = F.col("p").isNotNull()
+        next_ = [F.when(moved, v.cast("long")).otherwise(F.col(n)).alias(n) for n, v in (("low", start), ("high", end), ("wanted", F.col("wanted") - (F.col("upto") - F.col("n"))))]
+        ranges = settle(both.select("q", *next_), "topk-ranges")
+    found = against(_ranges(asked, ranges)).mapInArrow(_keep(k), "q long, query_id long, vec_id long, score long, uid long")
+    # Ties of a hot vector come from every block: they are ranked in slices first.
+    best = [F.col("score").desc(), F.col("vec_id"), F.col("uid")]
+    part = found.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(SLICES)))
+    part = part.withColumn("r", F.row_number().over(W.partitionBy("q", "part").orderBy(*best))).where(F.col("r") <= k)
+    rank = F.row_number().over(W.partitionBy("q").orderBy(*best))
+    return part.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

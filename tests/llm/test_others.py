@@ -285,14 +285,42 @@ def test_topk_against_brute_force(spark, k, n):
     odd = [(1, None, "x"), (2, [1.0, float("nan")] * 4, "x"), (3, [None] * 8, "x"), (4, [], "x"), (None, [1.0] * 8, "x")]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, score string")
     out = defaultdict(list)
-    for r in topk.search(df, df.where("vec_id % 100 = 0"), k).orderBy("query_id", "rank").collect():
+    for r in topk.search(df, F.col("vec_id") % 100 == 0, k).orderBy("query_id", "rank").collect():
         out[r.query_id].append((r.rank, r.vec_id, r.score))
     q = {i: np.floor(1024 * np.array(v)).astype(np.int64) for i, v, _ in rows}
     for i in q:
         if i % 100 == 0:
             best = sorted(((-int(q[i] @ q[j]), j) for j in q if j != i))[:k]
             assert out[i] == [(at, j, -s) for at, (s, j) in enumerate(best, 1)]
-    assert topk.search(df.limit(0), df.limit(0), k).count() == 0
+    assert topk.search(df.limit(0), F.lit(True), k).count() == 0
+
+
+def test_topk_of_large_and_repeated_vectors(spark, monkeypatch):
+    """Components beyond 2 ** 42, scores over nearly all longs, repeated ids and rows, other lengths; several blocks of each kind."""
+    monkeypatch.setattr(topk, "ROWS", 16)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    rng = random.Random(1)
+    rows = [(i, [float(rng.choice([1, -3, 7, 2**20, -(2**41), 2**42, 5e12, 1e-3])), float(rng.choice([0, 1, -1, 0.5, 1e6]))]) for i in range(60)]
+    rows += [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (70, [1.0, 2.0, 3.0]), (80, [5.0]), (90, [1e15, 0.0])]
+    rows = [(i, v) for i, v in rows if not (i % 10 == 0 and max(map(abs, v)) > 100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("uid", F.lit("x")).withColumn("asked", F.lit("y"))
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    true = []
+    for n, (i, v) in enumerate(whole):
+        if i % 10 == 0:
+            found = sorted((-sum(a * b for a, b in zip(v, w)), j) for m, (j, w) in enumerate(whole) if m != n and len(v) == len(w))[:3]
+            true += [(i, at, j, -s) for at, (s, j) in enumerate(found, 1)]
+    assert max(abs(t[3]) for t in true) > 2**53
+    assert sorted(map(tuple, topk.search(df, F.col("vec_id") % 10 == 0, 3).collect())) == sorted(true)
+
+
+def test_topk_refuses_what_fits_no_long(spark):
+    search = lambda rows: topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    with pytest.raises(Exception, match="score does not fit"):
+        search([(0, [4e12, 4e12]), (1, [4e12, 4e12])])
+    with pytest.raises(Exception, match="component does not fit"):
+        search([(0, [1.0]), (1, [1e300])])
+    assert [tuple(r) for r in search([(0, [1.0, 2.0]), (1, [5e12, 1.0]), (2, [1e12, 0.0]), (3, [float("inf"), 0.0])])] == [(0, 1, 1, 1024 * (5120 * 10**12) + 2048 * 1024), (0, 2, 2, 1024 * 1024 * 10**12)]
 
 
 # Sketches
