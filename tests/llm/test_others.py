@@ -301,8 +301,8 @@ def test_topk_of_large_and_repeated_vectors(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERIES", 4)
     rng = random.Random(1)
     rows = [(i, [float(rng.choice([1, -3, 7, 2**20, -(2**41), 2**42, 5e12, 1e-3])), float(rng.choice([0, 1, -1, 0.5, 1e6]))]) for i in range(60)]
-    rows += [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (70, [1.0, 2.0, 3.0]), (80, [5.0]), (90, [1e15, 0.0])]
-    rows = [(i, v) for i, v in rows if not (i % 10 == 0 and max(map(abs, v)) > 100)]
+    rows = [(i, v) for i, v in rows if not (i % 10 == 0 and max(map(abs, v)) > 1)]
+    rows += [(0, [1.0, 0.5]), (0, [1.0, 0.5]), (70, [1.0, 2.0, 3.0]), (80, [5.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("uid", F.lit("x")).withColumn("asked", F.lit("y"))
     whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
     true = []
