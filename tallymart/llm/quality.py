@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import settle
+from .scratch import SLOTS, likely, settle
 
 #: Characters of an n-gram, bits and number of characters.
 ORDER, BITS = 4, 16
@@ -44,10 +44,8 @@ CHARACTERS = 1 << BITS
 PRIOR, QUANTILE = 100.0, 0.999
 #: Cross-entropies are compared in steps of this size, so that quantiles are exact sums of counts.
 STEP = 1 / 1024
-#: Slots of the id filter that spares untrusted documents a shuffle; 2 ** 17 words of 64 bits at most are broadcast.
-FILTER_SLOTS = 1 << 23
 #: N-grams that are broadcast, with a number for each fold (24 bytes each), and codes that a task holds before it adds them up.
-HOT, HELD = 1 << 19, 1 << 22
+HOT, HELD = 1 << 19, 1 << 20
 #: Documents that a task turns over at once.
 DOCS = 128
 #: First of the places, 8,448 in number, that no character of the basic plane has (surrogates and private use), and white space.
@@ -68,39 +66,47 @@ def ngrams(text: str) -> np.ndarray:
     return code.view(np.int64)
 
 
-def _added(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    code, place = np.unique(np.concatenate(codes), return_inverse=True)
-    return code, np.bincount(place, np.concatenate(counts), len(code)).astype(np.int64)
+class _Counts:
+    """Counts of codes; memory follows the distinct codes and ``HELD``."""
+
+    def __init__(self) -> None:
+        self.code, self.n, self.more, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), [], 0
+
+    def add(self, codes: np.ndarray) -> None:
+        self.more.append(codes)
+        self.size += len(codes)
+        if self.size > HELD:
+            self.shrink()
+
+    def shrink(self) -> None:
+        code, n = np.unique(np.concatenate([*self.more, np.zeros(0, dtype=np.int64)]), return_counts=True)
+        code, n = np.concatenate([self.code, code]), np.concatenate([self.n, n])
+        order = np.argsort(code, kind="stable")
+        code, n = code[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, dtype=np.int64)
+        self.code, self.n = code[first], np.add.reduceat(n, first) if len(first) else n
+        self.more, self.size = [], 0
 
 
 def counted(texts: DataFrame) -> DataFrame:
     """(fold, code, n) of all n-grams of ``texts`` (fold int, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[int, _Counts] = {}
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for fold, (codes, counts) in held.items():
-                code, n = _added(codes, counts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), fold, dtype=np.int32)), pa.array(code), pa.array(n)], ["fold", "code", "n"])
+            for fold, c in held.items():
+                c.shrink()
+                for at in range(0, len(c.code), HELD):
+                    code, n = c.code[at : at + HELD], c.n[at : at + HELD]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), fold, dtype=np.int32)), pa.array(code), pa.array(n)], ["fold", "code", "n"])
             held.clear()
 
-        size = 0
         for batch in batches:
             for fold, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                code = ngrams(text or "")
-                codes, counts = held.setdefault(fold, ([], []))
-                codes.append(code)
-                counts.append(np.ones(len(code)))
-                size += len(code)
-                if size > HELD:
-                    for f, (c, n) in held.items():
-                        c, n = _added(c, n)
-                        held[f] = ([c], [n])
-                    size = sum(len(c[0]) for c, _ in held.values())
-                    if size > HELD // 2:
-                        yield from rows()
-                        size = 0
+                held.setdefault(fold, _Counts()).add(ngrams(text or ""))
+            if sum(len(c.code) for c in held.values()) > HELD:
+                yield from rows()
         yield from rows()
 
     each = texts.select("fold", "text").mapInArrow(count, "fold int, code long, n long")
@@ -116,17 +122,13 @@ def _suffix(code: Column, order: int) -> Column:
     return code if order >= ORDER else code.bitwiseAND(F.lit((1 << BITS * order) - 1).cast("long"))
 
 
-def trusted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Documents labelled quality 1 and toxic 0 (null toxic: 0). A filter over hashed ids goes before the exact join."""
-    good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("good")).distinct()
-    slot = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(FILTER_SLOTS))
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (slot(c) % 64).cast("int"))
-    word = lambda c: F.floor(slot(c) / 64)
-    words = good.groupBy(word(F.col("good")).alias("_word")).agg(F.bit_or(bit(F.col("good"))).alias("_bits"))
-    likely = docs.join(F.broadcast(words), word(F.col(doc_id)) == F.col("_word")).where(F.col("_bits").bitwiseAND(bit(F.col(doc_id))) != 0)
-    # The word is part of the key so that the filter stays below the shuffle.
-    good = good.withColumn("good_word", word(F.col("good")))
-    return likely.join(good, (F.col(doc_id) == F.col("good")) & (F.col("_word") == F.col("good_word")), "left_semi").drop("_word", "_bits")
+def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` (with doc_id) labelled quality 1 and toxic 0 (null toxic: 0). A filter over hashed ids goes before the exact join."""
+    good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("key")).distinct()
+    # The slot is part of the key so that the filter stays below the shuffle.
+    ids = good.select(F.col("key").alias("good"), F.floor(F.pmod(F.xxhash64("key"), F.lit(SLOTS)) / 64).alias("good_slot"))
+    some = likely(docs, F.col("doc_id").cast("long"), good)
+    return some.join(ids, (F.col("doc_id") == F.col("good")) & (F.col("slot") == F.col("good_slot")), "left_semi").drop("slot")
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
@@ -223,7 +225,7 @@ def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """(doc_id, lang, key, bits, n, even): summed negative log-probability, characters and evenness of each document; key: hash of
     the text."""
     spark = docs.sparkSession
-    known = trusted(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), labels, "doc_id")
+    known = trusted(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), labels)
     seen = model(counted(known.select(_fold(F.col("text")).alias("fold"), "text")))
     codes = settle(counted(docs.select(F.lit(0).alias("fold"), F.col(text).alias("text"))).select("code", "n"), "lm-codes")
     table = settle(resolved(codes.select("code"), seen).join(codes, "code"), "lm-table")

@@ -1,24 +1,23 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and a filter that spares most rows a shuffle."""
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from ..scratch import settle, shared_path
 
-#: Used only where the session names no shared folder (single-machine tests).
-DEFAULT_DIR = "file:///tmp/checkpoints"
+__all__ = ["likely", "settle", "shared_path"]
 
+#: Slots of the filter; 2 ** 17 words of 64 bits at most are broadcast.
+SLOTS = 1 << 23
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir`` (or ``DEFAULT_DIR`` where that is unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return it read back: lineage ends here and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def likely(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` (a long hash) is not in ``keys`` (key): a bitmap of hashed keys, to go before an
+    exact join. No row whose key is there is lost. One column is added, ``slot``, the word of the bitmap."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (place(c) % 64).cast("int"))
+    words = keys.groupBy(F.floor(place(F.col("key")) / 64).alias("word")).agg(F.bit_or(bit(F.col("key"))).alias("set_bits"))
+    found = rows.select(F.struct("*").alias("row"), F.floor(place(key) / 64).alias("slot"), bit(key).alias("own_bit")).join(F.broadcast(words), F.col("slot") == F.col("word"))
+    return found.where(F.col("set_bits").bitwiseAND(F.col("own_bit")) != 0).select("row.*", "slot")
