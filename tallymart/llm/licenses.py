@@ -35,7 +35,7 @@ TEMPLATES = (
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
 )
 GRAM = 3
-#: Diagonals up to this far apart are merged where one follows the other; votes must cover this share of a template's 3-grams.
+#: Diagonals up to this far apart, and what the template may lack, are merged where one follows the other; votes must cover this share of a template's 3-grams.
 DRIFT, COVER = 2, 0.8
 
 
@@ -69,7 +69,9 @@ def spans(texts: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES)
     lines = votes.groupBy(*doc, (F.col("at") - F.col("place")).alias("diagonal")).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.collect_set("place").alias("places"))
     # Chains of diagonals: one joins the chain before it if it is near and starts beyond that one's start.
     order = W.partitionBy(*doc).orderBy("first", "diagonal")
-    apart = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > DRIFT) | (F.col("first") - F.lag("last").over(order) > GRAM + DRIFT)
+    # A chain may lack as many words as the template may, and shift by as many.
+    spare = F.floor((F.col("n_grams") + (GRAM - 1)) * F.lit(1 - COVER))
+    apart = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > DRIFT + spare) | (F.col("first") - F.lag("last").over(order) > GRAM + DRIFT + spare)
     chained = lines.withColumn("chain", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(order))
     merged = chained.groupBy(*doc, "chain").agg(F.min("first").alias("first"), (F.max("last") + (GRAM - 1)).alias("last"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
     # Each interruption costs the GRAM - 1 grams around it, so coverage counts words and not grams.

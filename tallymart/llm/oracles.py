@@ -25,6 +25,7 @@ def op3() -> str:
     base = ", ".join(f"({_quoted(phrase)}, {_quoted(label)})" for phrase, label in licenses.BASE)
     words = f"regexp_extract_all({LOWER.format('text')}, {_quoted(licenses.WORD)})"
     g = licenses.GRAM
+    spare = f"floor((n_grams + {g - 1}) * CAST({1 - licenses.COVER!r} AS DOUBLE))"
     return f"""
 WITH tpl AS (SELECT t AS template, label, regexp_extract_all({LOWER.format('text')}, {_quoted(licenses.WORD)}) AS w FROM (VALUES {rows}) v(t, label, text)),
 tg AS (SELECT template, label, len(w) - {g - 1} AS n_grams, i AS place, w[i+1] AS a, w[i+2] AS b, w[i+3] AS c FROM (SELECT *, unnest(range(0, len(w) - {g - 1})) AS i FROM tpl)),
@@ -32,7 +33,7 @@ docs AS (SELECT doc_id, {words.replace('text', "coalesce(text, '')")} AS w FROM
 dg AS (SELECT doc_id, i AS pos, w[i+1] AS a, w[i+2] AS b, w[i+3] AS c FROM (SELECT *, unnest(range(0, greatest(0, len(w) - {g - 1}))) AS i FROM docs)),
 votes AS (SELECT DISTINCT doc_id, template, label, n_grams, pos, place FROM dg JOIN tg USING (a, b, c)),
 lines AS (SELECT doc_id, template, label, n_grams, pos - place AS diagonal, min(pos) AS first, max(pos) AS last, list(place) AS places FROM votes GROUP BY ALL),
-marked AS (SELECT *, coalesce(abs(diagonal - lag(diagonal) OVER o) > {licenses.DRIFT} OR first - lag(last) OVER o > {g + licenses.DRIFT}, true) AS apart
+marked AS (SELECT *, coalesce(abs(diagonal - lag(diagonal) OVER o) > {licenses.DRIFT} + {spare} OR first - lag(last) OVER o > {g + licenses.DRIFT} + {spare}, true) AS apart
   FROM lines WINDOW o AS (PARTITION BY doc_id, template ORDER BY first, diagonal)),
 chained AS (SELECT *, sum(CAST(apart AS INT)) OVER (PARTITION BY doc_id, template ORDER BY first, diagonal) AS chain FROM marked),
 merged AS (SELECT doc_id, template, label, n_grams, chain, flatten(list(places)) AS places FROM chained GROUP BY ALL),
