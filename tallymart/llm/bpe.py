@@ -247,7 +247,8 @@ def transcode(docs: DataFrame, path: str, text: str = "text", keep: list[str] |
     """The columns ``keep`` of ``docs`` (all by default) with ids, n_tokens and decoded: encoding and decoding in one pass, which
     holds one tokenizer and a few documents for each task. Columns of these names are replaced."""
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "n_tokens", "decoded")]
-    rows = docs.select(*kept, F.col(text).alias("_text"))
+    body = "text_" + "_" * max(map(len, docs.columns))  # no column has this name
+    rows = docs.select(*kept, F.col(text).alias(body))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
@@ -258,5 +259,5 @@ def transcode(docs: DataFrame, path: str, text: str = "text", keep: list[str] |
                 made = [pa.array(ids, pa.binary()), pa.array([tokenizer.decode(i) for i in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *made], [*kept, "ids", "decoded"])
 
-    schema = rows.drop("_text").schema.add("ids", "binary").add("decoded", "string")
+    schema = rows.drop(body).schema.add("ids", "binary").add("decoded", "string")
     return rows.mapInArrow(run, schema).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -25,6 +26,8 @@ from .scratch import shared_path
 
 #: Ids of a block, and names of a row of the name list.
 BLOCK_IDS, NAME_ROWS = 1 << 16, 1 << 14
+#: Blocks of a byte range of a raw file.
+RANGE_BLOCKS = 256
 STREAM = "file long, block long, ids binary, names array<long>"
 
 
@@ -71,22 +74,32 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_flat_files(spark: SparkSession, path: str, id_bytes: int = 4) -> DataFrame:
-    """(file, block, ids) of raw token files; ``file`` is a hash of the path. A file is read whole by one task, so files should
-    be shards of ordinary size. ``id_bytes`` 2 or 4: width of the little-endian ids."""
+    """(file, block, ids) of raw token files; ``file`` is a hash of the path. Files are cut into byte ranges of ``RANGE_BLOCKS``
+    blocks by their lengths alone, and each task reads its ranges only, so a file may have any length. ``path`` must be of a
+    store that pyarrow opens (local, HDFS, S3). ``id_bytes`` 2 or 4: width of the little-endian ids; bytes beyond the last whole
+    id are left out."""
     if id_bytes not in (2, 4):
         raise ValueError("id_bytes must be 2 or 4")
     size = BLOCK_IDS * id_bytes
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = data.as_buffer()
-                for block, at in enumerate(range(0, data.size, size)):
-                    ids = np.frombuffer(data.slice(at, min(size, data.size - at)), dtype=f"<u{id_bytes}").astype("<u4").tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block]), pa.array([ids], pa.binary())], ["file", "block", "ids"])
-
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "content")
-    return files.mapInArrow(cut, "file long, block long, ids binary")
+            for where, file, first, length in zip(*(c.to_pylist() for c in batch.columns)):
+                store, name = pafs.FileSystem.from_uri(where)
+                with store.open_input_file(name) as source:
+                    for block in range(first, first + RANGE_BLOCKS):
+                        data = source.read_at(max(0, min(size, length - block * size)), block * size)
+                        ids = np.frombuffer(data, dtype=f"<u{id_bytes}").astype("<u4").tobytes()
+                        if ids:
+                            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block]), pa.array([ids], pa.binary())], ["file", "block", "ids"])
+
+    whole = F.col("length") - F.col("length") % id_bytes
+    files = spark.read.format("binaryFile").load(path).select("path", whole.alias("length")).where("length > 0")
+    step = RANGE_BLOCKS * size
+    first = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / step)), lambda i: i * RANGE_BLOCKS)
+    uri = F.regexp_replace("path", "^file:/+", "file:///")
+    ranges = files.select(uri.alias("path"), F.xxhash64("path").alias("file"), F.explode(first).alias("first"), "length")
+    return ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "first").mapInArrow(cut, "file long, block long, ids binary")
 
 
 def _search(eod: int):

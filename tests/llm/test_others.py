@@ -71,6 +71,8 @@ def test_licenses(spark):
     assert {p["label"]: p["at"] for p in by[12].places} == {"mit": [0, 3], "apache": [5], "gpl": []} and by[12].labels == ["apache", "mit"]
     assert by[13].labels == [] and by[13].score == 0 and by[14].labels == ["cc-by-nc"]
     assert by[1].n_words == by[2].n_words == 0 and licenses.scan(docs(spark, [])).count() == 0
+    replaced = mit.replace("to any person obtaining", "to each and every man getting")
+    assert replaced != mit and licenses.scan(docs(spark, [(1, replaced)])).first().labels == ["mit"]
 
 
 # Quality
@@ -251,6 +253,22 @@ def test_flat_files(spark, tmp_path):
     assert [r.n_tokens for r in found] == [2, 1]
 
 
+def test_flat_files_are_read_by_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "BLOCK_IDS", 8)
+    monkeypatch.setattr(token_counts, "RANGE_BLOCKS", 3)
+    rng, true = random.Random(5), []
+    for name, n in (("a", 1000), ("b", 24), ("c", 0), ("d", 7)):
+        ids = [rng.choice([EOD, 1, 2, 3]) for _ in range(n)]
+        (tmp_path / f"{name}.bin").write_bytes(np.array(ids, dtype="<u4").tobytes() + b"x")
+        length = 0
+        for x in ids:
+            length = 0 if x == EOD and not true.append(length) else length + 1
+        true += [length] if length else []
+    blocks = token_counts.read_flat_files(spark, f"file://{tmp_path}")
+    assert blocks.count() == 125 + 3 + 1
+    assert sorted(r.n_tokens for r in token_counts.count(blocks, EOD).collect()) == sorted(true)
+
+
 def test_token_count_edges(spark):
     out = token_counts.count_documents(docs(spark, [*EDGES, (8, "<|endoftext|>")]), TOKENIZER, EOD).collect()
     assert sorted((r.doc_id or -1, r.n_tokens) for r in out if r.doc_id in (1, 2, 3)) == [(1, 0), (2, 0), (3, 1), (3, 1)] and len(out) == len(EDGES) + 1
