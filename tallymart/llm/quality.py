@@ -41,7 +41,7 @@ from .scratch import SLOTS, likely, settle
 #: Characters of an n-gram, bits and number of characters.
 ORDER, BITS = 4, 16
 CHARACTERS = 1 << BITS
-PRIOR, QUANTILE = 100.0, 0.999
+PRIOR, QUANTILE, LEAST_CUT = 100.0, 0.999, 0.1
 #: Cross-entropies are compared in steps of this size, so that quantiles are exact sums of counts.
 STEP = 1 / 1024
 #: N-grams that are broadcast, with a number for each fold (24 bytes each), and codes that a task holds before it adds them up.
@@ -132,9 +132,10 @@ def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
-    """What modified Kneser-Ney takes off counts of 1, of 2, and of 3 and more; 0.5 where counts of counts are missing."""
+    """What modified Kneser-Ney takes off counts of 1, of 2, and of 3 and more; 0.5 where counts of counts are missing. Never less
+    than ``LEAST_CUT``: copied texts turn the estimate negative, and without a cut nothing were left for what is unseen."""
     y, n = n1 / (n1 + 2 * n2) if n1 else 0.0, [n1, n2, n3, n4]
-    return [min(float(i), max(0.0, i - (i + 1) * y * n[i] / n[i - 1])) if n1 and n[i - 1] else 0.5 for i in (1, 2, 3)]
+    return [min(float(i), max(LEAST_CUT, i - (i + 1) * y * n[i] / n[i - 1])) if n1 and n[i - 1] else 0.5 for i in (1, 2, 3)]
 
 
 def model(counts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:

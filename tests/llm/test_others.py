@@ -94,7 +94,7 @@ def brute_kneser_ney(texts, n=4, size=65536):
         n1, n2, n3, n4 = (sum(v == i for v in c.values()) for i in range(1, 5))
         y = n1 / (n1 + 2 * n2) if n1 else 0
         some = [n1, n2, n3, n4]
-        cuts[k] = [min(float(i), max(0.0, i - (i + 1) * y * some[i] / some[i - 1])) if n1 and some[i - 1] else 0.5 for i in (1, 2, 3)]
+        cuts[k] = [min(float(i), max(0.1, i - (i + 1) * y * some[i] / some[i - 1])) if n1 and some[i - 1] else 0.5 for i in (1, 2, 3)]
         totals[k], spare[k] = Counter(), defaultdict(float)
         for g, v in c.items():
             totals[k][g[:-1]] += v
@@ -145,6 +145,17 @@ def test_quality_against_brute_force(spark, sf_dir):
             assert math.log(r.threshold) == pytest.approx(limit) and r.keep == (entropy[r.doc_id] <= limit and not r.repeats)
 
 
+def test_copied_texts_leave_room_for_unseen(spark):
+    """Five copies of everything: no count below 5, and no probability of zero."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(["ab", "cd", "efg", "hi"]) for _ in range(30)), "xx") for i in range(20)]
+    rows = [(100 * c + i, t, lang) for c in range(5) for i, t, lang in rows] + [(999, "zzz qqq", "xx")]
+    labels = spark.createDataFrame([(100 * c + i, 1, 0) for c in range(5) for i in range(20)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in quality.classify(docs(spark, rows), labels).collect()}
+    assert all(math.isfinite(r.perplexity) and math.isfinite(r.threshold) for r in out.values())
+    assert not out[999].keep and sum(r.keep for r in out.values()) >= 99
+
+
 def test_cold_ngrams_count_like_hot_ones(spark, sf_dir, monkeypatch):
     few = table(spark, sf_dir, "documents").limit(40), table(spark, sf_dir, "labels")
     plain = {r.doc_id: r for r in quality.scores(*few).collect()}
