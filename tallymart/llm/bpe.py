@@ -245,7 +245,8 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 def transcode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, special: bool = True) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) with ids, n_tokens and decoded: encoding and decoding in one pass, which
-    holds one tokenizer and a few documents for each task. Columns of these names are replaced."""
+    holds one tokenizer and a few documents for each task; equal texts among these are encoded once. Columns of these names are
+    replaced."""
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "n_tokens", "decoded")]
     body = "text_" + "_" * max(map(len, docs.columns))  # no column has this name
     rows = docs.select(*kept, F.col(text).alias(body))
@@ -255,8 +256,11 @@ def transcode(docs: DataFrame, path: str, text: str = "text", keep: list[str] |
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                ids = [tokenizer.encode(t, special) for t in part.column(len(kept)).to_pylist()]
-                made = [pa.array(ids, pa.binary()), pa.array([tokenizer.decode(i) for i in ids], pa.string())]
+                texts = part.column(len(kept)).to_pylist()
+                ids_of = {t: tokenizer.encode(t, special) for t in set(texts)}  # copies of a text stand side by side in a mix
+                text_of = {i: tokenizer.decode(i) for i in set(ids_of.values())}
+                ids = [ids_of[t] for t in texts]
+                made = [pa.array(ids, pa.binary()), pa.array([text_of[i] for i in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *made], [*kept, "ids", "decoded"])
 
     schema = rows.drop(body).schema.add("ids", "binary").add("decoded", "string")

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer as Reference
 
 from tallymart.llm import bpe
-from tallymart.llm.queries import TOKENIZER
+from tallymart.llm.queries import TOKENIZER, op9_bpe, table
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +57,17 @@ def test_one_pass_agrees(spark):
     assert bpe.transcode(rows.limit(0), TOKENIZER, keep=["doc_id"]).columns == ["doc_id", "ids", "decoded", "n_tokens"]
 
 
+def test_query_against_the_library(spark, sf_dir, library):
+    texts = {r.doc_id: r.text or "" for r in table(spark, sf_dir, "documents").collect()}
+    out = op9_bpe(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in out) == sorted(texts)
+    for r in out:
+        true = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        back = library.decode(true, skip_special_tokens=False)
+        assert r.n_tokens == len(true) and r.ids_sha256 == hashlib.sha256(np.array(true, dtype="<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
+
+
 def test_columns(spark):
     rows = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "the cat", "c"), (3, "the cat", "c")], "doc_id long, text string, ids string")
     out = bpe.decode_documents(bpe.encode_documents(rows, TOKENIZER), TOKENIZER).orderBy("doc_id").collect()
