@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .scratch import settle
 
 SHINGLE, FRACTION = 5, 0.25
-#: Quantile cells of the ids, and documents of a bucket within them.
-CELLS, BUCKET_ROWS = 200, 2000
+#: Rows of a bucket of neighbouring ids, and buckets at most; beyond them buckets grow.
+BUCKET_ROWS, BUCKETS = 20_000, 20_000
 
 
 def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
@@ -69,49 +69,53 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, next_text): the text of the next document in descending doc_id order, after the last that of the first.
+def _identity(doc_id: Column, text: Column) -> list[Column]:
+    """Two independent 64-bit hashes of id and text, which stand for a row."""
+    return [F.xxhash64(doc_id, text).alias("h"), F.xxhash64(F.lit(1), doc_id, text).alias("g")]
 
-    The ids are cut into buckets by quantile cells and equal steps within a cell; each bucket is one window, and only the texts
-    at the bucket ends are passed on. Null ids come last; equal ids are ordered by the hash of the text. A single row is its own
-    next.
+
+def _before(keys: DataFrame) -> DataFrame:
+    """(h, g, before) of ``keys`` (doc_id, h, g, third, times): ``before`` is the (h, g, third, times) of the row whose next row it is.
+
+    Rows are dealt to buckets by ranges of their order, so neither an id that many rows share nor a null one fills a bucket;
+    texts are not moved. The window over all buckets has one row for each of BUCKETS at most.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # Bounded: CELLS quantiles and two counts.
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / CELLS for i in range(CELLS + 1)], 10000).alias("cuts"), F.count("*").alias("n")).first()
-    bounds = sorted(set(cuts["cuts"] or []))
-    steps = max(1, -(-cuts["n"] // (BUCKET_ROWS * max(1, len(bounds)))))
-    if len(bounds) > 1:
-        edges = F.array(*map(F.lit, bounds))
-        cell = F.greatest(F.lit(1), F.least(F.lit(len(bounds) - 1), F.size(F.filter(edges, lambda b: b <= F.col("doc_id")))))
-        low, high = F.get(edges, cell - 1), F.get(edges, cell)
-        step = F.floor((F.col("doc_id") - low) * F.lit(float(steps)) / (high - low))
-        bucket = cell * F.lit(steps) + F.greatest(F.lit(0), F.least(F.lit(steps - 1), step))
-    else:
-        bucket = F.lit(1)
-    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(bucket).cast("long"))
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    first = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", F.bitwise_not("h").alias("g"))).alias("top"))
-    order = W.orderBy(F.col("bucket").desc())  # over one row for each bucket, ids only
-    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    head = F.struct("top.doc_id", F.bitwise_not("top.g").alias("h"))
-    after = F.coalesce(F.lead(head).over(order), F.first(head).over(whole))
-    chain = settle(first.select("bucket", after.alias("after")), "next-heads").select("bucket", "after.*")
-    texts = rows.select(F.col("doc_id").alias("i"), F.col("h").alias("g"), F.col("text").alias("head_text"))
-    heads = chain.join(texts, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))).select("bucket", "head_text").dropDuplicates(["bucket"])
-    w = W.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "h")
-    rows = rows.withColumn("next_text", F.lead("text").over(w)).join(heads, "bucket", "left")
-    return rows.select("doc_id", "text", F.coalesce("next_text", "head_text").alias("next_text"))
+    keys = settle(keys.select("*", F.isnull("doc_id").alias("none"), F.bitwise_not("doc_id").alias("down")), "next-keys")
+    place = ["none", "down", "h", "g"]
+    buckets = max(1, min(BUCKETS, -(-keys.count() // BUCKET_ROWS)))
+    keys = settle(keys.repartitionByRange(buckets, *place).withColumn("bucket", F.spark_partition_id()), "next-buckets")
+    row = F.struct("h", "g", "third", "times")
+    ends = keys.groupBy("bucket").agg(F.max_by(row, F.struct(*place)).alias("end"))
+    order = W.orderBy("bucket")
+    last = F.last("end").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    ends = ends.select("bucket", F.coalesce(F.lag("end").over(order), last).alias("end"))
+    inside = keys.select("bucket", "h", "g", F.lag(row).over(W.partitionBy("bucket").orderBy(*place)).alias("inside"))
+    return inside.join(F.broadcast(ends), "bucket").select("h", "g", F.coalesce("inside", "end").alias("before"))
 
 
 def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's sketch against that of its edited text and of the next document.
 
-    The edit replaces the last third of the code points (rounded down) by as many from the start of the next document.
+    The next document follows in descending doc_id order; after the last comes the first, and a single one is its own next. Null
+    ids come last; equal ids are ordered by a hash of id and text. Rows that agree in both are one document here, and each of them
+    is returned. The edit replaces the last third of the code points (rounded down) by as many from the start of the next document.
+
+    Ids and hashes alone are ordered. A next document then sends its sketch and no more of its text than the edit takes. Repeated
+    rows are united before they are shuffled.
+
     Returns doc_id, n_chars, edited, own, other (the next one's) and changed (the edited text's sketch).
     """
-    n = F.length("text")
-    third = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
-    rows = with_next(docs, doc_id, text).select("doc_id", "text", "next_text", n.cast("long").alias("n_chars"), edited.alias("edited"))
-    return rows.select("doc_id", "n_chars", "edited", sketch(F.col("text")).alias("own"), sketch(F.col("edited")).alias("changed"), sketch(F.col("next_text")).alias("other"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.select("*", *_identity(F.col("doc_id"), F.col("text")))
+    third = F.floor(F.length("text") / 3).cast("int")
+    before = _before(rows.groupBy("h", "g").agg(F.first("doc_id").alias("doc_id"), F.first(third).alias("third"), F.count("*").alias("times")))
+    # The same plan on both sides of the last join, so that texts are shuffled once.
+    one = rows.groupBy("h", "g").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    begin = F.substring(F.col("text"), F.lit(1), F.col("before.third")).alias("begin")
+    sent = one.join(before, ["h", "g"]).select("before.h", "before.g", "before.third", "before.times", begin, sketch(F.col("text")).alias("other"))
+    both = one.join(sent, ["h", "g"])
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - F.col("third")), F.col("begin"))
+    both = both.select("doc_id", "text", "times", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "other")
+    out = both.select("doc_id", "times", "n_chars", "edited", sketch(F.col("text")).alias("own"), sketch(F.col("edited")).alias("changed"), "other")
+    each = F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("one")
+    return out.select("doc_id", "n_chars", "edited", "own", "changed", "other", each).drop("one")
