@@ -2,8 +2,7 @@
 
 All rolling word 3-grams of every text are hashed and joined with the 3-grams of license templates. A match votes for the
 diagonal (position in the text minus position in the template) of its template. Neighbouring diagonals, which a few inserted or
-missing words set apart, are merged where they follow each other, and a merged span is accepted if its verified votes cover
-enough of the template. The join compares the words themselves beside the hash, so every vote is verified.
+missing words set apart, are merged, and a merged span is accepted if its verified votes cover enough of the template. The join compares the words themselves beside the hash, so every vote is verified.
 
 Base phrases are found in the word array itself: every place where their words stand consecutively.
 
@@ -35,7 +34,7 @@ TEMPLATES = (
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
 )
 GRAM = 3
-#: Diagonals up to this far apart, and what the template may lack, are merged where one follows the other; votes must cover this share of a template's 3-grams.
+#: Diagonals up to this far apart, and what the template may lack, are merged; votes must cover this share of a template's 3-grams.
 DRIFT, COVER = 2, 0.8
 
 
@@ -67,11 +66,10 @@ def spans(texts: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES)
     votes = grams.join(there, same).select("doc_id", "key", "template", "label", "n_grams", "at", "place").distinct()
     doc = ["doc_id", "key", "template", "label", "n_grams"]
     lines = votes.groupBy(*doc, (F.col("at") - F.col("place")).alias("diagonal")).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.collect_set("place").alias("places"))
-    # Chains of diagonals: one joins the chain before it if it is near and starts beyond that one's start.
-    order = W.partitionBy(*doc).orderBy("first", "diagonal")
-    # A chain may lack as many words as the template may, and shift by as many.
-    spare = F.floor((F.col("n_grams") + (GRAM - 1)) * F.lit(1 - COVER))
-    apart = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > DRIFT + spare) | (F.col("first") - F.lag("last").over(order) > GRAM + DRIFT + spare)
+    # Neighbouring diagonals are one chain, whatever strays elsewhere: a phrase that the template repeats votes far away.
+    order = W.partitionBy(*doc).orderBy("diagonal")
+    spare = F.floor((F.col("n_grams") + (GRAM - 1)) * F.lit(1 - COVER))  # as many words as the template may lack
+    apart = F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT + spare
     chained = lines.withColumn("chain", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(order))
     merged = chained.groupBy(*doc, "chain").agg(F.min("first").alias("first"), (F.max("last") + (GRAM - 1)).alias("last"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
     # Each interruption costs the GRAM - 1 grams around it, so coverage counts words and not grams.

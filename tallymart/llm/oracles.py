@@ -32,10 +32,10 @@ tg AS (SELECT template, label, len(w) - {g - 1} AS n_grams, i AS place, w[i+1] A
 docs AS (SELECT doc_id, {words.replace('text', "coalesce(text, '')")} AS w FROM documents),
 dg AS (SELECT doc_id, i AS pos, w[i+1] AS a, w[i+2] AS b, w[i+3] AS c FROM (SELECT *, unnest(range(0, greatest(0, len(w) - {g - 1}))) AS i FROM docs)),
 votes AS (SELECT DISTINCT doc_id, template, label, n_grams, pos, place FROM dg JOIN tg USING (a, b, c)),
-lines AS (SELECT doc_id, template, label, n_grams, pos - place AS diagonal, min(pos) AS first, max(pos) AS last, list(place) AS places FROM votes GROUP BY ALL),
-marked AS (SELECT *, coalesce(abs(diagonal - lag(diagonal) OVER o) > {licenses.DRIFT} + {spare} OR first - lag(last) OVER o > {g + licenses.DRIFT} + {spare}, true) AS apart
-  FROM lines WINDOW o AS (PARTITION BY doc_id, template ORDER BY first, diagonal)),
-chained AS (SELECT *, sum(CAST(apart AS INT)) OVER (PARTITION BY doc_id, template ORDER BY first, diagonal) AS chain FROM marked),
+lines AS (SELECT doc_id, template, label, n_grams, pos - place AS diagonal, list(place) AS places FROM votes GROUP BY ALL),
+marked AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER o > {licenses.DRIFT} + {spare}, true) AS apart
+  FROM lines WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+chained AS (SELECT *, sum(CAST(apart AS INT)) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS chain FROM marked),
 merged AS (SELECT doc_id, template, label, n_grams, chain, flatten(list(places)) AS places FROM chained GROUP BY ALL),
 spans AS (SELECT doc_id, label, len(list_distinct(flatten(list_transform(places, lambda p: range(p, p + {g}))))) / CAST(n_grams + {g - 1} AS DOUBLE) AS cover FROM merged),
 best AS (SELECT doc_id, max(cover) AS cover, list(DISTINCT label) AS labels FROM spans WHERE cover >= {licenses.COVER} GROUP BY doc_id),

@@ -2,10 +2,12 @@ import hashlib
 import math
 import random
 import re
+import struct
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -75,6 +77,17 @@ def test_licenses(spark):
     assert replaced != mit and licenses.scan(docs(spark, [(1, replaced)])).first().labels == ["mit"]
 
 
+def test_licenses_with_stray_votes(spark):
+    """A phrase that a template repeats votes for far diagonals too, between those of an altered copy."""
+    words = [f"w{i}" for i in range(60)]
+    words[40:43] = words[10:13]
+    template = (("own", " ".join(words)),)
+    altered = [*words[:8], "new", *words[8:25], "words", "here", *words[25:]]
+    for rows, labels in ((altered, ["own"]), (words[:30], []), (words[::-1], []), (altered * 2, ["own"])):
+        (found,) = licenses.scan(docs(spark, [(1, " ".join(rows))]), templates=template).collect()
+        assert found.labels == labels and len(found.spans) == len(labels) * (len(rows) // len(altered))
+
+
 # Quality
 
 
@@ -416,15 +429,60 @@ def test_topk_refuses_what_fits_no_long(spark):
 # Sketches
 
 
+def plain_sketch(text):
+    """The sketch of a text by xxhash, written apart from the module: words hashed, then chained over each shingle."""
+
+    def signed(v):
+        return v - 2**64 if v >= 2**63 else v
+
+    def hashed(data, seed):
+        return xxhash.xxh64_intdigest(data, seed=seed % 2**64)
+
+    lower = text.translate({c: c + 32 for c in range(65, 91)})
+    words = [signed(hashed(w.encode(), 42)) for w in re.findall(r"[^\x20\x09-\x0D]+", lower)]
+    hashes = set()
+    for i in range(max(len(words) - 4, min(len(words), 1))):
+        h = 42
+        for w in words[i : i + 5]:
+            h = hashed(struct.pack("<q", w), h)
+        hashes.add(signed(h))
+    return sorted(h for h in hashes if h < -(2**62)) or sorted(hashes)[:1]
+
+
 def test_sketches_against_plain_code(spark, sf_dir):
     rows = sorted(((r.doc_id, r.text or "") for r in table(spark, sf_dir, "documents").collect()), reverse=True)
     out = {r.doc_id: r for r in op10_sketches(spark, sf_dir).collect()}
+    assert len(out) == len(rows)
+    line = lambda f: "".join(f"{h % 2**64:016x}" for h in f)
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     for i, (d, t) in enumerate(rows):
         nxt, m = rows[(i + 1) % len(rows)][1], len(t) // 3
         edited = t[: len(t) - m] + nxt[:m]
         assert out[d].n_chars == len(t) and out[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        own, changed = ({f[i : i + 16] for i in range(0, len(f), 16)} for f in (out[d].fingerprint, out[d].edited_fingerprint))
-        assert out[d].near_edited == pytest.approx(len(own & changed) / len(own | changed) if own | changed else 1.0)
+        own, changed, other = plain_sketch(t), plain_sketch(edited), plain_sketch(nxt)
+        assert out[d].fingerprint == line(own) and out[d].edited_fingerprint == line(changed)
+        assert out[d].near_edited == pytest.approx(alike(set(own), set(changed))) and out[d].near_next == pytest.approx(alike(set(own), set(other)))
+
+
+def test_next_document_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sketches, "BUCKET_ROWS", 7)
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 3, 3, 2**63 - 1, -(2**63), *range(40)]), f"text {i} " * 3) for i in range(150)]
+    rows += rows[:5] * 3
+    each = sorted(set(rows), key=lambda r: (r[0] is None, -(r[0] or 0)))
+    out = sketches.compare_edited(docs(spark, rows)).collect()
+    assert sorted(map(repr, ((r.doc_id, r.n_chars) for r in out))) == sorted(repr((d, len(t))) for d, t in rows)
+    assert len({(r.doc_id, r.edited) for r in out}) == len(each)
+    # Documents with an id of their own: the next one is one of the next id's.
+    by_id = {}
+    for d, t in each:
+        by_id.setdefault(d, []).append(t)
+    order = list(by_id)
+    for r in out:
+        if len(by_id[r.doc_id]) == 1:
+            m, own = r.n_chars // 3, by_id[r.doc_id][0]
+            following = by_id[order[(order.index(r.doc_id) + 1) % len(order)]]
+            assert r.edited in {own[: len(own) - m] + t[:m] for t in following}
 
 
 def test_sketch_follows_resemblance(spark):
