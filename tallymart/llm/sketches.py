@@ -75,7 +75,7 @@ def _identity(doc_id: Column, text: Column) -> list[Column]:
 
 
 def _before(keys: DataFrame) -> DataFrame:
-    """(h, g, before) of ``keys`` (doc_id, h, g, third, times): ``before`` is the (h, g, third, times) of the row whose next row it is.
+    """(h, g, before) of ``keys`` (doc_id, h, g, third, times): ``before`` is the (h, g, doc_id, third, times) of the row whose next it is.
 
     Rows are dealt to buckets by ranges of their order, so neither an id that many rows share nor a null one fills a bucket;
     texts are not moved. The window over all buckets has one row for each of BUCKETS at most.
@@ -84,7 +84,7 @@ def _before(keys: DataFrame) -> DataFrame:
     place = ["none", "down", "h", "g"]
     buckets = max(1, min(BUCKETS, -(-keys.count() // BUCKET_ROWS)))
     keys = settle(keys.repartitionByRange(buckets, *place).withColumn("bucket", F.spark_partition_id()), "next-buckets")
-    row = F.struct("h", "g", "third", "times")
+    row = F.struct("h", "g", "doc_id", "third", "times")
     ends = keys.groupBy("bucket").agg(F.max_by(row, F.struct(*place)).alias("end"))
     order = W.orderBy("bucket")
     last = F.last("end").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
@@ -109,10 +109,10 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = rows.select("*", *_identity(F.col("doc_id"), F.col("text")))
     third = F.floor(F.length("text") / 3).cast("int")
     before = _before(rows.groupBy("h", "g").agg(F.first("doc_id").alias("doc_id"), F.first(third).alias("third"), F.count("*").alias("times")))
-    # The same plan on both sides of the last join, so that texts are shuffled once.
-    one = rows.groupBy("h", "g").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    # The same columns on both sides of the last join, so that one shuffle of the texts serves both.
+    one = rows.groupBy("h", "g").agg(F.first("text").alias("text"))
     begin = F.substring(F.col("text"), F.lit(1), F.col("before.third")).alias("begin")
-    sent = one.join(before, ["h", "g"]).select("before.h", "before.g", "before.third", "before.times", begin, sketch(F.col("text")).alias("other"))
+    sent = one.join(before, ["h", "g"]).select("before.*", begin, sketch(F.col("text")).alias("other"))
     both = one.join(sent, ["h", "g"])
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - F.col("third")), F.col("begin"))
     both = both.select("doc_id", "text", "times", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "other")
