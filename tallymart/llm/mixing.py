@@ -85,7 +85,9 @@ def copies(docs: DataFrame, text: str = "text", source: str = "source", doc_id:
     each = docs.select(F.struct("*").alias("doc"), F.col(source).alias("source"), size.alias("size"), h.alias("h"))
     each = each.join(made, F.col("source").eqNullSafe(F.col("s")))
     extra = F.coalesce(F.struct("h", "size") <= F.col("last"), F.lit(False)).cast("long")
-    return each.select("doc", "size", "source_size", "target", (F.col("whole") + extra).alias("copies"))
+    # A document without words may lead a source whose whole repetitions fill its target.
+    taken = F.least(F.col("whole") + extra, F.lit(how.get("max_epochs", MAX_EPOCHS)).cast("long"))
+    return each.select("doc", "size", "source_size", "target", taken.alias("copies"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:

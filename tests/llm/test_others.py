@@ -334,6 +334,14 @@ def test_mixing(spark):
     assert mixing.copies(docs(spark, [])).count() == 0
 
 
+def test_mixing_never_exceeds_the_epochs(spark):
+    """A source that is filled by whole repetitions, with documents without words before and after the others, and a long text."""
+    rows = [(i, None if i % 2 else " ", "en", "a") for i in range(40)] + [(40, "x y z", "en", "a"), (41, "long " * 300000, "en", "b")]
+    found = {r.doc.doc_id: (r.size, r.copies) for r in mixing.copies(docs(spark, rows)).collect()}
+    assert len(found) == len(rows) and all(n <= 2 for _, n in found.values())
+    assert found[40] == (3, 2) and found[41][0] == 300000
+
+
 # Secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
