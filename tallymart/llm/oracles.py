@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, secret_scan
+from . import ball_codes, licenses, mixing, secret_scan
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -102,4 +102,34 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op2_warc": OP2, "op3_licenses": op3(), "op6_mixing": op6(), "op7_secrets": op7(), "op8_topk": OP8}
+
+def op11() -> str:
+    """Every part measured against every entry, round by round."""
+    places = range(1, 64 // ball_codes.PARTS + 1)
+    far = " + ".join(f"(x.v[{i}] - c.v[{i}]) * (x.v[{i}] - c.v[{i}])" for i in places)
+    mean = ", ".join(f"CAST(floor(sum(v[{i}]) / count(*)) AS BIGINT)" for i in places)
+
+    def nearest(n: int) -> str:
+        return f"a{n} AS (SELECT uid, part, x.v, min(struct_pack(far := {far}, entry := c.entry)) AS best FROM parts x JOIN c{n} c USING (part) GROUP BY uid, part, x.v)"
+
+    def moved(n: int) -> str:
+        return f"""m{n} AS (SELECT part, best.entry AS entry, [{mean}] AS v FROM a{n} GROUP BY part, best.entry),
+c{n + 1} AS (SELECT part, entry, coalesce(m{n}.v, c{n}.v) AS v FROM c{n} LEFT JOIN m{n} USING (part, entry))"""
+
+    steps = ",\n".join(f"{nearest(n)},\n{moved(n)}" for n in range(ball_codes.ROUNDS))
+    width = len(places)
+    return f"""
+WITH kept AS (SELECT row_number() OVER () AS uid, vec_id, label, list_transform(embedding, lambda x: CAST(floor({ball_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT uid, vec_id, part, v[part * {width} + 1 : part * {width} + {width}] AS v FROM (SELECT *, unnest(range(0, {ball_codes.PARTS})) AS part FROM kept)),
+first AS (SELECT uid, row_number() OVER (ORDER BY vec_id, v) - 1 AS entry FROM kept WHERE vec_id IS NOT NULL QUALIFY entry < {ball_codes.ENTRIES}),
+c0 AS (SELECT part, entry, v FROM parts JOIN first USING (uid)),
+{steps},
+{nearest(ball_codes.ROUNDS)},
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS digest FROM c{ball_codes.ROUNDS}),
+codes AS (SELECT uid, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.far) AS BIGINT) AS error FROM a{ball_codes.ROUNDS} GROUP BY uid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256 FROM codes JOIN kept USING (uid), books
+"""
+
+
+ORACLES: dict[str, str] = {"op2_warc": OP2, "op3_licenses": op3(), "op6_mixing": op6(), "op7_secrets": op7(), "op8_topk": OP8, "op11_ball_codes": op11()}
