@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ball_codes, licenses, mixing, secret_scan
+from . import ball_codes, filter_audit, licenses, mixing, secret_scan
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -132,4 +132,27 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 """
 
 
-ORACLES: dict[str, str] = {"op2_warc": OP2, "op3_licenses": op3(), "op6_mixing": op6(), "op7_secrets": op7(), "op8_topk": OP8, "op11_ball_codes": op11()}
+
+def op13() -> str:
+    """All 120 orders over the documents' masks; ``first`` is the smallest id of a text."""
+    odd, word = _quoted(filter_audit.ODD), _quoted(r"[^\x20\x09-\x0D]+")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {word}) AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [len(w) < {filter_audit.LEAST_WORDS}, 100 * len(list_distinct(w)) < {filter_audit.DISTINCT_PERCENT} * len(w),
+  100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {filter_audit.CAPITAL_PERCENT} * length(t), regexp_matches(t, {odd}), coalesce(doc_id > first, false)] AS fails FROM d LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+o AS (SELECT a.i AS a, b.i AS b, c.i AS c, d.i AS d, 15 - a.i - b.i - c.i - d.i AS e FROM range(1, 6) a(i), range(1, 6) b(i), range(1, 6) c(i), range(1, 6) d(i)
+  WHERE a.i <> b.i AND a.i <> c.i AND a.i <> d.i AND b.i <> c.i AND b.i <> d.i AND c.i <> d.i),
+s AS (SELECT [a, b, c, d, e] AS p, unnest(range(1, 6)) AS step FROM o),
+j AS (SELECT part, p, step, p[step] AS filter, fails, n, good, toxic, fails[p[step]] AS own, list_bool_or(list_transform([0] || p[1 : step - 1], lambda i: i > 0 AND fails[greatest(i, 1)])) AS earlier FROM g, s),
+r AS (SELECT part, p, step, filter, sum(CASE WHEN own OR earlier THEN 0 ELSE n END) AS kept, sum(CASE WHEN own AND NOT earlier THEN n ELSE 0 END) AS removed, sum(CASE WHEN own AND earlier THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN own AND len(list_filter(fails, lambda x: x)) = 1 THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN own AND NOT earlier THEN good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN own AND NOT earlier THEN toxic ELSE 0 END) AS toxic_lost FROM j GROUP BY ALL)
+SELECT part, array_to_string(list_transform(p, lambda i: substr('{filter_audit.FILTERS}', CAST(i AS INT), 1)), '') AS filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r
+"""
+
+
+ORACLES: dict[str, str] = {"op2_warc": OP2, "op3_licenses": op3(), "op6_mixing": op6(), "op7_secrets": op7(), "op8_topk": OP8, "op11_ball_codes": op11(), "op13_filter_audit": op13()}
