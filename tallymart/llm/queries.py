@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_codes, bpe, filter_audit, licenses, mixing, quality, secret_scan, simhash, sketches, token_counts, topk, warc
+from . import ball_codes, bpe, filter_audit, licenses, mixing, packing, quality, secret_scan, simhash, sketches, token_counts, topk, warc
 from .oracles import ORACLES  # noqa: F401  registered beside the queries
 from .scratch import shared_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Its end-of-document id.
 EOD = 50256
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +96,10 @@ def op11_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), WORD_TOKENIZER))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.report(filter_audit.cells_of_files(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels")))
 
@@ -102,5 +107,5 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash, "op2_warc": op2_warc, "op3_licenses": op3_licenses, "op4_quality": op4_quality, "op5_token_counts": op5_token_counts, "op6_mixing": op6_mixing, "op7_secrets": op7_secrets,
     "op8_topk": op8_topk, "op9_bpe": op9_bpe, "op10_sketches": op10_sketches,
-    "op11_ball_codes": op11_ball_codes, "op13_filter_audit": op13_filter_audit,
+    "op11_ball_codes": op11_ball_codes, "op12_packing": op12_packing, "op13_filter_audit": op13_filter_audit,
 }
