@@ -47,23 +47,37 @@ CACHE_WORDS, CACHE_LENGTH = 800_000, 40
 ROWS = 256
 
 
-class _Words(dict):
-    """Ids (little-endian unsigned 32-bit) of words, encoded when first asked for."""
+class _Words:
+    """Ids (little-endian unsigned 32-bit) of texts, word by word; words met before are looked up."""
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) <= CACHE_LENGTH:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+        self.known: dict[str, bytes] = {}
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """All ``words`` in one call, told apart by where their tokens begin."""
+        starts = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        data = np.array(found.ids, dtype="<u4").tobytes()
+        cuts = np.searchsorted(np.array([at for at, _ in found.offsets], dtype=np.int64), starts).tolist()
+        return [data[4 * a : 4 * b] for a, b in zip(cuts, [*cuts[1:], len(found.ids)])]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        ids = [list(map(self.known.get, words)) for words in split]
+        open_ = [(words, row, [at for at, i in enumerate(row) if i is None]) for words, row in zip(split, ids) if None in row]
+        new = list({words[at] for words, _, places in open_ for at in places})
+        fresh = dict(zip(new, self._encoded(new))) if new else {}
+        for words, row, places in open_:
+            for at in places:
+                row[at] = fresh[words[at]]
+        if len(self.known) + len(fresh) > CACHE_WORDS:
+            self.known.clear()
+        self.known.update((w, i) for w, i in fresh.items() if len(w) <= CACHE_LENGTH)
+        return [b"".join(row) for row in ids]
 
 
 @functools.cache
@@ -82,8 +96,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
             for at in range(0, batch.num_rows, ROWS):
                 block = batch.slice(at, ROWS)
                 rows, no, start, length, crc, data = array("q"), array("i"), array("q"), array("q"), array("q"), []
-                for row, t in enumerate(block.column(1).to_pylist()):
-                    ids = b"".join(map(words.__getitem__, (t or "").replace("\n", " ").split(" "))) + last
+                for row, ids in enumerate(words.encode(block.column(1).to_pylist())):
+                    ids += last
                     for k, place in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[place : place + 4 * capacity]
                         rows.append(row), no.append(k), start.append(place // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
