@@ -41,21 +41,23 @@ CAPACITY, END = 2048, 0
 SHARD, ISLANDS, EPOCHS, GENERATIONS, PACKINGS = 4096, 3, 3, 12, 4
 #: Share of a packing's bins that one crossover injects, and of a shard's bins that the next level may open.
 INJECTED, OPENED = 0.08, 0.125
-#: Cached words of a worker, and the longest that is cached.
-CACHE_WORDS, CACHE_LENGTH = 800_000, 40
+#: Words of one of the two generations that a worker caches, and the longest that is cached.
+CACHE_WORDS, CACHE_LENGTH = 600_000, 40
 #: Texts that a task encodes at once.
 ROWS = 256
 
 
 class _Words:
-    """Ids (little-endian unsigned 32-bit) of texts, word by word; words met before are looked up."""
+    """Ids (little-endian unsigned 32-bit) of texts, word by word; words met before are looked up. When the young generation of the
+    cache is full it becomes the old one, and words that are met again come back from there."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _encoded(self, words: list[str]) -> list[bytes]:
         """All ``words`` in one call, told apart by where their tokens begin."""
@@ -67,16 +69,19 @@ class _Words:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        ids = [list(map(self.known.get, words)) for words in split]
+        ids = [list(map(self.young.get, words)) for words in split]
         open_ = [(words, row, [at for at, i in enumerate(row) if i is None]) for words, row in zip(split, ids) if None in row]
-        new = list({words[at] for words, _, places in open_ for at in places})
-        fresh = dict(zip(new, self._encoded(new))) if new else {}
+        asked = {words[at] for words, _, places in open_ for at in places}
+        fresh = {w: i for w in asked if (i := self.old.get(w)) is not None}
+        new = [w for w in asked if w not in fresh]
+        if new:
+            fresh.update(zip(new, self._encoded(new)))
         for words, row, places in open_:
             for at in places:
                 row[at] = fresh[words[at]]
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            self.known.clear()
-        self.known.update((w, i) for w, i in fresh.items() if len(w) <= CACHE_LENGTH)
+        self.young.update((w, i) for w, i in fresh.items() if len(w) <= CACHE_LENGTH)
+        if len(self.young) > CACHE_WORDS:
+            self.young, self.old = {}, self.young
         return [b"".join(row) for row in ids]
 
 

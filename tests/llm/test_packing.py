@@ -61,6 +61,14 @@ def test_pieces_are_those_of_the_library(spark):
         assert n <= math.ceil(total / capacity) + 2
 
 
+def test_cache_generations(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 3)
+    words = packing._Words(WORD_TOKENIZER)
+    for text in ("a b c d", "a e", "b f g h i", "a b", "", "a z z y x w"):
+        assert words.encode([text, None]) == [np.array(library(t)[:-1], dtype="<u4").tobytes() for t in (text, None)]
+        assert len(words.young) <= 3 + 6
+
+
 def test_random_texts_cut_at_spaces(spark):
     rng = random.Random(5)
     parts = ["a", "B'", "'s", " ", "\n", "\t", "\x0b", " ", " ", "́", "1", "é", "Σ", "<|endoftext|>", "-", "the"]
