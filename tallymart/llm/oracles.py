@@ -24,21 +24,21 @@ def op3() -> str:
     rows = ", ".join(f"({i}, {_quoted(label)}, {_quoted(text)})" for i, (label, text) in enumerate(licenses.TEMPLATES))
     base = ", ".join(f"({_quoted(phrase)}, {_quoted(label)})" for phrase, label in licenses.BASE)
     words = f"regexp_extract_all({LOWER.format('text')}, {_quoted(licenses.WORD)})"
-    g = licenses.GRAM
-    spare = f"floor((n_grams + {g - 1}) * CAST({1 - licenses.COVER!r} AS DOUBLE))"
+    # Of a window of diagonals, the best chain of rising votes, place by place of the template.
+    tail = "greatest(3 + coalesce(list_max(b[1 : greatest(p[1] - 2, 0)]), 0), CASE WHEN p[1] >= 1 AND b[p[1]] > 0 THEN 1 + b[p[1]] ELSE 0 END, CASE WHEN p[1] >= 2 AND b[p[1] - 1] > 0 THEN 2 + b[p[1] - 1] ELSE 0 END)"
+    chain = f"list_max(list_reduce(votes, lambda b, p: b[1 : p[1]] || [greatest(b[p[1] + 1], {tail})] || b[p[1] + 2 :], list_transform(range(0, n), lambda i: 0)))"
     return f"""
 WITH tpl AS (SELECT t AS template, label, regexp_extract_all({LOWER.format('text')}, {_quoted(licenses.WORD)}) AS w FROM (VALUES {rows}) v(t, label, text)),
-tg AS (SELECT template, label, len(w) - {g - 1} AS n_grams, i AS place, w[i+1] AS a, w[i+2] AS b, w[i+3] AS c FROM (SELECT *, unnest(range(0, len(w) - {g - 1})) AS i FROM tpl)),
+tg AS (SELECT template, label, len(w) AS n, {licenses.DRIFT} + CAST(floor(len(w) * CAST({1 - licenses.COVER!r} AS DOUBLE)) AS INT) AS drift, i AS place, w[i+1] AS a, w[i+2] AS b, w[i+3] AS c
+  FROM (SELECT *, unnest(range(0, len(w) - 2)) AS i FROM tpl)),
 docs AS (SELECT doc_id, {words.replace('text', "coalesce(text, '')")} AS w FROM documents),
-dg AS (SELECT doc_id, i AS pos, w[i+1] AS a, w[i+2] AS b, w[i+3] AS c FROM (SELECT *, unnest(range(0, greatest(0, len(w) - {g - 1}))) AS i FROM docs)),
-votes AS (SELECT DISTINCT doc_id, template, label, n_grams, pos, place FROM dg JOIN tg USING (a, b, c)),
-lines AS (SELECT doc_id, template, label, n_grams, pos - place AS diagonal, list(place) AS places FROM votes GROUP BY ALL),
-marked AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER o > {licenses.DRIFT} + {spare}, true) AS apart
-  FROM lines WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-chained AS (SELECT *, sum(CAST(apart AS INT)) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS chain FROM marked),
-merged AS (SELECT doc_id, template, label, n_grams, chain, flatten(list(places)) AS places FROM chained GROUP BY ALL),
-spans AS (SELECT doc_id, label, len(list_distinct(flatten(list_transform(places, lambda p: range(p, p + {g}))))) / CAST(n_grams + {g - 1} AS DOUBLE) AS cover FROM merged),
-best AS (SELECT doc_id, max(cover) AS cover, list(DISTINCT label) AS labels FROM spans WHERE cover >= {licenses.COVER} GROUP BY doc_id),
+dg AS (SELECT doc_id, i AS pos, w[i+1] AS a, w[i+2] AS b, w[i+3] AS c FROM (SELECT *, unnest(range(0, greatest(0, len(w) - 2))) AS i FROM docs)),
+votes AS (SELECT DISTINCT doc_id, template, label, n, drift, pos, place FROM dg JOIN tg USING (a, b, c)),
+starts AS (SELECT DISTINCT doc_id, template, pos - place AS start FROM votes),
+windows AS (SELECT doc_id, label, n, list([CAST(place AS INT)] ORDER BY pos, place DESC) AS votes FROM votes JOIN starts USING (doc_id, template)
+  WHERE pos - place BETWEEN start AND start + drift GROUP BY doc_id, template, label, n, start HAVING count(DISTINCT place) * 3 >= {licenses.COVER} * n),
+covers AS (SELECT doc_id, label, {chain} / CAST(n AS DOUBLE) AS cover FROM windows),
+best AS (SELECT doc_id, max(cover) AS cover, list(DISTINCT label) AS labels FROM covers WHERE cover >= {licenses.COVER} GROUP BY doc_id),
 bp AS (SELECT string_split(phrase, ' ') AS p, label FROM (VALUES {base}) v(phrase, label)),
 hits AS (SELECT doc_id, label, i AS pos FROM (SELECT doc_id, w, p, label, unnest(range(0, len(w))) AS i FROM docs, bp WHERE list_has_all(w, p)) WHERE w[i+1 : i+len(p)] = p),
 base AS (SELECT doc_id, count(*) AS n, min(pos) AS first, max(pos) AS last, list(DISTINCT label) AS labels FROM hits GROUP BY doc_id)

@@ -5,6 +5,7 @@ import re
 import struct
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -88,6 +89,56 @@ def test_licenses_with_stray_votes(spark):
         assert found.labels == labels and len(found.spans) == len(labels) * (len(rows) // len(altered))
 
 
+def test_licenses_verify_order_and_drift(spark):
+    """Groups of a template's words that are scattered or reversed are no copy; a fifth may be missing or foreign."""
+    mit = re.findall(r"[a-z0-9]+", licenses.TEMPLATES[1][1].lower())
+    groups = [mit[i : i + 3] for i in range(0, len(mit), 3)]
+    scattered = [w for i, g in enumerate(groups) for w in [*g, *[f"x{i}{k}" for k in range(5 + i % 2)]]]
+    swapped = [w for i in range(0, len(groups), 2) for g in groups[i : i + 2][::-1] for w in g]
+    fifth = int(0.2 * len(mit))
+    cases = [
+        (scattered, False), ([w for g in groups[::-1] for w in g], False), (swapped, False), (mit[len(mit) // 2 :] + mit[: len(mit) // 2], False),
+        (mit, True), (mit[:10] + mit[10 + fifth :], True), (mit[:10] + ["foreign"] * fifth + mit[10:], True), (mit[:9] + ["a", "b"] + mit[9:20] + ["c"] + mit[20:], True), (mit[:5] + mit[6:20] + mit[21:], True),
+    ]
+    found = licenses.scan(docs(spark, [(i, " ".join(["lead", "in", *words, "end"])) for i, (words, _) in enumerate(cases)]))
+    assert {r.doc_id: r.labels == ["mit"] for r in found.collect()} == {i: right for i, (_, right) in enumerate(cases)}
+
+
+def test_license_cover_in_order(spark):
+    """Against trying every chain of votes."""
+    rng = random.Random(3)
+    rows = []
+    for _ in range(60):
+        n = rng.randint(4, 9)
+        rows.append((sorted({(rng.randint(0, 9), -rng.randint(0, n - 3)) for _ in range(rng.randint(1, 7))}), n))
+
+    def best(votes, covered=0, at=-1, place=-9):
+        return max([covered, *(best(votes, covered + min(3, -back - place), a, -back) for a, back in votes if a > at and -back > place)])
+
+    table = spark.createDataFrame(rows, "votes array<struct<at:int,back:int>>, n int")
+    for r in table.select("votes", licenses.in_order(F.col("votes"), F.col("n")).alias("covered")).collect():
+        assert r.covered == best([tuple(v) for v in r.votes])
+
+
+def test_license_templates_from_a_table(spark):
+    whole = " ".join(f"word{i % 37} and{i}" for i in range(120))
+    templates = spark.createDataFrame([("own", whole), ("own", whole), ("other", "a b"), ("other", None)], "label string, text string")
+    texts = [(1, f"x {whole} y"), (2, " ".join(whole.split()[:100])), (3, "a b")]
+    assert [(r.doc_id, r.labels) for r in licenses.scan(docs(spark, texts), templates=templates).orderBy("doc_id").collect()] == [(1, ["own"]), (2, []), (3, [])]
+
+
+def test_licenses_against_sql(spark, sf_dir):
+    from tallymart.llm.oracles import ORACLES
+    from tallymart.llm.queries import op3_licenses
+
+    ours = op3_licenses(spark, sf_dir)
+    columns = sorted(ours.columns)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
+    true = con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES['op3_licenses']})").fetchall()
+    assert sorted(map(repr, map(tuple, ours.select(*columns).collect()))) == sorted(map(repr, true)) and any(r[columns.index("labels")] for r in true)
+
+
 # Quality
 
 
