@@ -1,7 +1,7 @@
 """Keyset pages over report_detail: the entities, or the related pairs, behind one count.
 
 A list is named by the plain columns of its report key, so that the filter reaches the scan of a stored report_detail (which is
-partitioned by report and sorted by the other columns). The page's keys are chosen once (TakeOrderedAndProject) and settled; all
+sorted by them within its buckets). :func:`page_header` tells the counts of a page that may have no rows. The page's keys are chosen once (TakeOrderedAndProject) and settled; all
 joins then start from at most ``page_size`` rows.
 """
 
@@ -84,15 +84,34 @@ class ReportKey(NamedTuple):
         return detail
 
 
-def _chosen(keys: DataFrame, names: list[str], p: Page) -> DataFrame:
-    """Keys of the page, each with the page's counts: total, before, after, page_min, page_max (of the whole page)."""
+def _page_keys(keys: DataFrame, names: list[str], p: Page) -> DataFrame:
+    """The keys of the page, settled."""
     key = F.struct(*names)
     bound = F.struct(*[F.lit(b).cast("long").alias(n) for n, b in zip(names, p.bound)])
     order = [F.col(n).asc() if p.lower else F.col(n).desc() for n in names]
     # A bound on the first id alone goes to the scan too.
     first = F.col(names[0])
     near = first >= F.lit(p.bound[0]) if p.lower else first <= F.lit(p.bound[0])
-    rows = settle(keys.where(near & p.holds(key, bound)).orderBy(*order).limit(p.size), "page")
+    return settle(keys.where(near & p.holds(key, bound)).orderBy(*order).limit(p.size), "page")
+
+
+def page_header(detail: DataFrame, report_key: ReportKey, p: Page | None = None, pairs: bool = False) -> DataFrame:
+    """One row about a page, be it empty or not: total, before, after, page_min, page_max, and how many rows are ``shown`` unsampled.
+    On an empty page nothing is before it and all is after it."""
+    p = p or page(pairs=pairs)
+    names = ["entity_id", "related_id"] if pairs else ["entity_id"]
+    keys = report_key.of(detail).where("related_id <> 0" if pairs else "related_id = 0").select(*names)
+    key = F.struct(*names)
+    ends = _page_keys(keys, names, p).agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n")).first()
+    low = F.struct(*[F.lit(v).cast("long").alias(n) for n, v in zip(names, ends.low)]) if ends.n else None
+    counts = keys.agg(F.count("*").alias("total"), (F.count_if(key < low) if ends.n else F.lit(0).cast("long")).alias("before"))
+    text = lambda end: F.lit(":".join(map(str, end)) if end else None).cast("string")
+    return counts.select("total", "before", (F.col("total") - F.col("before") - F.lit(ends.n)).alias("after"), text(ends.low).alias("page_min"), text(ends.high).alias("page_max"), F.lit(ends.n).cast("long").alias("shown"))
+
+
+def _chosen(keys: DataFrame, names: list[str], p: Page) -> DataFrame:
+    """Keys of the page, each with the page's counts: total, before, after, page_min, page_max (of the whole page)."""
+    key, rows = F.struct(*names), _page_keys(keys, names, p)
     ends = rows.agg(F.min(key).alias("page_min"), F.max(key).alias("page_max"), F.count("*").alias("n"))
     # One row beside one row: the counts of all keys around the page.
     counts = keys.join(F.broadcast(ends), how="inner").groupBy("page_min", "page_max", "n")

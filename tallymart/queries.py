@@ -398,7 +398,7 @@ def contribution_deltas(fx: Fixture) -> DataFrame:
 
 @over
 def rebuild_report(fx: Fixture) -> DataFrame:
-    return fx.report
+    return A.rebuild_report(C.contributions(fx.records, fx.directed))
 
 
 @over
@@ -552,6 +552,17 @@ def relations_page_max(fx: Fixture) -> DataFrame:
     return _relations(Q.cross_relations(fx.mart, BASE, BASE, "DISCLOSED_RELATION_COUNT", p=G.page(bound="max:max", page_size=15, pairs=True)))
 
 
+@over
+def page_header_empty(fx: Fixture) -> DataFrame:
+    """The counts of a page beyond the last entity."""
+    return G.page_header(fx.mart.report_detail, G.ReportKey("DSS", "ENTITY_COUNT", TWO, TWO), G.page(bound="9000000000000", bound_type="INCLUSIVE_LOWER", page_size=40))
+
+
+@over
+def page_header_relations(fx: Fixture) -> DataFrame:
+    return G.page_header(fx.mart.report_detail, G.ReportKey("DSS", "DISCLOSED_RELATION_COUNT", BASE, BASE), G.page(bound="max:max", page_size=15, pairs=True), pairs=True)
+
+
 @over
 def sampled_entities_page(fx: Fixture) -> DataFrame:
     """A page of which a repeatable sample is shown."""
@@ -563,6 +574,13 @@ def report_json(fx: Fixture) -> DataFrame:
     return Q.report_json(Q.size_breakdown(fx.report))
 
 
+@over
+def normalised_keys(fx: Fixture) -> DataFrame:
+    """Match keys of the records between white space and control characters, and blank ones, as they are kept."""
+    padded = F.when(F.col("match_key").isNull(), F.lit(" \t\n ")).otherwise(F.concat(F.lit(" \r\n"), "match_key", F.lit("\t \u0001")))
+    return fx.records.select("data_source", "record_id", K.normalise_blank(padded).alias("match_key"))
+
+
 @over
 def write_mart_versions(fx: Fixture) -> DataFrame:
     """The report table after two versions were written and one batch was replayed."""

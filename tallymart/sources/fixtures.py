@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Customers and their orders, suppliers that share entities with some, and parts: entities of one record and without relations.
 RECORDS = """
 SELECT c_custkey + 1 AS entity_id, 'CUSTOMERS' AS data_source, 'C' || c_custkey AS record_id,
        CAST(NULL AS STRING) AS match_key, CAST(NULL AS STRING) AS errule_code
@@ -15,6 +16,8 @@ SELECT o_custkey + 1, CASE WHEN o_orderkey % 3 = 0 THEN 'ORDERS WEB' ELSE 'ORDER
 FROM {orders}
 UNION ALL
 SELECT s_suppkey * 10 + 1, 'SUPPLIERS', 'S' || s_suppkey, '+NAME+TAX_ID', 'SF2' FROM {supplier}
+UNION ALL
+SELECT 1000000000 + p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'SUPPLIERS' ELSE 'ORDERS_STORE' END, 'P' || p_partkey, CAST(NULL AS STRING), CAST(NULL AS STRING) FROM {part}
 """
 RELATIONS = """
 WITH w AS (
@@ -71,7 +74,7 @@ FROM (SELECT event_id, ts, CASE WHEN event_id % 4 = 3
 """
 
 VIEWS = {
-    "fx_records": (RECORDS, ("customer", "orders", "supplier")),
+    "fx_records": (RECORDS, ("customer", "orders", "supplier", "part")),
     "fx_relations": (RELATIONS, ("customer",)),
     "fx_names": (NAMES, ("customer",)),
     "fx_names_old": (NAMES_OLD, ("fx_names",)),

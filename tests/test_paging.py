@@ -46,6 +46,16 @@ def test_pages(tables, kind, bound):
         assert (r.entity_name is None) == (r.entity_id > 28)
 
 
+def test_headers(spark, tables):
+    header = lambda key=KEY, **args: tuple(G.page_header(tables[0], key, G.page(**args)).first())
+    assert header(bound=99) == (30, 0, 30, None, None, 0) and header(bound=0, bound_type="EXCLUSIVE_UPPER") == (30, 0, 30, None, None, 0)
+    assert header(bound=10, page_size=7) == (30, 10, 13, "11", "17", 7)
+    assert header(G.ReportKey("ESB", "9")) == (0, 0, 0, None, None, 0)
+    pairs = spark.createDataFrame([("DSS", "P", "A", "A", i // 3, i % 3 + 1, 1) for i in range(12)], tables[0].schema)
+    of = lambda **args: tuple(G.page_header(pairs, G.ReportKey("DSS", "P", "A", "A"), G.page(pairs=True, **args), pairs=True).first())
+    assert of(bound="1:2", page_size=4) == (12, 5, 3, "1:3", "2:3", 4) and of(bound="max:max", bound_type="INCLUSIVE_LOWER") == (12, 0, 12, None, None, 0)
+
+
 def test_samples(tables):
     shown = G.entities_page(*tables, KEY, G.page(bound=5, page_size=20, sample_size=4, seed=1)).collect()
     again = G.entities_page(*tables, KEY, G.page(bound=5, page_size=20, sample_size=4, seed=1)).collect()
