@@ -223,8 +223,8 @@ def _hot_sums(docs: DataFrame, hot) -> DataFrame:
 
 
 def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(doc_id, lang, key, bits, n, even): summed negative log-probability, characters and evenness of each document; key: hash of
-    the text."""
+    """(doc_id, lang, key, bits, n, even): summed negative log-probability, characters and evenness of each distinct document, however
+    often its row occurs; key: hash of the text."""
     spark = docs.sparkSession
     known = trusted(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), labels)
     seen = model(counted(known.select(_fold(F.col("text")).alias("fold"), "text")))
@@ -241,9 +241,10 @@ def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows = settle(_hot_sums(rows, hot), "lm-sums")
     each = rows.where(F.size("cold") > 0).select("doc_id", "lang", "key", "fold", F.inline("cold").alias("code", "n")).join(cold, "code")
     other = F.when(F.col("fold") == 0, F.col("logp1")).otherwise(F.col("logp0"))
-    each = each.groupBy("doc_id", "lang", "key").agg(F.sum(-F.col("n") * other).alias("bits")).select("doc_id", "lang", "key", "bits", F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("even"))
-    sums = rows.select("doc_id", "lang", "key", "bits", "n", "even").unionByName(each).groupBy("doc_id", "lang", "key")
-    return sums.agg(F.sum("bits").alias("bits"), F.sum("n").alias("n"), F.max("even").alias("even"))
+    each = each.groupBy("doc_id", "lang", "key").agg(F.sum(-F.col("n") * other).alias("bits")).select("doc_id", "lang", "key", "bits", F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("even"), F.lit(0).alias("rows"))
+    sums = rows.select("doc_id", "lang", "key", "bits", "n", "even", F.lit(1).alias("rows")).unionByName(each).groupBy("doc_id", "lang", "key")
+    # Repeated rows have the same characters and probabilities: one of them counts.
+    return sums.agg((F.sum("bits") / F.sum("rows")).alias("bits"), (F.sum("n") / F.sum("rows")).cast("long").alias("n"), F.max("even").alias("even"))
 
 
 def judge(scored: DataFrame, labels: DataFrame) -> DataFrame:

@@ -229,6 +229,18 @@ def test_cold_ngrams_count_like_hot_ones(spark, sf_dir, monkeypatch):
     assert len(plain) == 40 and all((cold[d].n, cold[d].even) == (r.n, r.even) and cold[d].bits == pytest.approx(r.bits) for d, r in plain.items())
 
 
+@pytest.mark.parametrize("hot", [quality.HOT, 20])
+def test_repeated_rows_score_as_one(spark, monkeypatch, hot):
+    monkeypatch.setattr(quality, "HOT", hot)
+    text = "a text of some words that stands under two ids"
+    rows = [(i, f"{text} and the number {i} beside", "en") for i in range(20)] + [(500, text, "en")] + [(501, text, "en")] * 4
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in quality.scores(docs(spark, rows), labels).collect()}
+    assert len(out) == 22 and out[501].n == out[500].n == len(text) and out[501].even == out[500].even and out[501].bits == pytest.approx(out[500].bits)
+    judged = {r.doc_id: r for r in quality.classify(docs(spark, rows), labels).collect()}
+    assert judged[501].perplexity == pytest.approx(judged[500].perplexity) and judged[501].keep == judged[500].keep
+
+
 def test_probabilities_sum_to_one(spark):
     """Over all characters after a context: the seen ones and what is left for the others."""
     counts = quality.counted(spark.createDataFrame([(0, "the cat sat on the mat"), (0, "The dog, 12! \U0001F600"), (1, None)], "fold int, text string"))
