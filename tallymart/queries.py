@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +20,7 @@ from .scratch import settle, shared_path
 from .sources import messages as msg
 from .sources import snapshots as snap
 from .sources.fixtures import view
-from .sources.store import LOADED, read_mart, write_mart
+from .sources.store import LOADED, modified, read_mart, write_mart
 from .streaming.collapse import collapse_stream
 from .streaming.refresh import ingest_stream, refresh_stream
 
@@ -29,8 +30,10 @@ QUERIES: dict[str, Query] = {}
 #: Two sources of the fixtures, one with a blank in its name, that the list queries use.
 ONE, TWO = "ORDERS_STORE", "ORDERS WEB"
 BASE = "CUSTOMERS"
-#: Folder of the stored mart of each (application, table folder).
-STORED: dict[tuple[str, str], str] = {}
+#: Seconds in which all collapsed requests must have come out.
+LONGEST_WAIT = 600
+#: Folder of the stored mart of each application, table folder and state of its tables (their times of modification).
+STORED: dict[tuple, str] = {}
 
 
 def query(f: Query) -> Query:
@@ -66,7 +69,7 @@ class Fixture:
     @property
     def mart(self) -> Mart:
         """The stored mart of these tables: written once for a session and folder, then only read, as reports are meant to be."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, *modified(self.spark, [f"{self.sf_dir}/{t}.parquet" for t in ("customer", "orders", "supplier", "part")]))
         if key not in STORED:
             path = shared_path(self.spark, "stored-mart")
             write_mart(rebuild(self.records, self.relations, self.names), path, LOADED)
@@ -619,11 +622,14 @@ def stream_collapse(fx: Fixture) -> DataFrame:
     affected = msg.affected_entities(msg.read_messages(_feed(view(fx.spark, fx.sf_dir, "fx_messages").select("body"))).select("message"))
     collapsed = collapse_stream(affected, quiet=1, longest=3)
     fx.spark.createDataFrame([], "entity_id long, multiplicity long, batch int").write.parquet(out)
+    end = time.monotonic() + LONGEST_WAIT
     running = collapsed.writeStream.foreachBatch(_append(out)).option("checkpointLocation", shared_path(fx.spark, "collapse-state")).trigger(processingTime="1 second").start()
     found = lambda: fx.spark.read.schema("entity_id long, multiplicity long, batch int").parquet(out)
     try:
         while running.isActive and (found().agg(F.sum("multiplicity")).first()[0] or 0) < waited:
             running.awaitTermination(1)
+            if time.monotonic() > end:
+                raise TimeoutError("requests are missing")
     finally:
         running.stop()
     return found().groupBy("entity_id").agg(F.sum("multiplicity").alias("multiplicity"))
