@@ -265,6 +265,22 @@ SQL = {
     "stream_collapse": "SELECT entity_id, count(*) AS multiplicity FROM aff GROUP BY ALL",
     "stream_refresh": f"SELECT {REPORT} FROM rep_new",
 }
+def _waiting(tick: int, ticks: int, quiet: int, longest: int, most: int) -> str:
+    """Requests by tick: those that still wait after one, and those taken at the next."""
+    second = f"event_id % {tick * ticks}"
+    ctes = ["w0 AS (SELECT NULL::BIGINT AS entity_id, NULL::BIGINT AS asked_on, NULL::BIGINT AS again_on, NULL::BIGINT AS n WHERE false)"]
+    for k in range(ticks):
+        now = tick * k
+        new = f"SELECT entity_id, {now} AS asked_on, {now} AS again_on, 1 AS n FROM aff WHERE {second} >= {now} AND {second} < {now + tick}"
+        ctes.append(f"a{k} AS MATERIALIZED (SELECT entity_id, min(asked_on) AS asked_on, max(again_on) AS again_on, sum(n) AS n FROM (SELECT * FROM w{k} UNION ALL {new}) GROUP BY entity_id)")
+        ctes.append(f"d{k} AS MATERIALIZED (SELECT * FROM a{k} WHERE {now} - again_on > {quiet} OR {now} - asked_on > {longest} ORDER BY asked_on, entity_id LIMIT {most})")
+        ctes.append(f"w{k + 1} AS (SELECT * FROM a{k} WHERE entity_id NOT IN (SELECT entity_id FROM d{k}))")
+    return f", {', '.join(ctes)} " + " UNION ALL ".join(f"SELECT {k} AS tick, entity_id, CAST(n AS BIGINT) AS multiplicity FROM d{k}" for k in range(ticks))
+
+
+#: As in the queries: messages of a batch; seconds between ticks and their number; the default delays.
+SQL["stream_queue"] = "SELECT event_id AS message_id, octet_length(encode(body)) AS body_bytes, CAST((row_number() OVER (ORDER BY ts, event_id) - 1) // 3000 AS INT) AS batch FROM fx_messages"
+SQL["waiting_requests"] = _waiting(15, 8, 10, 60, 100)
 FOLLOWED = f"""WITH {common_tables()}, tie AS (SELECT unnest(range(2, 42, 4)) AS a), rec AS (SELECT * REPLACE (CASE WHEN entity_id % 100 <> 0 THEN match_key END AS match_key) FROM fx_records),
 rel AS (SELECT * FROM fx_relations WHERE NOT EXISTS (SELECT 1 FROM tie WHERE entity_id = a AND related_id = a + 4) UNION ALL SELECT a, a + 4, 'POSSIBLE_MATCH', '+TIE', '+TIE', 'T' FROM tie),
 {_state('rec', 'rel', '')} SELECT {REPORT} FROM rep"""

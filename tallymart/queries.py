@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import time
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +22,11 @@ from .scratch import settle, shared_path
 from .sources import messages as msg
 from .sources import snapshots as snap
 from .sources.fixtures import view
+from .sources.queue import enqueue, queue_stream
 from .sources.store import LOADED, modified, read_mart, write_mart
 from .streaming.collapse import collapse_stream
 from .streaming.refresh import ingest_stream, refresh_stream
+from .streaming.waiting import WAITING, Delays, ask, due
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,6 +36,8 @@ ONE, TWO = "ORDERS_STORE", "ORDERS WEB"
 BASE = "CUSTOMERS"
 #: Seconds in which all collapsed requests must have come out.
 LONGEST_WAIT = 600
+#: Messages of a batch of the queue; seconds between ticks of the simulated clock, and how many there are.
+QUEUE_BATCH, TICK, TICKS = 3000, 15, 8
 #: Folder of the stored mart of each application, table folder and state of its tables (their times of modification).
 STORED: dict[tuple, str] = {}
 
@@ -615,6 +621,37 @@ def stream_ingest(fx: Fixture) -> DataFrame:
     return msg.message_multiplicity(fx.spark.read.schema("entity_id long, batch int").parquet(out))
 
 
+@over
+def stream_queue(fx: Fixture) -> DataFrame:
+    """The batch in which each message leaves a queue to which two writers appended: oldest first, ``QUEUE_BATCH`` at a time."""
+    path, out = shared_path(fx.spark, "queue"), shared_path(fx.spark, "dequeued")
+    rows = view(fx.spark, fx.sf_dir, "fx_messages").select(F.col("event_id").alias("message_id"), F.col("ts").alias("created_on"), "body")
+    for part in (0, 1):
+        enqueue(rows.where(F.col("message_id") % 2 == part), path)
+    feed = queue_stream(fx.spark, path, most=QUEUE_BATCH, lag=0).select("message_id", F.octet_length("body").cast("long").alias("body_bytes"))
+    running = feed.writeStream.foreachBatch(_append(out)).option("checkpointLocation", shared_path(fx.spark, "queue-state")).trigger(processingTime="0 seconds").start()
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return fx.spark.read.schema("message_id long, body_bytes long, batch int").parquet(out)
+
+
+@over
+def waiting_requests(fx: Fixture) -> DataFrame:
+    """Requests taken under the default delays by a clock that ticks every ``TICK`` seconds; each message comes at the second of its
+    id's remainder."""
+    affected = settle(msg.affected_entities(fx.messages.select("event_id", "message")).select("entity_id", (F.col("event_id") % (TICK * TICKS)).alias("second")), "requests")
+    waiting, taken, start = fx.spark.createDataFrame([], WAITING), [], dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
+    for tick in range(TICKS):
+        now = start + dt.timedelta(seconds=TICK * tick)
+        asked = settle(ask(waiting, affected.where(F.floor(F.col("second") / TICK) == tick), now), "waiting")
+        ripe = settle(due(asked, now, Delays()), "due")
+        taken.append(ripe.select(F.lit(tick).alias("tick"), "entity_id", "multiplicity"))
+        waiting = asked.join(ripe, "entity_id", "left_anti")
+    return reduce(DataFrame.unionByName, taken)
+
+
 @over
 def stream_collapse(fx: Fixture) -> DataFrame:
     """Requests collapsed in the stream, due one second after the last or three after the first; run until all are out."""

@@ -18,6 +18,7 @@ leave the newer state.
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 from collections.abc import Callable
 from functools import reduce
@@ -33,7 +34,8 @@ from ..operators.tables import entity_rows, follow_ups, orphan_records, relation
 from ..plans.mart import REPLACED, Mart, changed, rebuild
 from ..scratch import at_once, passing, remove, settle, settle_all
 from ..sources.messages import affected_entities, dead_letters, read_messages
-from ..sources.store import BLOCK, LOADED, Stored, current, write_change, write_mart, write_whole
+from ..sources.store import BLOCK, LOADED, Stored, current, listed, write_change, write_mart, write_whole
+from .waiting import WAITING, Delays, ask, due
 
 #: How often a snapshot with a relation that lacks its match key is read again.
 RETRIES = 5
@@ -296,7 +298,7 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
 
 
 def refresh_stream(
-    feed: DataFrame, snapshots: Callable[[], Frames | tuple[DataFrame, ...]], mart_path: str, checkpoint: str, letters: str | None = None, trigger: dict | None = None, buckets: int = BUCKETS
+    feed: DataFrame, snapshots: Callable[[], Frames | tuple[DataFrame, ...]], mart_path: str, checkpoint: str, letters: str | None = None, trigger: dict | None = None, buckets: int = BUCKETS, delays: Delays | None = None
 ) -> StreamingQuery:
     """Start the refresh of the mart at ``mart_path`` by the message ``feed`` (body).
 
@@ -305,25 +307,70 @@ def refresh_stream(
     parse are written to ``letters``, in a folder for each stream and batch. Entities with a relation that lacks its match key are
     refreshed again with the next batches, ``RETRIES`` times at most. ``trigger``: arguments of the writer's trigger, every 60 seconds
     by default. ``buckets``: those of a mart that does not exist yet.
+
+    With ``delays``, named entities wait until they are due (see :mod:`.waiting`), and those that follow are asked for
+    like them instead of within the batch. A source of ticks runs beside the feed then, so that batches come without messages
+    too; the trigger must be one of processing time, as such a stream has no end.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         with passing(batch.sparkSession, "refresh"):
-            apply_batch(batch, number, snapshots(), mart_path, stream_id(batch.sparkSession, checkpoint), letters, buckets)
+            apply_batch(batch, number, snapshots(), mart_path, stream_id(batch.sparkSession, checkpoint), letters, buckets, delays)
 
-    return feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
+    trigger = trigger or {"processingTime": "60 seconds"}
+    if delays:
+        if "processingTime" not in trigger:
+            raise ValueError(f"requests that wait need a trigger of processing time: {trigger}")
+        ticks = feed.sparkSession.readStream.format("rate").load().where("value < 0")
+        feed = feed.select("body").unionByName(ticks.select(F.lit(None).cast("string").alias("body")))
+    return feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def apply_batch(batch: DataFrame, number: int, snapshots: Frames | tuple[DataFrame, ...], mart_path: str, stream: str, letters: str | None = None, buckets: int = BUCKETS) -> bool:
-    """Refresh the mart at ``mart_path`` by the messages of a ``batch``; False if ``stream`` applied this number before."""
-    if letters:
+def apply_batch(batch: DataFrame, number: int, snapshots: Frames | tuple[DataFrame, ...], mart_path: str, stream: str, letters: str | None = None, buckets: int = BUCKETS, delays: Delays | None = None, now: dt.datetime | None = None) -> bool:
+    """Refresh the mart at ``mart_path`` by the messages of a ``batch``; False if ``stream`` applied this number before, or if no
+    request is due yet under ``delays`` at the time ``now``."""
+    if letters and not (delays and batch.isEmpty()):
         dead_letters(batch).write.mode("overwrite").parquet(f"{letters}/stream={stream}/batch={number}")
-    named = affected_entities(read_messages(batch).select("message")).select("entity_id").distinct()
-    return refresh_named(named, number, snapshots, mart_path, stream, buckets)
+    named = affected_entities(read_messages(batch).select("message")).select("entity_id")
+    if delays:
+        return refresh_due(named, number, snapshots, mart_path, stream, delays, now or dt.datetime.now(dt.UTC), buckets)
+    return refresh_named(named.distinct(), number, snapshots, mart_path, stream, buckets)
 
 
-def refresh_named(named: DataFrame, number: int, snapshots: Frames | tuple[DataFrame, ...], mart_path: str, stream: str, buckets: int = BUCKETS) -> bool:
-    """Refresh the mart at ``mart_path`` by the entities ``named``, as batch ``number`` of ``stream``."""
+def refresh_due(named: DataFrame, number: int, snapshots: Frames | tuple[DataFrame, ...], mart_path: str, stream: str, delays: Delays, now: dt.datetime, buckets: int = BUCKETS) -> bool:
+    """Ask for the entities ``named`` (a row for each request) and refresh those due at ``now``; False if none is, or if ``stream``
+    applied this number before. What then waits, followers included, is written before the refresh is applied, so a
+    replay of the batch begins with what the batch before left."""
+    spark = named.sparkSession
+    if number <= current(spark, mart_path, stream)[1]:
+        return False
+    folder = f"{mart_path}/_waiting/{stream}"
+    kept = sorted(int(name.removeprefix("batch-")) for name in listed(spark, folder))
+    before = [n for n in kept if n < number]
+    waiting = spark.read.schema(WAITING).parquet(f"{folder}/batch-{before[-1]}") if before else spark.createDataFrame([], WAITING)
+    asked = settle(ask(waiting, named, now), "waiting")
+    ripe = settle(due(asked, now, delays), "due")
+
+    def keep(left: DataFrame) -> None:
+        ask(_of(asked, ripe, how="left_anti"), left, now).coalesce(1).write.mode("overwrite").parquet(f"{folder}/batch-{number}")
+
+    if ripe.isEmpty():
+        if not named.isEmpty():
+            keep(named.limit(0))
+        done = False
+    else:
+        done = refresh_named(ripe.select("entity_id"), number, snapshots, mart_path, stream, buckets, passes=1, keep=keep)
+    # A replay of this batch needs the last one before it.
+    for n in before[:-1]:
+        remove(spark, f"{folder}/batch-{n}")
+    return done
+
+
+def refresh_named(
+    named: DataFrame, number: int, snapshots: Frames | tuple[DataFrame, ...], mart_path: str, stream: str, buckets: int = BUCKETS, passes: int | None = None, keep: Callable[[DataFrame], None] | None = None
+) -> bool:
+    """Refresh the mart at ``mart_path`` by the entities ``named``, as batch ``number`` of ``stream``. After ``passes``, those still to be
+    refreshed (entity_id) are given to ``keep``, before the batch is applied."""
     spark = named.sparkSession
     version, applied = current(spark, mart_path, stream)
     if number <= applied:
@@ -336,7 +383,9 @@ def refresh_named(named: DataFrame, number: int, snapshots: Frames | tuple[DataF
     again = spark.read.schema(schema).parquet(waiting(applied)).where(F.col("attempt") <= RETRIES) if applied >= 0 else spark.createDataFrame([], schema)
     again = settle(again.groupBy("entity_id").agg(F.max("attempt").alias("attempt")), "retries")
     fresh, mart = as_snapshots(snapshots), Buckets(Stored(spark, mart_path))
-    change, ids, _ = changes(mart, fresh, named.select("entity_id").union(again.select("entity_id")), f"batch-{number}")
+    change, ids, left = changes(mart, fresh, named.select("entity_id").union(again.select("entity_id")), f"batch-{number}", passes)
+    if keep:
+        keep(left)
     missing = without_keys(fresh.relations(ids), ids).join(again, "entity_id", "left").select("entity_id", (F.coalesce("attempt", F.lit(0)) + 1).cast("int").alias("attempt"))
     missing.write.mode("overwrite").parquet(waiting(number))
     write_change(change, mart_path, number, stream, fresh.versions(ids))

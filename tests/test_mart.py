@@ -248,7 +248,7 @@ def test_relations_without_keys_are_read_again_a_number_of_times(spark, monkeypa
         left = spark.read.schema("entity_id long, attempt int").parquet(f"{path}/_retries/s/batch-{batch}")
         calls.append({r.entity_id: r.attempt for r in left.collect()})
     assert [c.get(1) for c in calls] == [1, 2, 3, None, None]
-    assert store._list(spark, f"{path}/_retries/s") == ["batch-4"]
+    assert store.listed(spark, f"{path}/_retries/s") == ["batch-4"]
 
 
 def test_letters_of_a_replayed_batch_are_written_once(spark):
