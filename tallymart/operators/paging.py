@@ -10,13 +10,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import settle
 
 #: Default page size, page size for each sampled row, and the four bound types.
 PAGE_SIZE, SAMPLE_FACTOR = 100, 20
+#: Records of a chunk of an entity's list.
+CHUNK = 1000
 BOUND_TYPES = ("INCLUSIVE_LOWER", "EXCLUSIVE_LOWER", "INCLUSIVE_UPPER", "EXCLUSIVE_UPPER")
 MAX_ID = 2**63 - 1
 
@@ -122,24 +124,53 @@ def _chosen(keys: DataFrame, names: list[str], p: Page) -> DataFrame:
     return rows.join(F.broadcast(counts.drop("n")), how="inner").select(*names, "total", "before", "after", text("page_min").alias("page_min"), text("page_max").alias("page_max"))
 
 
-def _described(rows: DataFrame, key: str, entity: DataFrame, record: DataFrame, prefix: str = "") -> DataFrame:
-    """``rows`` with the entity of ``key``: name, counts and its records sorted by source and id."""
+_SHOWN = ("data_source", "record_id", "match_key", "errule_code")
+
+
+def record_chunks(rows: DataFrame, record: DataFrame, size: int = CHUNK, key: str = "entity_id") -> DataFrame:
+    """(entity_id, chunk, records): the records of the entities ``key`` of a page, sorted by source and id, ``size`` in each row.
+
+    For pages with entities whose list is too long for one row (pages leave it out by ``lists=False``). The records are
+    dealt by range of entity, source and id, so those of a hub entity lie in many tasks; a count for each task and entity
+    tells where a task's part of the list begins. An entity without records has no row.
+    """
+    if size < 1:
+        raise ValueError(f"a chunk holds one record at least: {size}")
+    order = ["entity_id", "data_source", "record_id"]
+    ids = F.broadcast(rows.select(F.col(key).alias("entity_id")).distinct())  # a page at most
+    dealt = record.join(ids, "entity_id", "left_semi").select("entity_id", *_SHOWN).repartitionByRange(*order).sortWithinPartitions(*order)
+    # The id's upper bits number the task, the lower ones the row within it.
+    dealt = settle(dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_at", 33)), "chunks")
+    parts = dealt.groupBy("entity_id", "_task").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    # A row for each task that has some of an entity's records.
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("entity_id").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("entity_id", "_task", (before - F.col("_first")).alias("_shift"))
+    placed = dealt.join(parts, ["entity_id", "_task"]).withColumn("chunk", F.floor((F.col("_at") + F.col("_shift")) / size))
+    return placed.groupBy("entity_id", "chunk").agg(F.sort_array(F.collect_list(F.struct(*_SHOWN))).alias("records"))
+
+
+def _described(rows: DataFrame, key: str, entity: DataFrame, record: DataFrame | None, prefix: str = "") -> DataFrame:
+    """``rows`` with the entity of ``key``: name, counts and its records (where ``record`` is given) sorted by source and id."""
     ids = F.broadcast(rows.select(F.col(key).alias("entity_id")).distinct())  # a page at most
-    own = record.join(ids, "entity_id", "left_semi").groupBy("entity_id").agg(F.sort_array(F.collect_list(F.struct("data_source", "record_id", "match_key", "errule_code"))).alias("records"))
-    about = entity.join(ids, "entity_id", "left_semi").select("entity_id", "entity_name", "record_count", "relation_count").join(own, "entity_id", "left")
-    about = about.select(F.col("entity_id").alias("_id"), *[F.col(c).alias(prefix + c) for c in ("entity_name", "record_count", "relation_count", "records")])
+    about = entity.join(ids, "entity_id", "left_semi").select("entity_id", "entity_name", "record_count", "relation_count")
+    if record is not None:
+        own = record.join(ids, "entity_id", "left_semi").groupBy("entity_id").agg(F.sort_array(F.collect_list(F.struct(*_SHOWN))).alias("records"))
+        about = about.join(own, "entity_id", "left")
+    about = about.select(F.col("entity_id").alias("_id"), *[F.col(c).alias(prefix + c) for c in about.columns if c != "entity_id"])
     return rows.join(about, F.col(key) == F.col("_id"), "left").drop("_id")
 
 
-def entities_page(detail: DataFrame, entity: DataFrame, record: DataFrame, report_key: ReportKey, p: Page | None = None) -> DataFrame:
-    """Entities behind ``report_key``: entity_id, name, counts, records, and the page's counts on each row, ascending."""
+def entities_page(detail: DataFrame, entity: DataFrame, record: DataFrame, report_key: ReportKey, p: Page | None = None, lists: bool = True) -> DataFrame:
+    """Entities behind ``report_key``: entity_id, name, counts, records, and the page's counts on each row, ascending.
+    ``lists``: False leaves the records to :func:`record_chunks`."""
     p = p or page()
     keys = report_key.of(detail).where("related_id = 0").select("entity_id")
-    return _described(_chosen(keys, ["entity_id"], p), "entity_id", entity, record).orderBy("entity_id")
+    return _described(_chosen(keys, ["entity_id"], p), "entity_id", entity, record if lists else None).orderBy("entity_id")
 
 
-def relations_page(detail: DataFrame, entity: DataFrame, record: DataFrame, relation: DataFrame, report_key: ReportKey, p: Page | None = None) -> DataFrame:
-    """Pairs behind ``report_key``: both entities with their records, match type, rule, and the key as the first entity sees it."""
+def relations_page(detail: DataFrame, entity: DataFrame, record: DataFrame, relation: DataFrame, report_key: ReportKey, p: Page | None = None, lists: bool = True) -> DataFrame:
+    """Pairs behind ``report_key``: both entities with their records, match type, rule, and the key as the first entity sees it.
+    ``lists``: False leaves the records to :func:`record_chunks`."""
     p = p or page(pairs=True)
     keys = report_key.of(detail).where("related_id <> 0").select("entity_id", "related_id")
     rows = _chosen(keys, ["entity_id", "related_id"], p)
@@ -147,5 +178,6 @@ def relations_page(detail: DataFrame, entity: DataFrame, record: DataFrame, rela
     rows = F.broadcast(rows).join(pair, (F.least("entity_id", "related_id") == F.col("low")) & (F.greatest("entity_id", "related_id") == F.col("high")), "left")
     key = F.when(F.col("related_id") < F.col("entity_id"), F.col("rev_match_key")).otherwise(F.col("forward"))
     rows = rows.withColumn("match_key", key).drop("low", "high", "forward", "rev_match_key")
-    rows = _described(rows, "entity_id", entity, record)
-    return _described(rows, "related_id", entity, record, "related_").orderBy("entity_id", "related_id")
+    shown = record if lists else None
+    rows = _described(rows, "entity_id", entity, shown)
+    return _described(rows, "related_id", entity, shown, "related_").orderBy("entity_id", "related_id")

@@ -256,6 +256,8 @@ SQL = {
     "sampled_entities_page": f"""{_page(_key('ENTITY_COUNT', BASE, BASE), ['entity_id'], '>', '0', 50)}, few AS (SELECT entity_id FROM pg ORDER BY md5('11:' || entity_id), entity_id LIMIT 5)
         SELECT few.entity_id, entity_name, record_count, relation_count, {_listed('few.entity_id')} AS records, {AROUND} FROM few LEFT JOIN ent USING (entity_id), around""",
     "relations_page_max": _relations(_key("DISCLOSED_RELATION_COUNT", BASE, BASE), "<", (MAX, MAX), 15),
+    "page_record_chunks": f"""{_page(_key('ENTITY_COUNT', TWO, TWO), ['entity_id'], '>=', '10', 40)}, placed AS (SELECT *, (row_number() OVER (PARTITION BY entity_id ORDER BY data_source, record_id) - 1) // 2 AS chunk FROM fx_records WHERE entity_id IN (SELECT entity_id FROM pg))
+SELECT entity_id, chunk, string_agg(concat_ws('|', data_source, record_id, coalesce(match_key, ''), coalesce(errule_code, '')), ',' ORDER BY data_source, record_id) AS records FROM placed GROUP BY entity_id, chunk""",
     "page_header_empty": f"{_page(_key('ENTITY_COUNT', TWO, TWO), ['entity_id'], '>=', '9000000000000', 40)} SELECT {AROUND}, (SELECT count(*) FROM pg) AS shown FROM around",
     "page_header_relations": f"{_page(_key('DISCLOSED_RELATION_COUNT', BASE, BASE), ['entity_id', 'related_id'], '<', str((MAX, MAX)), 15)} SELECT {AROUND}, (SELECT count(*) FROM pg) AS shown FROM around",
     "normalised_keys": "SELECT data_source, record_id, match_key FROM fx_records",

@@ -156,9 +156,9 @@ def list_key(source1: str, source2: str, kind: str, match_key: str | None = None
     return ReportKey(DSS if source1 == source2 else CSS, statistic, source1, source2)
 
 
-def source_entities(mart: Mart, data_source: str, p: Page | None = None) -> DataFrame:
+def source_entities(mart: Mart, data_source: str, p: Page | None = None, lists: bool = True) -> DataFrame:
     """Entities that have records of a source."""
-    return entities_page(mart.report_detail, mart.entity, mart.record, list_key(data_source, data_source, "ENTITY_COUNT"), p)
+    return entities_page(mart.report_detail, mart.entity, mart.record, list_key(data_source, data_source, "ENTITY_COUNT"), p, lists)
 
 
 def size_entities(mart: Mart, size: int, p: Page | None = None) -> DataFrame:

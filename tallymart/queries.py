@@ -561,6 +561,13 @@ def relations_page_max(fx: Fixture) -> DataFrame:
     return _relations(Q.cross_relations(fx.mart, BASE, BASE, "DISCLOSED_RELATION_COUNT", p=G.page(bound="max:max", page_size=15, pairs=True)))
 
 
+@over
+def page_record_chunks(fx: Fixture) -> DataFrame:
+    """Records of the entities of a page, two in each row."""
+    rows = Q.source_entities(fx.mart, TWO, G.page(bound="10", bound_type="INCLUSIVE_LOWER", page_size=40), lists=False)
+    return G.record_chunks(rows, fx.mart.record, 2).select("entity_id", "chunk", _listed("records").alias("records"))
+
+
 @over
 def page_header_empty(fx: Fixture) -> DataFrame:
     """The counts of a page beyond the last entity."""

@@ -60,3 +60,24 @@ def test_samples(tables):
     shown = G.entities_page(*tables, KEY, G.page(bound=5, page_size=20, sample_size=4, seed=1)).collect()
     again = G.entities_page(*tables, KEY, G.page(bound=5, page_size=20, sample_size=4, seed=1)).collect()
     assert shown == again and len(shown) == 4 and all(5 < r.entity_id <= 25 and (r.page_min, r.page_max) == ("6", "25") for r in shown)
+
+
+def test_chunks_of_a_hub_make_up_its_list(spark, tables):
+    """Half of all records belong to one entity: its chunks are bounded and in order, and no record is lost."""
+    detail, entity, _ = tables
+    record = spark.range(4000).select(
+        F.when(F.col("id") % 2 == 0, 3).otherwise(F.col("id") % 20 + 4).cast("long").alias("entity_id"), F.when(F.col("id") % 3 == 0, "S").otherwise("T").alias("data_source"),
+        F.col("id").cast("string").alias("record_id"), F.when(F.col("id") % 5 == 0, "k").alias("match_key"), F.lit(None).cast("string").alias("errule_code"), F.lit(1).alias("chunk"))
+    p = G.page(bound=2, page_size=9)
+    rows = G.entities_page(detail, entity, record, KEY, p, lists=False)
+    assert "records" not in rows.columns
+    parts = {}
+    for r in G.record_chunks(rows, record, 70).orderBy("entity_id", "chunk").collect():
+        assert r.chunk == len(parts.setdefault(r.entity_id, [])) and len(r.records) <= 70
+        parts[r.entity_id].append(r.records)
+    whole = {r.entity_id: r.records for r in G.entities_page(detail, entity, record, KEY, p).collect() if r.records}
+    assert {i: [x for part in lists for x in part] for i, lists in parts.items()} == whole
+    assert len(parts[3]) == 29 and all(len(part) == 70 for part in parts[3][:-1])
+    assert G.record_chunks(rows.limit(0), record).isEmpty()
+    with pytest.raises(ValueError):
+        G.record_chunks(rows, record, 0)
