@@ -127,12 +127,13 @@ class Tree(NamedTuple):
     masks: np.ndarray
 
 
-def grow(sample: np.ndarray, total: int, leaf_rows: int = LEAF_ROWS, seed: int = SEED) -> Tree:
-    """Tree for ``total`` fingerprints (unsigned) from a sample of them, one level after the other."""
+def grow(sample: np.ndarray, total: int, leaf_rows: int = LEAF_ROWS, seed: int = SEED, levels: int | None = None, shard_rows: int = SHARD_ROWS) -> Tree:
+    """Tree for ``total`` fingerprints (unsigned) from a sample of them, one level after the other; ``levels`` to which the bits are
+    dealt are as many as ``total`` asks for, if not given."""
     sample = np.random.default_rng(seed).permutation(sample)
     scale = total / max(1, len(sample))
     # A level of some eight bits tells about 2.3 bits.
-    levels = int(min(MOST_LEVELS, max(1, math.ceil(math.log2(max(2.0, total / leaf_rows)) / 2.3))))
+    levels = levels or int(min(MOST_LEVELS, max(1, math.ceil(math.log2(max(2.0, total / leaf_rows)) / 2.3))))
     bits = -(-64 // levels)
     masks = np.array([sum(1 << b for b in range(at, 64, levels)) for at in range(levels)], dtype=np.uint64)
     node_of = np.zeros(len(sample), dtype=np.int64)
@@ -176,7 +177,7 @@ def grow(sample: np.ndarray, total: int, leaf_rows: int = LEAF_ROWS, seed: int =
         level.append(np.full(size, at + 1, dtype=np.int8))
         branch.append(np.full((size, bits + 1), -1, dtype=np.int32))
     branches = np.concatenate(branch)
-    shards = np.maximum(1, np.ceil(np.bincount(node_of, minlength=len(branches)) * scale / SHARD_ROWS)).astype(np.int32)
+    shards = np.maximum(1, np.ceil(np.bincount(node_of, minlength=len(branches)) * scale / shard_rows)).astype(np.int32)
     return Tree(np.concatenate(vantage), np.concatenate(level), branches, shards, masks)
 
 

@@ -447,6 +447,23 @@ def test_redaction(spark):
     assert secret_scan.redact(rows.limit(0)).count() == 0
 
 
+def test_redaction_shuffles_only_documents_with_findings(spark, monkeypatch):
+    """Of the texts that are joined to findings all but those that hold one are left out before the shuffle."""
+    joined = []
+    marked = secret_scan.marked
+
+    def told(*how):
+        joined.append(marked(*how))
+        return joined[-1]
+
+    monkeypatch.setattr(secret_scan, "marked", told)
+    rows = spark.createDataFrame([(i, f"text {i}" + (" token = abcdef" if i % 50 == 0 else "")) for i in range(500)] + [(7, "text 7"), (None, None)], "doc_id long, text string")
+    out = [(r.doc_id, r.text) for r in secret_scan.redact(rows).collect()]
+    assert joined[0].where("likely").count() == 10
+    true = [(i, f"text {i}" + (" [SECRET]" if i % 50 == 0 else "")) for i in range(500)] + [(7, "text 7"), (None, None)]
+    assert sorted(out, key=repr) == sorted(true, key=repr)
+
+
 # Search
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from tallymart import scratch
 from tallymart.llm import near_copies, simhash
 from tallymart.llm.components import components
 from tallymart.llm.queries import op1_simhash, table
@@ -192,3 +193,38 @@ def test_near_copies_with_odd_columns(spark):
     out = near_copies.near_copies(docs)
     assert out.columns == docs.columns and sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, "alone here"), (1, "a b c d e f"), (7, "")]
     assert near_copies.near_copies(docs.limit(0)).count() == 0
+
+
+def test_forest_holds_pairs_of_the_similarity():
+    """Pairs whose bits differ as often as the similarity implies meet in a leaf, pairs of strangers in few."""
+    rng = np.random.default_rng(3)
+    all_bits = rng.integers(0, 2, (40_000, near_copies.BITS)).astype(np.uint8)
+    trees = near_copies.forest(all_bits[:20_000], 40_000, 0.8)
+    some = all_bits[20_000:24_000]
+    met = lambda other: [near_copies._leaves(t, near_copies._words(some[:, p])) == near_copies._leaves(t, near_copies._words(other[:, p])) for p, t in trees]
+    moved = some ^ (rng.random(some.shape) < near_copies.turned(0.8))
+    assert len(trees) > 5 and np.any(met(moved), axis=0).mean() >= 0.99
+    assert np.mean(met(all_bits[24_000:28_000])) < 0.1
+
+
+def test_near_copies_in_many_leaves(spark, monkeypatch):
+    """All documents of sf0.01 in leaves of few: candidates come through the vantage-point trees alone, and links go on for several turns."""
+    monkeypatch.setattr(near_copies, "LEAF_ROWS", 32)
+    monkeypatch.setattr(near_copies, "BUCKET_ROWS", 16)
+    grown = []
+    monkeypatch.setattr(near_copies, "grow", lambda *a: grown.append(simhash.grow(*a)) or grown[-1])
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    groups, _ = brute_similar({r.doc_id: r.text for r in docs.collect()})
+    gone, true = set(groups) - {r.doc_id for r in near_copies.near_copies(docs).collect()}, set(groups) - set(groups.values())
+    assert len(grown) > 5 and min((t.branch[:, 0] < 0).sum() for t in grown) >= 16
+    assert not gone - true and len(gone) >= 0.98 * len(true)
+
+
+def test_near_copies_leave_one_table(spark, tmp_path, monkeypatch):
+    """Only what the result is read from stays in the shared folder."""
+    shared = scratch.shared_path
+    monkeypatch.setattr(scratch, "shared_path", lambda spark, name: f"file://{tmp_path}/{shared(spark, name).rsplit('/', 1)[1]}")
+    rows = spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f")], "doc_id long, text string")
+    out = near_copies.near_copies(rows)
+    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == ["copies-kept"]
+    assert [r.doc_id for r in out.collect()] == [1]
