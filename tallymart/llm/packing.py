@@ -120,57 +120,74 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
 
 
 class Packing:
-    """Bins of items: which items, and how much room is left."""
+    """Bins of items: which items, and how much room is left. Packings share the lists of bins that they have in common, so a bin
+    that changes is replaced. ``order``: each item's place when the longest come first, worked out once for all packings of a shard."""
 
-    def __init__(self, lengths: list[int], capacity: int, bins: list[list[int]] | None = None):
-        self.lengths, self.capacity = lengths, capacity
+    def __init__(self, lengths: list[int], capacity: int, bins: list[list[int]] | None = None, free: list[int] | None = None, order: list[int] | None = None):
+        self.lengths, self.capacity, self.order = lengths, capacity, order
         self.bins = bins or []
-        self.free = [capacity - sum(lengths[i] for i in b) for b in self.bins]
+        self.free = [capacity - sum([lengths[i] for i in b]) for b in self.bins] if free is None else free
+        self._cost: tuple[int, float] | None = None
 
     def best_fit(self, items: list[int]) -> Packing:
         """Put ``items``, in their order, each into the fullest bin that takes it."""
-        room = sorted((f, b) for b, f in enumerate(self.free) if f)
+        # Room and number of a bin are one whole number, which compares faster than a pair.
+        lengths, bins, free = self.lengths, self.bins, self.free
+        room = sorted([f << 32 | b for b, f in enumerate(free) if f])
         for i in items:
-            at = bisect_left(room, (self.lengths[i], -1))
+            n = lengths[i]
+            at = bisect_left(room, n << 32)
             if at < len(room):
-                _, b = room.pop(at)
-                self.bins[b].append(i)
+                b = room.pop(at) & 0xFFFFFFFF
+                bins[b] = [*bins[b], i]
             else:
-                b = len(self.bins)
-                self.bins.append([i])
-                self.free.append(self.capacity)
-            self.free[b] -= self.lengths[i]
-            if self.free[b]:
-                insort(room, (self.free[b], b))
+                b = len(bins)
+                bins.append([i])
+                free.append(self.capacity)
+            free[b] -= n
+            if free[b]:
+                insort(room, free[b] << 32 | b)
+        self._cost = None
         return self
 
     def longest_first(self, items: list[int]) -> Packing:
-        return self.best_fit(sorted(items, key=lambda i: (-self.lengths[i], i)))
+        if self.order is None:
+            self.order = [0] * len(self.lengths)
+            for place, i in enumerate(sorted(range(len(self.lengths)), key=lambda i: (-self.lengths[i], i))):
+                self.order[i] = place
+        return self.best_fit(sorted(items, key=self.order.__getitem__))
 
     def cost(self) -> tuple[int, float]:
         """Number of bins, and less the more the filling differs: full bins and empty ones beat half-full ones."""
-        return len(self.bins), -sum((1 - f / self.capacity) ** 2 for f in self.free)
+        if self._cost is None:
+            self._cost = len(self.bins), -sum([(1 - f / self.capacity) ** 2 for f in self.free])
+        return self._cost
 
     def crossed(self, other: Packing, rng: random.Random, share: float = INJECTED) -> Packing:
         """This packing with whole well-filled bins of ``other``; bins that share an item with them go, and what else they held is
         best-fitted."""
         drawn = rng.sample(range(len(other.bins)), min(len(other.bins), max(2, int(2 * share * len(other.bins)))))
-        given = [other.bins[b] for b in sorted(drawn, key=lambda b: (other.free[b], b))[: max(1, len(drawn) // 2)]]
+        chosen = sorted(drawn, key=lambda b: (other.free[b], b))[: max(1, len(drawn) // 2)]
+        given = [other.bins[b] for b in chosen]
         twice = {i for b in given for i in b}
-        kept, displaced = [], []
-        for b in self.bins:
+        kept, free, displaced = [], [], []
+        for b, f in zip(self.bins, self.free):
             if twice.isdisjoint(b):
-                kept.append(list(b))
+                kept.append(b)
+                free.append(f)
             else:
                 displaced += [i for i in b if i not in twice]
-        return Packing(self.lengths, self.capacity, kept + [list(b) for b in given]).longest_first(displaced)
+        kept += given
+        free += [other.free[b] for b in chosen]
+        return Packing(self.lengths, self.capacity, kept, free, self.order).longest_first(displaced)
 
     def shaken(self, rng: random.Random) -> Packing:
         """Some of the emptier bins and as many others are opened and their items best-fitted."""
         order = sorted(range(len(self.bins)), key=lambda b: -self.free[b])
         opened = set(order[: max(2, len(order) // 50)]) | set(rng.sample(order, max(1, len(order) // 50)))
-        kept = [list(b) for at, b in enumerate(self.bins) if at not in opened]
-        return Packing(self.lengths, self.capacity, kept).longest_first([i for at in opened for i in self.bins[at]])
+        kept = [b for at, b in enumerate(self.bins) if at not in opened]
+        free = [f for at, f in enumerate(self.free) if at not in opened]
+        return Packing(self.lengths, self.capacity, kept, free, self.order).longest_first([i for at in opened for i in self.bins[at]])
 
     def of_items(self) -> list[int]:
         """The bin of each item."""

@@ -137,3 +137,19 @@ def test_query_over_whole_table(spark, sf_dir):
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == true
     total = sum(k[3] * v for k, v in true.items())
     assert check_sequences(rows, 2048) <= math.ceil(total / 2048) + 1
+
+
+def test_packings_share_bins_and_order():
+    """Children take lists of bins, their room and the order of items from their parents, which stay as they were."""
+    rng = random.Random(4)
+    lengths = [rng.randint(1, 90) for _ in range(400)]
+    parents = [packing.Packing(lengths, 100).longest_first(list(range(400)))]
+    parents.append(packing.Packing(lengths, 100, order=parents[0].order).best_fit(rng.sample(range(400), 400)))
+    before = [([list(b) for b in p.bins], list(p.free), p.cost()) for p in parents]
+    for _ in range(20):
+        child = parents[0].crossed(parents[1], rng).shaken(rng)
+        assert child.order is parents[0].order and any(b is p for b in child.bins for p in parents[0].bins)
+        assert sorted(i for b in child.bins for i in b) == list(range(400))
+        assert child.free == [100 - sum(lengths[i] for i in b) for b in child.bins] and min(child.free) >= 0
+        assert child.cost() == (len(child.bins), pytest.approx(-sum((1 - f / 100) ** 2 for f in child.free)))
+        assert before == [([list(b) for b in p.bins], p.free, p.cost()) for p in parents]
