@@ -231,8 +231,9 @@ def _nearest(similarity: float, low: int, high: int):
                 x = np.arange(i, min(b, i + step))
                 far = np.bitwise_count(f0[x][:, None] ^ one)
                 far += np.bitwise_count(f1[x][:, None] ^ two)
-                u, v = np.nonzero(far <= allowed)
-                far, u, v = far[u, v], x[u], others[v]
+                far = far.ravel()
+                at = np.flatnonzero(far <= allowed)
+                far, u, v = far[at], x[at // max(1, len(others))], others[at % max(1, len(others))]
                 kept = (u != v) & (np.minimum(n[u], n[v]) >= similarity * np.maximum(n[u], n[v]))
                 if parts is not None:
                     kept[kept] = np.concatenate([_close(parts, n, u[kept][at : at + (1 << 14)], v[kept][at : at + (1 << 14)], similarity) for at in range(0, max(1, kept.sum()), 1 << 14)])
