@@ -10,8 +10,9 @@ A bin is whole within a shard, so shards lose room at their ends. The emptiest b
 least) are therefore opened, and their pieces are packed again in the shards of a next level, until one shard is left. Levels shrink by
 their ratio, so their number is a logarithm of the pieces. Only lengths, packings and their order travel; a task holds one shard.
 
-``pieces`` encodes words once for each worker (a bounded cache), cut at single spaces and line feeds, which the tokenizer drops and no
-token spans; ``sequences`` puts the ids of packed pieces together again.
+``pieces`` cuts texts at single spaces and line feeds, which the tokenizer drops and no token spans, and the distinct words of a block
+after letters where the tokenizer tells them apart; each part is encoded once for each worker (a bounded cache), and ids of words and
+texts are put together by places. ``sequences`` puts the ids of packed pieces together again.
 
 Null texts are empty: one piece, the end id. Repeated rows are packed each. Rows without id are packed too. An empty table gives
 nothing. Which of several equal packings results depends on the order of rows in files; the number of sequences hardly does.
@@ -20,6 +21,7 @@ nothing. Which of several equal packings results depends on the order of rows in
 from __future__ import annotations
 
 import functools
+import json
 import os
 import random
 import zlib
@@ -31,6 +33,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -41,15 +44,41 @@ CAPACITY, END = 2048, 0
 SHARD, ISLANDS, EPOCHS, GENERATIONS, PACKINGS = 4096, 3, 3, 12, 4
 #: Share of a packing's bins that one crossover injects, and of a shard's bins that the next level may open.
 INJECTED, OPENED = 0.08, 0.125
-#: Words of one of the two generations that a worker caches, and the longest that is cached.
+#: Parts of words of one of the two generations that a worker caches, and the longest that is cached.
 CACHE_WORDS, CACHE_LENGTH = 600_000, 40
-#: Texts that a task encodes at once.
-ROWS = 256
+#: Bytes of text that a task encodes at once (one text at least), texts whose ids are joined at once, and new parts in one string for the
+#: tokenizer.
+BLOCK, ROWS, JOINED = 8_000_000, 256, 1000
+#: A word of one id that stands between new parts.
+MARK = "\x01"
+#: A normalizer and pre-tokenizer whose pre-tokens end after letters, and places where those letters are followed by ASCII that is none.
+#: ASCII composes with nothing before it; U+0130 is no such letter, since a mark comes of it in lower case.
+LETTERS_APART = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+)
+AFTER_LETTERS = "([A-Za-zÀ-ÖØ-öø-įı-ɏ])([!-@\\[-`{-~])"
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Strings cut at spaces: how many words each has, the words' codes, and the distinct words."""
+    words = pc.split_pattern(column, " ")
+    coded = words.flatten().dictionary_encode()
+    return pc.list_value_length(words).to_numpy(), coded.indices.to_numpy(), coded.dictionary
+
+
+def _joined(ids: np.ndarray, bounds: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and bounds of lists of ``counts`` words each, of the words' own ids and bounds."""
+    lengths = np.diff(bounds)[codes]
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    places = np.repeat(bounds[codes] - ends[:-1], lengths)
+    places += np.arange(len(places))
+    return ids[places], ends[np.concatenate([[0], np.cumsum(counts)])]
 
 
 class _Words:
-    """Ids (little-endian unsigned 32-bit) of texts, word by word; words met before are looked up. When the young generation of the
-    cache is full it becomes the old one, and words that are met again come back from there."""
+    """Ids (little-endian unsigned 32-bit) of texts, by their distinct words and these by their parts; parts met before are looked up.
+    When the young generation of the cache is full it becomes the old one, and parts that are met again come back from there."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
@@ -58,31 +87,79 @@ class _Words:
         self.tokenizer.no_padding()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        spec = json.loads(self.tokenizer.to_str())
+        normalizer, first = spec["normalizer"], ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [None])[0]
+        self.apart = (normalizer, first) == LETTERS_APART and all(not t["normalized"] for t in spec["added_tokens"])
+        self.added = [t["content"] for t in spec["added_tokens"]]
 
     def _encoded(self, words: list[str]) -> list[bytes]:
-        """All ``words`` in one call, told apart by where their tokens begin."""
-        starts = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        data = np.array(found.ids, dtype="<u4").tobytes()
-        cuts = np.searchsorted(np.array([at for at, _ in found.offsets], dtype=np.int64), starts).tolist()
-        return [data[4 * a : 4 * b] for a, b in zip(cuts, [*cuts[1:], len(found.ids)])]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        ids = [list(map(self.young.get, words)) for words in split]
-        open_ = [(words, row, [at for at, i in enumerate(row) if i is None]) for words, row in zip(split, ids) if None in row]
-        asked = {words[at] for words, _, places in open_ for at in places}
-        fresh = {w: i for w in asked if (i := self.old.get(w)) is not None}
-        new = [w for w in asked if w not in fresh]
+        """``words`` in few calls, told apart by the marks between them, or by where their tokens begin if any holds the mark."""
+        out: list[bytes] = []
+        chunks = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        for chunk, found in zip(chunks, self.tokenizer.encode_batch_fast([f" {MARK} ".join(c) for c in chunks], add_special_tokens=False)):
+            ids = np.array(found.ids, dtype="<u4")
+            marks = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else ids
+            if len(self.mark) == 1 and len(marks) == len(chunk) - 1:
+                begins, ends = [0, *(marks + 1).tolist()], [*marks.tolist(), len(ids)]
+            else:
+                found = self.tokenizer.encode(" ".join(chunk), add_special_tokens=False)
+                ids = np.array(found.ids, dtype="<u4")
+                starts = np.cumsum([0, *(len(w) + 1 for w in chunk[:-1])])
+                begins = np.searchsorted(np.array([at for at, _ in found.offsets], dtype=np.int64), starts).tolist()
+                ends = [*begins[1:], len(ids)]
+            data = ids.tobytes()
+            out += [data[4 * a : 4 * b] for a, b in zip(begins, ends)]
+        return out
+
+    def _looked_up(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct ``parts``."""
+        ids = list(map(self.young.get, parts))
+        places = [at for at, i in enumerate(ids) if i is None]
+        fresh = {p: i for at in places if (i := self.old.get(p := parts[at])) is not None}
+        new = [p for at in places if (p := parts[at]) not in fresh]
         if new:
             fresh.update(zip(new, self._encoded(new)))
-        for words, row, places in open_:
-            for at in places:
-                row[at] = fresh[words[at]]
-        self.young.update((w, i) for w, i in fresh.items() if len(w) <= CACHE_LENGTH)
+        for at in places:
+            ids[at] = fresh[parts[at]]
+        self.young.update((p, i) for p, i in fresh.items() if len(p) <= CACHE_LENGTH)
         if len(self.young) > CACHE_WORDS:
             self.young, self.old = {}, self.young
-        return [b"".join(row) for row in ids]
+        return ids
+
+    def _parts(self, words: pa.Array) -> pa.Array:
+        """Distinct words with spaces where the tokenizer tells their parts apart too; those that may hold an added token stay whole."""
+        if not self.apart:
+            return words
+        cut = pc.replace_substring_regex(words, AFTER_LETTERS, r"\1 \2")
+        for token in self.added:
+            cut = pc.if_else(pc.match_substring(words, token), words, cut)
+        return cut
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        words_of, words, distinct = _lists(pc.replace_substring(pc.fill_null(column, ""), "\n", " "))
+        parts_of, parts, distinct = _lists(self._parts(distinct))
+        found = self._looked_up(distinct.to_pylist())
+        bounds = np.cumsum([0, *map(len, found)]) // 4
+        ids, bounds = _joined(np.frombuffer(b"".join(found), dtype="<u4"), bounds, parts_of, parts)
+        first, out = np.concatenate([[0], np.cumsum(words_of)]), []
+        for at in range(0, len(words_of), ROWS):
+            counts = words_of[at : at + ROWS]
+            some, cuts = _joined(ids, bounds, counts, words[first[at] : first[at + len(counts)]])
+            data, cuts = some.tobytes(), (4 * cuts).tolist()
+            out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``BLOCK`` bytes of text, one row at least."""
+    before = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))])
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(before, before[at] + BLOCK, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
 
 
 @functools.cache
@@ -98,10 +175,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
         words = _words(tokenizer)
         last = np.array([end], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                block = batch.slice(at, ROWS)
+            for block in _blocks(batch):
                 rows, no, start, length, crc, data = array("q"), array("i"), array("q"), array("q"), array("q"), []
-                for row, ids in enumerate(words.encode(block.column(1).to_pylist())):
+                for row, ids in enumerate(words.encode(block.column(1))):
                     ids += last
                     for k, place in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[place : place + 4 * capacity]

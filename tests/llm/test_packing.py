@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -153,3 +154,41 @@ def test_packings_share_bins_and_order():
         assert child.free == [100 - sum(lengths[i] for i in b) for b in child.bins] and min(child.free) >= 0
         assert child.cost() == (len(child.bins), pytest.approx(-sum((1 - f / 100) ** 2 for f in child.free)))
         assert before == [([list(b) for b in p.bins], p.free, p.cost()) for p in parents]
+
+
+def test_words_share_parts(monkeypatch):
+    """What stands before punctuation is encoded once, whatever follows; what may hold an added token or a mark of lower case stays whole."""
+    words, asked = packing._Words(WORD_TOKENIZER), []
+    encoded = words._encoded
+    monkeypatch.setattr(words, "_encoded", lambda parts: asked.extend(parts) or encoded(parts))
+    texts = [f"zyxhouse{c} Été{c}" for c in (".", ",", "!!", "'s", "42")]
+    for _ in range(2):
+        assert words.encode(texts) == [np.array(library(t)[:-1], dtype="<u4").tobytes() for t in texts]
+    assert sorted(asked) == sorted(["zyxhouse", "Été", ".", ",", "!!", "'s", "42"])
+    whole = pa.array(["a.b", "x<|endoftext|>y", "İ.", "e\u0301.", "Σ.", "don't", "Zoë4"])
+    assert words._parts(whole).to_pylist() == ["a .b", "x<|endoftext|>y", "İ.", "e\u0301.", "Σ.", "don 't", "Zoë 4"]
+    words.apart = False
+    assert words._parts(whole) is whole
+
+
+def test_random_parts_and_marks(monkeypatch):
+    monkeypatch.setattr(packing, "JOINED", 7)
+    monkeypatch.setattr(packing, "ROWS", 5)
+    rng = random.Random(6)
+    parts = ["a", "H", "\u0331", "\u0301", "\u0307", "İ", "i", "į", "ß", "Σ", "σ", "É", "ɏ", "'", "'s", "'LL", "re", ".", "!?", "$", "7", "<", "|>", "<|endoftext|>", "\x01", "²", "文", "×", "_", " ", "\n", "\t"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    words = packing._Words(WORD_TOKENIZER)
+    assert words.encode(texts) == [np.array(library(t)[:-1], dtype="<u4").tobytes() for t in texts]
+    assert words.encode(pa.array(["x", None, *texts]).slice(1, 90)) == words.encode([None, *texts[:89]])
+    words.mark, words.young, words.old = [1, 2], {}, {}
+    assert words.encode(texts[:300]) == [np.array(library(t)[:-1], dtype="<u4").tobytes() for t in texts[:300]]
+
+
+def test_blocks(monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 10)
+    texts = ["x" * 4, None, "y" * 6, "", "z" * 25, "é" * 3, "a" * 4, "b", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], ["id", "text"]).slice(0)
+    found = [b.column(1).to_pylist() for b in packing._blocks(batch)]
+    assert found == [texts[:4], texts[4:5], texts[5:7], texts[7:]]
+    assert [b.column(0).to_pylist() for b in packing._blocks(batch.slice(2, 3))] == [[2, 3], [4]]
+    assert list(packing._blocks(batch.slice(0, 0))) == []
