@@ -74,8 +74,9 @@ def label_flags(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 
 def _labelled(rows: DataFrame, flags: DataFrame) -> DataFrame:
-    """Rows without id spread over the join; rows of one id over ``SALT`` copies of its labels."""
-    given = flags.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    """Rows without id spread over the join; rows of one id over ``SALT`` copies of its labels. Both sides are shuffled: the size of a
+    compressed file says little of the copies, which would go to the driver whole if they were broadcast."""
+    given = flags.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).hint("merge")
     key = F.coalesce("id", F.xxhash64("digest", "part"))
     dealt = rows.withColumns({"key": key, "salt": F.pmod(F.xxhash64("digest"), F.lit(SALT)).cast("int")})
     joined = dealt.join(given, (F.col("key") == F.col("labelled")) & (F.col("salt") == F.col("copy")), "left")

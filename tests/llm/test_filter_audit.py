@@ -83,6 +83,15 @@ def test_retracted_when_a_smaller_id_arrives(spark):
     assert sorted((r.part, bool(r.mask & filter_audit.REPEATED), r.good, r.toxic, r.n) for r in cells) == [("x", True, 0, 0, 1), ("y", True, 1, 1, 1), ("z", False, 0, 0, 1)]
 
 
+def test_labels_stay_out_of_the_driver(spark):
+    """The copies of the labels are never broadcast, however small their file is."""
+    docs = spark.createDataFrame([(1, "t", "s"), (2, "u", None)], "doc_id long, text string, source string")
+    flags = filter_audit.settle(filter_audit.label_flags(spark.createDataFrame([(1, 1, 0, "")], LABELS)), "test-flags")
+    joined = filter_audit._labelled(filter_audit.features(docs, 4), flags)
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.good, r.toxic) for r in joined.collect()) == [(1, 1, 0), (2, 0, 0)]
+
+
 def test_empty(spark):
     path = shared_path(spark, "test-audit")
     spark.createDataFrame([], DOCS).coalesce(1).write.parquet(path)
