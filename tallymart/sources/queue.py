@@ -14,7 +14,6 @@ body is handed on. Further columns of the table are not read. Row groups, of the
 from __future__ import annotations
 
 import time
-from bisect import insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,11 +28,14 @@ from pyspark.sql.types import StructType
 
 #: Messages of a batch, and seconds that a message waits to be seen.
 MOST, LAG = 10_000, 10.0
+#: Keys that the driver reads ahead (16 bytes each), and bytes of a row group that ``enqueue`` writes.
+AHEAD, GROUP_BYTES = 1 << 20, 1 << 20
 SCHEMA = "message_id long, created_on timestamp, body string"
 KEY = ("created_on", "message_id")
 #: Times as they are stored: without zone, in UTC, since Spark's older form of timestamps has no statistics.
 _UTC = "TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST(unix_micros(CAST(created_on AS TIMESTAMP)) AS DECIMAL(18, 0)) / 1000000)"
 _FIRST = -(2**63)
+_NO_KEYS = pa.table({name: pa.array([], pa.int64()) for name in KEY})
 _ARROW = pa.schema([("message_id", pa.int64()), ("created_on", pa.timestamp("us", "UTC")), ("body", pa.string())])
 
 Key = tuple[int, int]
@@ -75,6 +77,9 @@ class QueueReader(DataSourceStreamReader):
         self.path, self.most, self.lag = path, most, lag
         self.reached: Key = (_FIRST, _FIRST)
         self.groups: dict[str, list[RowGroup]] = {}
+        # Keys read ahead of the batches, at most so many; whether more are left, and whether files came since.
+        self.keep = max(most, AHEAD)
+        self.ahead, self.cut, self.fresh = _NO_KEYS, False, True
 
     def initialOffset(self) -> dict:
         return dict(zip(KEY, (_FIRST, _FIRST)))
@@ -83,17 +88,36 @@ class QueueReader(DataSourceStreamReader):
         """The key of the last message of the next batch; that reached before, if there is none."""
         files, root = fs.FileSystem.from_uri(self.path)
         self._see(files, root)
-        until = (int((time.time() - self.lag) * 1e6), 2**63 - 1)
-        keys: list[Key] = []
+        until = int((time.time() - self.lag) * 1e6)
+        ahead = self._left()
+        if self.fresh or (self.cut and ahead.num_rows < self.most):
+            self._fill(files)
+            ahead = self._left()
+        ready = ahead.slice(0, self.most)
+        ready = ready.filter(pc.less_equal(ready["created_on"], until))
+        return dict(zip(KEY, (ready[name][-1].as_py() for name in KEY) if ready.num_rows else self.reached))
+
+    def _left(self) -> pa.Table:
+        """Keys read ahead that lie behind those reached."""
+        return self.ahead.filter(_after(self.ahead["created_on"], self.ahead["message_id"], self.reached))
+
+    def _fill(self, files: fs.FileSystem) -> None:
+        """Read ahead: the ``keep`` oldest keys that are left, in order, or all; ``cut`` tells whether there are more."""
+        self.ahead, self.cut, self.fresh = _NO_KEYS, False, False
+        parts, rows = [], 0
         for g in sorted((g for gs in self.groups.values() for g in gs if g.high >= self.reached[0]), key=lambda g: g.low):
-            if g.low > until[0] or (len(keys) == self.most and g.low > keys[-1][0]):
+            if rows >= self.keep:
+                self._merge(parts)
+                parts, rows = [], 0
+            if self.cut and g.low > self.ahead["created_on"][-1].as_py():
                 break
-            found = _wanted(RowGroup(g.path, g.number, g.low, g.high, self.reached, until), files, list(KEY))
-            for key in zip(found["created_on"].to_pylist(), found["message_id"].to_pylist()):
-                if len(keys) < self.most or key < keys[-1]:
-                    insort(keys, key)
-                    del keys[self.most :]
-        return dict(zip(KEY, keys[-1] if keys else self.reached))
+            found = _wanted(RowGroup(g.path, g.number, g.low, g.high, self.reached, (2**63 - 1, 2**63 - 1)), files, list(KEY)).select(KEY).cast(_NO_KEYS.schema)
+            parts, rows = [*parts, found], rows + found.num_rows
+        self._merge(parts)
+
+    def _merge(self, parts: list[pa.Table]) -> None:
+        every = pa.concat_tables([self.ahead, *parts]).sort_by([(name, "ascending") for name in KEY])
+        self.ahead, self.cut = every.slice(0, self.keep).combine_chunks(), self.cut or every.num_rows >= self.keep
 
     def partitions(self, start: dict, end: dict) -> list[RowGroup]:
         first, last = (tuple(o[name] for name in KEY) for o in (start, end))
@@ -118,6 +142,8 @@ class QueueReader(DataSourceStreamReader):
         found = [f.path for f in files.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.is_file and f.base_name.endswith(".parquet") and f.base_name[0] not in "_."]
         known, self.groups = self.groups, {}
         for path in found:
+            if path not in known:
+                self.fresh = True
             self.groups[path] = known.get(path) or list(_row_groups(files, path))
 
 
@@ -150,9 +176,11 @@ class QueueSource(DataSource):
 
 
 def enqueue(messages: DataFrame, path: str) -> None:
-    """Append ``messages`` (message_id, created_on, body) to the queue at ``path``, sorted so that row groups hold few times."""
+    """Append ``messages`` (message_id, created_on, body) to the queue at ``path``, dealt and sorted so that small row groups hold few
+    times: a batch reads those of its own messages and little else."""
     rows = messages.select("message_id", F.expr(_UTC).alias("created_on"), "body")
-    rows.sortWithinPartitions(*KEY).write.mode("append").option("compression", "zstd").parquet(path)
+    dealt = rows.repartitionByRange(*KEY).sortWithinPartitions(*KEY)
+    dealt.write.mode("append").option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(path)
 
 
 def queue_stream(spark: SparkSession, path: str, most: int = MOST, lag: float = LAG) -> DataFrame:

@@ -56,3 +56,26 @@ def test_messages_without_place_stop_the_stream(spark):
         drain(spark, path, shared_path(spark, "queue-state"), 5)
     with pytest.raises(ValueError, match="one message at least"):
         queue_stream(spark, path, most=0)
+
+
+def test_keys_are_read_once_for_many_batches(spark, monkeypatch, tmp_path):
+    """Two files that overlap in time: each row group's keys are read once while they last, in bounded memory, in the right order."""
+    from tallymart.sources import queue
+
+    path = str(tmp_path / "queue")
+    for part in (0, 1):
+        enqueue(rows(spark, *[(i, i // 3) for i in range(200) if i % 2 == part]), path)
+    reads, wanted = [], queue._wanted
+    monkeypatch.setattr(queue, "_wanted", lambda group, files, columns: reads.append(columns) or wanted(group, files, columns))
+
+    def ends(reader):
+        found, key = [], lambda: dict(zip(queue.KEY, reader.reached))
+        while (end := reader.latestOffset()) != key():
+            reader.partitions(key(), end)
+            found.append(end["message_id"])
+        return found
+
+    assert ends(queue.QueueReader(path, 10, 0.0)) == list(range(9, 200, 10))
+    assert len(reads) <= sum(1 for f in (tmp_path / "queue").glob("*.parquet"))
+    monkeypatch.setattr(queue, "AHEAD", 25)  # fewer keys than are left: they are read again, and nothing is lost
+    assert ends(queue.QueueReader(path, 10, 0.0)) == list(range(9, 200, 10))
